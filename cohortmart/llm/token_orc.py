@@ -36,7 +36,7 @@ class WordEncoder:
     The words known so far are kept up to `limit` and then forgotten, so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -80,9 +80,8 @@ class WordEncoder:
         for word, (core, tail) in split.items():
             self.known[word] = self.known[core] + self.known[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        raw = [t.encode() for t in texts]
+    def encode(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
         whole = {k for k, b in enumerate(raw) if WHOLE.search(b)}
         split = [[] if k in whole else b.lower().split() for k, b in enumerate(raw)]
         if len(self.known) > self.limit:
@@ -91,7 +90,7 @@ class WordEncoder:
         if missing:
             self.learn(missing)
         get = self.known.__getitem__
-        return [self._ids(texts[k]) if k in whole else b"".join(map(get, split[k])) for k in range(len(raw))]
+        return [self._ids(raw[k].decode()) if k in whole else b"".join(map(get, split[k])) for k in range(len(raw))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -107,8 +106,8 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _runs(texts: list[str], most: int = 400_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` characters together."""
+def _runs(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` bytes together."""
     start, total = 0, 0
     for k, text in enumerate(texts):
         total += len(text)
@@ -131,7 +130,7 @@ def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0)
-            texts = [x or "" for x in batch.column(1).to_pylist()]
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in _runs(texts):
                 coded = [x + end for x in enc.encode(texts[lo:hi])]
                 sizes = np.fromiter((len(x) // 4 for x in coded), np.int64, hi - lo)
