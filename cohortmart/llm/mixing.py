@@ -19,8 +19,8 @@ from cohortmart.llm.common import WORD, stored, table
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST = 2.0
-CHUNK = 20_000
-FAN_IN = 1_000
+CHUNK = 2_000
+FAN_IN = 500
 
 ROW = "source string, doc_id long, doc_key long, size long, n_rows long, copies long, p double, level long, chunk long"
 

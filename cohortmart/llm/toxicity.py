@@ -8,6 +8,7 @@ by its most toxic words; a logistic curve fitted on other labelled rows turns th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -243,15 +244,15 @@ def score_docs(docs: DataFrame, model: ToxicityModel | None, text_col: str = "te
     cols = [F.col(f"`{c}`") for c in kept]
     if model is None:
         return docs.select(*cols, F.lit(0.0).alias(names[0]), F.lit(0).alias(names[1]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = docs.select(*cols).schema.add(names[0], "double").add(names[1], "integer")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, float] = _known
         m = shared.value
-        if _known_of.get("model") != shared.id:
+        if _known_of.get("model") != name:
             known.clear()
-            _known_of["model"] = shared.id
+            _known_of["model"] = name
         for pdf in batches:
             value = np.zeros(len(pdf))
             size = np.cumsum([len(t or "") for t in pdf[text_col]])
@@ -268,7 +269,7 @@ def score_docs(docs: DataFrame, model: ToxicityModel | None, text_col: str = "te
 
 #: Words scored by this Python worker, for one model at a time; at most about CACHE.
 _known: dict[str, float] = {}
-_known_of: dict[str, int] = {}
+_known_of: dict[str, str] = {}
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
