@@ -22,20 +22,22 @@ from cohortmart.llm.ngrams import code_points, mix
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Labelled rows of each class that are counted, and as many that the curve is fitted on: about so many at most.
-LEARN_ROWS = 1_500
+#: Labelled rows of each class that are learned from: about so many at most.
+LEARN_ROWS = 2_000
 #: Words longer than this are scored in pieces.
 WORD_CHARS = 40
 CACHE = 600_000
+#: A word stands out if toxic texts are so much likelier to have it (a difference of log-likelihoods).
+OUTSTANDING = 2.5
+FOLDS = 3
 START, END = "\x02", "\x03"
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct lower-case words of a text, in pieces of at most WORD_CHARS."""
-    found = set((text or "").lower().split())
-    for w in [w for w in found if len(w) > WORD_CHARS]:
-        found.discard(w)
-        found.update(w[k : k + WORD_CHARS] for k in range(0, len(w), WORD_CHARS))
+def words_of(text: str | None) -> list[str]:
+    """Lower-case words of a text, in pieces of at most WORD_CHARS."""
+    found = (text or "").lower().split()
+    if found and max(map(len, found)) > WORD_CHARS:
+        found = [w[k : k + WORD_CHARS] for w in found for k in range(0, len(w), WORD_CHARS)]
     return found
 
 
@@ -90,8 +92,9 @@ def word_gains(model: ToxicityModel, words: list[str]) -> np.ndarray:
 
 
 def features(model: ToxicityModel, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-    """Length-normalised difference of the text, its three most toxic words, and how many words stand out."""
-    sets = [words_of(t) for t in texts]
+    """Length-normalised difference of the text's distinct words, its three most toxic ones, and how often such occur."""
+    lists = [words_of(t) for t in texts]
+    sets = [set(x) for x in lists]
     if len(known) > CACHE:
         known.clear()
     missing = list(set().union(*sets).difference(known))
@@ -106,29 +109,25 @@ def features(model: ToxicityModel, texts: list[str | None], known: dict[str, flo
             top = np.sort(np.partition(values, -3)[-3:] if len(values) > 3 else values)[::-1]
             out[k, 0] = values.sum() / (sum(map(len, found)) + len(found))
             out[k, 1 : 1 + len(top)] = np.maximum(top, 0)
-            out[k, 4] = np.log1p((values > 2.5).sum())
+            if top[0] > OUTSTANDING:
+                out[k, 4] = np.log1p(sum(get(w) > OUTSTANDING for w in lists[k]))
     return out
 
 
-def _text_batches(pdf: pd.DataFrame, most: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    size = pdf["text"].str.len().fillna(0).cumsum().to_numpy()
-    for _, group in pdf.groupby((size // most).astype(int), sort=False):
-        yield group
-
-
 def _gather(sample: DataFrame) -> pd.DataFrame:
-    """Counts of the longest n-grams for each class. A word counts once for each text that holds it."""
+    """Number of texts of each class and fold that hold each word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for toxic, group in pdf.groupby("toxic"):
+            for (toxic, fold), group in pdf.groupby(["toxic", "fold"]):
                 words: dict[str, int] = {}
                 for text in group["text"]:
-                    for w in words_of(text):
+                    for w in set(words_of(text)):
                         words[w] = words.get(w, 0) + 1
-                yield pd.DataFrame({"toxic": int(toxic), "word": list(words), "n": list(words.values())})
+                yield pd.DataFrame({"toxic": int(toxic), "fold": int(fold), "word": list(words), "n": list(words.values())})
 
-    return sample.select("toxic", "text").mapInPandas(count, "toxic int, word string, n long").groupBy("word", "toxic").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.select("toxic", "fold", "text").mapInPandas(count, "toxic int, fold int, word string, n long")
+    return found.groupBy("word", "toxic", "fold").agg(F.sum("n").alias("n")).toPandas()
 
 
 def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -203,32 +202,36 @@ def _sample(labelled: DataFrame, learn_rows: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> ToxicityModel | None:
-    """Counts a bounded sample of the labelled rows (doc_id, text; doc_id, toxic) and fits the curve on another one.
+    """Counts a bounded sample of the labelled rows (doc_id, text; doc_id, toxic) and fits the curve on it.
 
-    The rows are parted by a hash of the id: three quarters to count, one to fit. Labels other than 0 and 1 and rows
-    without a text are left out. None where a class has no row.
+    Each row is described by models of the other folds, so that the curve sees words as they look in unknown texts. Labels
+    other than 0 and 1 and rows without a text are left out. None where a class has no row in some folds.
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))
-    ids = _sample(marked.where(fold != 0), learn_rows).withColumn("fit", F.lit(0)).unionByName(_sample(marked.where(fold == 0), learn_rows).withColumn("fit", F.lit(1)))
-    # About four times learn_rows small rows at most, whatever the corpus.
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    ids = _sample(marked, learn_rows).withColumn("fold", fold)
+    # About twice learn_rows small rows at most, whatever the corpus.
     sample = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "toxicity-sample")
-    counts = _gather(sample.where("fit = 0"))
-    if set(counts["toxic"].unique()) != {0, 1}:
+    counts = _gather(sample)
+    rest = [counts[counts["fold"] != k] for k in range(FOLDS)]
+    if any(x["toxic"].nunique() < 2 for x in rest):
         return None
-    model = ToxicityModel(*fit_models(counts), np.zeros(6), np.zeros(5), np.ones(5))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def fitted(x: pd.DataFrame) -> ToxicityModel:
+        return ToxicityModel(*fit_models(x.groupby(["word", "toxic"], as_index=False)["n"].sum()), np.zeros(6), np.zeros(5), np.ones(5))
+
+    shared = docs.sparkSession.sparkContext.broadcast([fitted(x) for x in rest])
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = {}
+        known: list[dict[str, float]] = [{} for _ in range(FOLDS)]
         for pdf in batches:
-            for group in _text_batches(pdf):
-                x = features(shared.value, group["text"].tolist(), known)
+            for k, group in pdf.groupby("fold"):
+                x = features(shared.value[k], group["text"].tolist(), known[k])
                 yield pd.DataFrame(x, columns=list("abcde")).assign(toxic=group["toxic"].to_numpy(), part=group["part"].to_numpy())
 
-    seen = sample.where("fit = 1").select("text", "toxic", "part").mapInPandas(describe, "a double, b double, c double, d double, e double, toxic int, part double").toPandas()
-    if seen["toxic"].nunique() < 2:
-        return None
+    seen = sample.select("text", "toxic", "part", "fold").mapInPandas(describe, "a double, b double, c double, d double, e double, toxic int, part double").toPandas()
+    seen = seen.sort_values(seen.columns.tolist())
+    model = fitted(counts)
     x, y = seen[list("abcde")].to_numpy(), seen["toxic"].to_numpy(float)
     model.centre, model.spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     model.weights = _logistic((x - model.centre) / model.spread, y, 1 / seen["part"].to_numpy())
