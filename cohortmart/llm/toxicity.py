@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortmart.llm.common import below, share, stored, table
 from cohortmart.llm.ngrams import code_points, mix
 
-ORDER = 5
+ORDER = 8
 DISCOUNT = 0.75
 #: Labelled rows of each class that are learned from: about so many at most.
 LEARN_ROWS = 2_000
