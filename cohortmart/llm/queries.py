@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cohortmart.llm import chat, decontaminate, jaccard_join, language_id, mixing, pivot_index, token_orc, toxicity
+from cohortmart.llm import chat, decontaminate, jaccard_join, language_id, mixing, pii, pivot_index, token_orc, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
     "op2_chat_format": chat.query,
     "op3_jaccard_join": jaccard_join.query,
+    "op4_pii": pii.query,
     "op5_mix_sources": mixing.query,
     "op6_toxicity": toxicity.query,
     "op7_pivot_index": pivot_index.query,

@@ -23,7 +23,7 @@ from cohortmart.llm.ngrams import code_points, mix
 ORDER = 8
 DISCOUNT = 0.75
 #: Labelled rows of each class that are learned from: about so many at most.
-LEARN_ROWS = 2_000
+LEARN_ROWS = 1_000
 #: Words longer than this are scored in pieces.
 WORD_CHARS = 40
 CACHE = 600_000
