@@ -52,14 +52,13 @@ def item_sketches(items: DataFrame, containment: float = CONTAINMENT) -> DataFra
     what must then be there, or for large items a quarter of the sketch, which a held item has but for a chance of about 1e-6.
     Items of fewer than five words have no shingle and are never found. Repeated items count once; item is a hash of both columns.
     """
-    hashed = items.select("item_id", "text").distinct().select(
-        F.xxhash64("item_id", "text").alias("item"), "item_id", "text", F.array_sort(F.array_distinct(shingle_hashes(_words(F.col("text"))))).alias("all")
-    )
+    split = items.select("item_id", "text").distinct().withColumn("words", _words(F.col("text")))
+    hashed = split.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "words", F.array_sort(F.array_distinct(shingle_hashes(F.col("words")))).alias("all"))
     n = F.size("all")
     k = F.least(n, _sketch_length(n))
     spare = n - F.ceil(n * F.lit(containment) - F.lit(1e-9))
     return hashed.where(n > 0).select(
-        "item", "item_id", "text", n.alias("n"), F.greatest(k - spare, F.ceil(k / 4), F.lit(1)).cast("int").alias("need"), F.slice("all", F.lit(1), k).alias("sketch")
+        "item", "item_id", "words", n.alias("n"), F.greatest(k - spare, F.ceil(k / 4), F.lit(1)).cast("int").alias("need"), F.slice("all", F.lit(1), k).alias("sketch")
     )
 
 
@@ -76,8 +75,10 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     hits = each.join(wanted, "shingle").groupBy("doc_key", "item", "need").agg(F.count_distinct("shingle").alias("hits"))
     found = stored(hits.where("hits >= need").select("doc_key", "item"), "bench-candidates")
     held = texts.join(found.groupBy("doc_key").agg(F.collect_set("item").alias("held")), "doc_key").dropDuplicates(["doc_key"])
-    exact = held.select("doc_id", "doc_key", shingle_texts(_words(F.col("text"))).alias("has"), F.explode("held").alias("item"))
-    of_items = sketches.select("item", "item_id", shingle_texts(_words(F.col("text"))).alias("asks"))
+    # The words are a column of their own first: the shingles look at them again and again.
+    split = held.select("doc_id", "doc_key", "held", _words(F.col("text")).alias("words"))
+    exact = split.select("doc_id", "doc_key", shingle_texts(F.col("words")).alias("has"), F.explode("held").alias("item"))
+    of_items = sketches.select("item", "item_id", shingle_texts(F.col("words")).alias("asks"))
     share = F.size(F.array_intersect("asks", "has")) / F.size("asks")
     return exact.join(of_items, "item").select("doc_id", "doc_key", "item_id", share.alias("containment")).where(F.col("containment") >= containment)
 
