@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,56 +30,59 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Lower-case letters whose words need no normalization: ASCII and the Latin letters up to U+024F without U+0130.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes are themselves, the others
+    follow from U+0100 on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, each distinct word once.
 
-    Fits tokenizers that drop white space and letter case: ids of a text are those of its words one after the other.
-    The words known so far are kept up to `limit` and then forgotten, so memory is bounded.
+    Fits byte-level tokenizers that drop white space and letter case: ids of a text are those of its words one after the
+    other. Words of plain letters go to the tokenizer's model at once, all others through the whole tokenizer. The words
+    known so far are kept up to `limit` and then forgotten, so memory is bounded.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.letters = {b: c for b, c in byte_letters().items() if b >= 128}
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_letters(self, pieces: list[bytes]) -> None:
-        """Words of letters only: one pass over many of them, as each is one word of the tokenizer too."""
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            got = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
-            of = np.asarray(got.word_ids, np.int64)
-            ids = np.asarray(got.ids, "<u4")
-            if len(of) and of[-1] + 1 == len(some):
-                cuts = np.searchsorted(of, np.arange(len(some) + 1)) * 4
-                raw = ids.tobytes()
-                for k, piece in enumerate(some):
-                    self.known[piece] = raw[cuts[k] : cuts[k + 1]]
-            else:
-                for piece in some:
-                    self.known[piece] = self._ids(piece.decode())
+    def _piece_ids(self, piece: bytes) -> bytes:
+        if piece.isalpha():  # ASCII letters, in lower case already
+            shown = piece.decode()
+        else:
+            text = piece.decode()
+            if not PLAIN.fullmatch(text):
+                return self._ids(text)
+            shown = piece.decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def learn(self, missing: set[bytes]) -> None:
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        letters, others = set(), set()
         for word in missing:
             core = word.rstrip(PUNCTUATION)
-            if core != word and core and core.decode()[-1].isalpha():
-                split[word] = (core, word[len(core) :])
-                todo = split[word]
-            else:
-                todo = (word,)
-            for piece in todo:
+            if core == word or not core or not core.decode()[-1].isalpha():
+                self.known[word] = self._piece_ids(word)
+                continue
+            ids = []
+            for piece in (core, word[len(core) :]):
                 if piece not in self.known:
-                    (letters if piece.decode().isalpha() else others).add(piece)
-        self._learn_letters(sorted(letters))
-        for piece in others:
-            self.known[piece] = self._ids(piece.decode())
-        for word, (core, tail) in split.items():
-            self.known[word] = self.known[core] + self.known[tail]
+                    self.known[piece] = self._piece_ids(piece)
+                ids.append(self.known[piece])
+            self.known[word] = b"".join(ids)
 
     def encode(self, raw: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
