@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortmart.llm import chat, decontaminate, jaccard_join, language_id, mixing, pii, pivot_index, token_orc, toxicity
+from cohortmart.llm import chat, decontaminate, jaccard_join, language_id, mixing, pii, pivot_index, secrets, token_orc, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.query,
     "op7_pivot_index": pivot_index.query,
     "op8_token_orc": token_orc.query,
+    "op9_secrets": secrets.query,
     "op10_decontaminate": decontaminate.query,
 }
 
