@@ -1,0 +1 @@
+"""Play and score analytics, cohorts and recommendations as Spark DataFrame functions."""
