@@ -7,6 +7,8 @@ are verified by the exact containment of the item's shingles. All of it are Data
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +24,21 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
 
 
+def _shingles(words: Column, made: Callable[[list[Column]], Column], kind: str) -> Column:
+    """One value for each word 5-gram in order; empty for fewer than five words."""
+    places = F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1))
+    each = F.transform(places, lambda i: made([F.get(words, i + (k - 1)) for k in range(SHINGLE)]))
+    return F.when(F.size(words) >= SHINGLE, each).otherwise(F.array().cast(f"array<{kind}>"))
+
+
 def shingle_hashes(words: Column) -> Column:
-    """64-bit hashes of the word 5-grams in order; empty for fewer than five words."""
-    return F.when(
-        F.size(words) >= SHINGLE,
-        F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(SHINGLE)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+    """64-bit hashes of the word 5-grams, for the search."""
+    return _shingles(words, lambda w: F.xxhash64(*w), "bigint")
 
 
-def shingle_texts(words: Column) -> Column:
-    """The distinct word 5-grams themselves."""
-    return F.when(
-        F.size(words) >= SHINGLE,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))),
-    ).otherwise(F.array().cast("array<string>"))
+def shingle_ids(words: Column) -> Column:
+    """Two independent hashes of each word 5-gram, 128 bits together: its identity when items are verified."""
+    return _shingles(words, lambda w: F.struct(F.xxhash64(*w).alias("a"), F.xxhash64(F.lit("id"), *w).alias("b")), "struct<a:bigint,b:bigint>")
 
 
 def _sketch_length(n: Column) -> Column:
@@ -70,17 +73,16 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
     """
     sketches = stored(item_sketches(items, containment), "bench-sketches")
     wanted = sketches.select("item", "need", F.explode("sketch").alias("shingle"))
-    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    each = texts.select("doc_key", _words(F.col("text")).alias("words")).select("doc_key", F.explode(shingle_hashes(F.col("words"))).alias("shingle"))
+    # The words are a column of their own first: the shingles look at them again and again.
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc_key"), _words(F.col("text")).alias("words"))
+    each = texts.select("doc_key", F.explode(shingle_hashes(F.col("words"))).alias("shingle"))
     hits = each.join(wanted, "shingle").groupBy("doc_key", "item", "need").agg(F.count_distinct("shingle").alias("hits"))
     found = stored(hits.where("hits >= need").select("doc_key", "item"), "bench-candidates")
-    held = texts.join(found.groupBy("doc_key").agg(F.collect_set("item").alias("held")), "doc_key").dropDuplicates(["doc_key"])
-    # The words are a column of their own first: the shingles look at them again and again.
-    split = held.select("doc_id", "doc_key", "held", _words(F.col("text")).alias("words"))
-    exact = split.select("doc_id", "doc_key", shingle_texts(F.col("words")).alias("has"), F.explode("held").alias("item"))
-    of_items = sketches.select("item", "item_id", shingle_texts(F.col("words")).alias("asks"))
-    share = F.size(F.array_intersect("asks", "has")) / F.size("asks")
-    return exact.join(of_items, "item").select("doc_id", "doc_key", "item_id", share.alias("containment")).where(F.col("containment") >= containment)
+    # Only items that were found anywhere are verified, and texts never leave their tasks.
+    asked = sketches.join(found.select("item").distinct(), "item", "left_semi").select("item", "item_id", F.explode(F.array_distinct(shingle_ids(F.col("words")))).alias("id"), "n")
+    exact = texts.select("doc_id", "doc_key", F.explode(shingle_ids(F.col("words"))).alias("id")).join(asked, "id")
+    held = exact.groupBy("doc_id", "doc_key", "item", "item_id", "n").agg(F.count_distinct("id").alias("k")).where(F.col("k") / F.col("n") >= containment)
+    return held.join(found, ["doc_key", "item"], "left_semi").select("doc_id", "doc_key", "item_id", (F.col("k") / F.col("n")).alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
