@@ -193,7 +193,7 @@ def card_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     with_tables(
-        """SELECT r.request_id, r.place, r.item_id, i.set_id, i.version, i.difficultyrating FROM (
+        """SELECT r.request_id, r.place, r.item_id, i.version, i.difficultyrating FROM (
   SELECT o_orderkey AS request_id, 0 AS place, o_custkey AS item_id FROM orders UNION ALL SELECT o_orderkey, 1, o_orderkey % 50 FROM orders UNION ALL SELECT o_orderkey, 2, o_custkey FROM orders) r
   LEFT JOIN items i ON r.item_id = i.item_id"""
     )
@@ -201,7 +201,7 @@ def card_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookup_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch of three ids for each order; the customer's id is asked for twice and mostly is no item."""
     ids = F.array("o_custkey", F.col("o_orderkey") % 50, "o_custkey")
-    return serving.lookup_items(mapping.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), ids.alias("item_ids")), mapping.items(spark, sf_dir))
+    return serving.lookup_items(mapping.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), ids.alias("item_ids")), mapping.items(spark, sf_dir).drop("set_id"))
 
 
 TOP50 = """SELECT user_id, place, item_id, version, difficultyrating, pp, variant_key, accuracy, score FROM (SELECT p.*, version, difficultyrating, row_number() OVER (PARTITION BY user_id
