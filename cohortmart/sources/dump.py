@@ -49,14 +49,15 @@ def dump_schema(spark: SparkSession, path: str, table: str) -> DataFrame:
     return pairs.select("position", F.col("c.n").alias("column"), F.lower("c.k").alias("sql_type"))
 
 
-SPARK_TYPES = {"tinyint": "bigint", "smallint": "bigint", "mediumint": "bigint", "int": "bigint", "integer": "bigint", "bigint": "bigint", "float": "double", "double": "double", "real": "double", "decimal": "double"}
+WHOLE, REAL = {"tinyint", "smallint", "mediumint", "int", "integer", "bigint"}, {"float", "double", "real", "decimal"}
 
 
 def dump_struct(spark: SparkSession, path: str, table: str) -> T.StructType:
     """The schema of a table as a Spark type, from its CREATE TABLE statement."""
     out = T.StructType()
     for r in dump_schema(spark, path, table).orderBy("position").collect():
-        out.add(r["column"], SPARK_TYPES.get(r["sql_type"], "string"))
+        kind = r["sql_type"]
+        out.add(r["column"], T.LongType() if kind in WHOLE else T.DoubleType() if kind in REAL else T.StringType())
     return out
 
 

@@ -50,11 +50,11 @@ def read_csv_chunks(spark: SparkSession, path: str, schema: T.StructType | str,
 
 def write_csv_chunks(df: DataFrame, path: str, chunk_size: int = 1_000_000, header: bool = True) -> None:
     """Files of at most chunk_size rows; nulls as \\N, backslash as the escape, quotes where they are needed."""
-    df.write.option("header", header).option("escape", "\\").option("nullValue", NULL).option("emptyValue", "").option("maxRecordsPerFile", chunk_size).csv(path)
+    df.write.option("header", header).option("escape", "\\").option("nullValue", NULL).option("maxRecordsPerFile", chunk_size).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.option("sep", "\t").option("header", True).option("escape", "\\").option("nullValue", NULL).option("emptyValue", "").csv(path)
+    df.write.option("sep", "\t").option("header", True).option("escape", "\\").option("nullValue", NULL).csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
