@@ -41,30 +41,32 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
-def _grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the n-grams (n = 1 to ORDER) that end at each character of each word and at its end mark; the word of each."""
-    padded = [START * (ORDER - 1) + w + END for w in words]
-    points, cuts = code_points(padded)
-    x = points.astype(np.uint64) + np.uint64(1)
-    owner = np.repeat(np.arange(len(words)), np.diff(cuts))
-    ends = np.flatnonzero(np.arange(len(points)) - cuts[:-1][owner] >= ORDER - 1)
-    out, h = [], np.zeros(len(ends), np.uint64)
-    for n in range(ORDER):
-        # A longer n-gram is built from the end backwards: the place of each character gives its factor.
-        h = h + mix(x[ends - n] * np.uint64(0x9E3779B1) + np.uint64(n))
-        out.append(h)
-    return out, owner[ends], x[ends]
-
-
-def _contexts(grams: list[np.ndarray], last: np.ndarray) -> list[np.ndarray]:
-    """Hash of each n-gram without its last character."""
-    return [h - mix(last * np.uint64(0x9E3779B1)) for h in grams]
+class Grams:
+    """n-grams that end at each character of each word and at its end mark, as hashes that are made when asked for."""
+
+    def __init__(self, words: list[str]):
+        points, cuts = code_points([START * (ORDER - 1) + w + END for w in words])
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(cuts))
+        self.points = points
+        self.ends = np.flatnonzero(np.arange(len(points)) - cuts[:-1][owner] >= ORDER - 1)
+        self.owner = owner[self.ends]
+
+    def _at(self, ends: np.ndarray, back: int) -> np.ndarray:
+        return mix((self.points[ends - back].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B1) + np.uint64(back))
+
+    def hashes(self, n: int, ends: np.ndarray | None = None, first: int = 0) -> np.ndarray:
+        """Of the n-grams that end at `ends`; with first = 1 of their contexts, the last character left out."""
+        ends = self.ends if ends is None else ends
+        h = np.zeros(len(ends), np.uint64)
+        for back in range(first, n):
+            h = h + self._at(ends, back)
+        return h
 
 
 @dataclass
 class ToxicityModel:
-    keys: list[np.ndarray]  # for each order, sorted hashes of the n-grams known to either class
-    gains: list[np.ndarray]  # their log P(toxic) - log P(ordinary)
+    keys: np.ndarray  # sorted hashes of the longest n-grams known to either class
+    gains: np.ndarray  # their log P(toxic) - log P(ordinary)
     contexts: np.ndarray  # sorted hashes of the longest contexts
     backoffs: np.ndarray  # their log backoff weight, toxic less ordinary
     weights: np.ndarray
@@ -84,15 +86,17 @@ def word_gains(model: ToxicityModel, words: list[str]) -> np.ndarray:
     """log P(word | toxic) - log P(word | ordinary) of each word."""
     if not words:
         return np.zeros(0)
-    grams, owner, last = _grams(words)
-    gain, hit = _lookup(model.keys[0], model.gains[0], grams[-1])
+    grams = Grams(words)
+    gain, hit = _lookup(model.keys, model.gains, grams.hashes(ORDER))
     # Unknown to both classes: both back off to the same shared distribution, so only the backoff weights differ.
-    other, _ = _lookup(model.contexts, model.backoffs, _contexts(grams, last)[-1])
-    return np.bincount(owner, np.where(hit, gain, other), minlength=len(words))
+    unknown = np.flatnonzero(~hit)
+    gain[unknown] = _lookup(model.contexts, model.backoffs, grams.hashes(ORDER, grams.ends[unknown], 1))[0]
+    return np.bincount(grams.owner, gain, minlength=len(words))
 
 
 def features(model: ToxicityModel, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-    """Length-normalised difference of the text's distinct words, its three most toxic ones, and how often such occur."""
+    """Length-normalised difference of the text's distinct words, its three most toxic ones (words that stand out count as
+    often as they occur), and how often such words occur."""
     lists = [words_of(t) for t in texts]
     sets = [set(x) for x in lists]
     if len(known) > CACHE:
@@ -106,78 +110,75 @@ def features(model: ToxicityModel, texts: list[str | None], known: dict[str, flo
     for k, found in enumerate(sets):
         if found:
             values = np.fromiter(map(get, found), float, len(found))
-            top = np.sort(np.partition(values, -3)[-3:] if len(values) > 3 else values)[::-1]
             out[k, 0] = values.sum() / (sum(map(len, found)) + len(found))
+            if values.max() > OUTSTANDING:
+                often = [v for v in map(get, lists[k]) if v > OUTSTANDING]
+                out[k, 4] = np.log1p(len(often))
+                values = np.concatenate([values[values <= OUTSTANDING], often])
+            top = np.sort(np.partition(values, -3)[-3:] if len(values) > 3 else values)[::-1]
             out[k, 1 : 1 + len(top)] = np.maximum(top, 0)
-            if top[0] > OUTSTANDING:
-                out[k, 4] = np.log1p(sum(get(w) > OUTSTANDING for w in lists[k]))
     return out
 
 
 def _gather(sample: DataFrame) -> pd.DataFrame:
-    """Number of texts of each class and fold that hold each word."""
+    """word and, for each class y and fold k, n<y>_<k>: the number of texts that hold the word."""
+    names = [f"n{y}_{k}" for y in (0, 1) for k in range(FOLDS)]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (toxic, fold), group in pdf.groupby(["toxic", "fold"]):
-                words: dict[str, int] = {}
-                for text in group["text"]:
-                    for w in set(words_of(text)):
-                        words[w] = words.get(w, 0) + 1
-                yield pd.DataFrame({"toxic": int(toxic), "fold": int(fold), "word": list(words), "n": list(words.values())})
-
-    found = sample.select("toxic", "fold", "text").mapInPandas(count, "toxic int, fold int, word string, n long")
-    return found.groupBy("word", "toxic", "fold").agg(F.sum("n").alias("n")).toPandas()
+            words: dict[str, list[int]] = {}
+            for toxic, fold, text in zip(pdf["toxic"], pdf["fold"], pdf["text"], strict=True):
+                for w in set(words_of(text)):
+                    words.setdefault(w, [0] * len(names))[toxic * FOLDS + fold] += 1
+            table = np.array(list(words.values()), np.int64).reshape(-1, len(names))
+            yield pd.DataFrame({"word": list(words), **{c: table[:, k] for k, c in enumerate(names)}})
 
+    found = sample.select("toxic", "fold", "text").mapInPandas(count, "word string, " + ", ".join(f"{c} long" for c in names))
+    return found.groupBy("word").agg(*[F.sum(c).cast("int").alias(c) for c in names]).toPandas()
 
-def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct values of the first column with the first row's values of the others, and the place of each row."""
-    keys, first, inverse = np.unique(columns[0], return_index=True, return_inverse=True)
-    return [keys, *[c[first] for c in columns[1:]]], inverse
 
+def _shared(grams: Grams, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of order ORDER - 1 and their interpolated continuation probabilities, both classes together.
 
-def _shared(grams: list[np.ndarray], contexts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For the orders 1 to ORDER - 1: hashes of the n-grams and their interpolated continuation probabilities, both classes
-    together. grams: of each distinct longest n-gram, the hashes of it and of its endings."""
-    out: list[tuple[np.ndarray, np.ndarray]] = []
+    ends: where the distinct longest n-grams end. Each order is made from the distinct n-grams that are one longer, which
+    stand for the different left extensions of their endings, and interpolated with the order below.
+    """
+    keys, p = np.zeros(0, np.uint64), np.zeros(0)
     for n in range(1, ORDER):
-        # Distinct n+1-grams stand for the different left extensions of their ending n-gram.
-        (_, gram, context, lower), _ = _distinct([grams[n], grams[n - 1], contexts[n - 1], grams[n - 2] if n > 1 else grams[0]])
-        (keys, of, low), inverse = _distinct([gram, context, lower])
-        count = np.bincount(inverse).astype(float)
-        contexts_of, at = np.unique(of, return_inverse=True)
-        total = np.bincount(at, count)
-        kinds = np.bincount(at)
-        base = np.full(len(keys), 1.0 / (len(keys) + 1)) if n == 1 else out[-1][1][np.searchsorted(out[-1][0], low)]
+        first = np.unique(grams.hashes(n + 1, ends), return_index=True)[1]
+        here = ends[first]
+        new, start, inverse = np.unique(grams.hashes(n, here), return_index=True, return_inverse=True)
+        count, at_end = np.bincount(inverse).astype(float), here[start]
+        contexts, at = np.unique(grams.hashes(n, at_end, 1), return_inverse=True)
+        total, kinds = np.bincount(at, count, len(contexts)), np.bincount(at, minlength=len(contexts))
+        base = np.full(len(new), 1.0 / (len(new) + 1)) if n == 1 else p[np.searchsorted(keys, grams.hashes(n - 1, at_end))]
         p = np.maximum(count - DISCOUNT, 0) / total[at] + DISCOUNT * kinds[at] / total[at] * base
-        out.append((keys, p))
+        keys = new
+    return keys, p
+
+
+def fit_models(words: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+    """keys, gains, contexts and backoffs of a model for each pair of counts (ordinary, toxic) of the words."""
+    grams = Grams(words)
+    keys, first, inverse = np.unique(grams.hashes(ORDER), return_index=True, return_inverse=True)
+    ends, owner = grams.ends[first], grams.owner
+    lower_keys, lower_p = _shared(grams, ends)
+    base = lower_p[np.searchsorted(lower_keys, grams.hashes(ORDER - 1, ends))]
+    contexts, at = np.unique(grams.hashes(ORDER, ends, 1), return_inverse=True)
+    out = []
+    for pair in counts:
+        log_p, log_b = [], []
+        for n in pair:
+            count = np.bincount(inverse, n[owner], minlength=len(keys))
+            total = np.bincount(at, count, minlength=len(contexts))
+            kinds = np.bincount(at, count > 0, minlength=len(contexts))
+            backoff = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+            log_p.append(np.log(np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1)[at] + backoff[at] * base + 1e-12).astype(np.float32))
+            log_b.append(np.log(backoff).astype(np.float32))
+        out.append((keys, log_p[1] - log_p[0], contexts, log_b[1] - log_b[0]))
     return out
 
 
-def fit_models(counts: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    words = counts["word"].tolist()
-    n, toxic = counts["n"].to_numpy(float), counts["toxic"].to_numpy()
-    grams, owner, last = _grams(words)
-    contexts = _contexts(grams, last)
-    top, top_context = grams[-1], contexts[-1]
-    (keys, key_context, key_lower, *_), inverse = _distinct([top, top_context, grams[-2]])
-    (distinct, *rest), _ = _distinct([top, *grams[:-1], *contexts])
-    shared = _shared([*rest[: ORDER - 1], distinct], rest[ORDER - 1 :])
-    lower_keys, lower_p = shared[-1]
-    base = lower_p[np.searchsorted(lower_keys, key_lower)]
-    all_contexts, at = np.unique(key_context, return_inverse=True)
-    log_p, log_b = [], []
-    for label in (1, 0):
-        mine = toxic[owner] == label
-        count = np.bincount(inverse[mine], n[owner][mine], minlength=len(keys))
-        total = np.bincount(at, count, minlength=len(all_contexts))
-        kinds = np.bincount(at, count > 0, minlength=len(all_contexts))
-        backoff = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        log_p.append(np.log(np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1)[at] + backoff[at] * base + 1e-12))
-        log_b.append(np.log(backoff))
-    return [keys], [(log_p[0] - log_p[1]).astype(np.float32)], all_contexts, (log_b[0] - log_b[1]).astype(np.float32)
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -213,14 +214,15 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> T
     # About twice learn_rows small rows at most, whatever the corpus.
     sample = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "toxicity-sample")
     counts = _gather(sample)
-    rest = [counts[counts["fold"] != k] for k in range(FOLDS)]
-    if any(x["toxic"].nunique() < 2 for x in rest):
+    by = {y: [counts[f"n{y}_{k}"].to_numpy(np.int32) for k in range(FOLDS)] for y in (0, 1)}
+    words = counts.pop("word").tolist()
+    del counts
+    pairs = [tuple(sum(by[y][j] for j in range(FOLDS) if j != k) for y in (0, 1)) for k in range(FOLDS + 1)]
+    if any(not n.any() for pair in pairs for n in pair):
         return None
-
-    def fitted(x: pd.DataFrame) -> ToxicityModel:
-        return ToxicityModel(*fit_models(x.groupby(["word", "toxic"], as_index=False)["n"].sum()), np.zeros(6), np.zeros(5), np.ones(5))
-
-    shared = docs.sparkSession.sparkContext.broadcast([fitted(x) for x in rest])
+    *folds, whole = [ToxicityModel(*m, np.zeros(6), np.zeros(5), np.ones(5)) for m in fit_models(words, pairs)]
+    del words
+    shared = docs.sparkSession.sparkContext.broadcast(folds)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: list[dict[str, float]] = [{} for _ in range(FOLDS)]
@@ -231,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> T
 
     seen = sample.select("text", "toxic", "part", "fold").mapInPandas(describe, "a double, b double, c double, d double, e double, toxic int, part double").toPandas()
     seen = seen.sort_values(seen.columns.tolist())
-    model = fitted(counts)
+    model = whole
     x, y = seen[list("abcde")].to_numpy(), seen["toxic"].to_numpy(float)
     model.centre, model.spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     model.weights = _logistic((x - model.centre) / model.spread, y, 1 / seen["part"].to_numpy())
