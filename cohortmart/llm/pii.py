@@ -8,6 +8,8 @@ patterns that surround it. Values that good patterns agree on are added as spans
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,23 +84,63 @@ def _after(gap: Column) -> Column:
     return F.lower(F.regexp_extract(F.left(gap, F.lit(CONTEXT)), r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
 
 
-def _spans(kind: str, found: Column, gaps: Column) -> Column:
-    """array<struct<kind, start, end, value, before, after>> in code points, from matches and gaps."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,end:int,value:string,before:string,after:string>>").alias("out"))
-    number = KINDS.index(kind) if kind in KINDS else len(KINDS)
+ALL_KINDS = (*KINDS, "other")
+#: Offsets are summed in blocks of so many matches, so that a text of very many matches takes no time of their square.
+BLOCK = 256
+
+
+def _running(values: Column, start: Column) -> Column:
+    """Sums of the values before each one, from `start` on."""
+    zero = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, zero, lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out")), lambda acc: acc["out"])
+
+
+def _with_starts(df: DataFrame) -> DataFrame:
+    """Adds s_<kind>: where each match f_<kind> starts, in code points, from the gaps g_<kind> around the matches.
+
+    One step to a projection: what a lambda looks at again and again has to be a column.
+    """
+    none = F.array().cast("array<int>")
+
+    def step(df: DataFrame, made: Callable[[str], Column], to: str) -> DataFrame:
+        return df.withColumns({f"{to}_{k}": made(k) for k in ALL_KINDS})
 
-    def step(acc: Column, i: Column) -> Column:
-        value, start = F.get(found, i), acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(value)
-        one = F.struct(
-            F.lit(number).alias("kind"), start.alias("start"), end.alias("end"), F.left(value, F.lit(VALUE)).alias("value"),
-            _before(F.get(gaps, i)).alias("before"), _after(F.get(gaps, i + 1)).alias("after"),
-        )
-        keep = F.lit(True) if number == len(KINDS) else _valid(kind, value)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def steps(k: str) -> Column:
+        return F.transform(F.arrays_zip(F.col(f"f_{k}").alias("f"), F.slice(f"g_{k}", F.lit(2), F.size(f"f_{k}")).alias("g")), lambda x: F.length(x["f"]) + F.length(x["g"]))
 
-    steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    def blocks(k: str) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(f"n_{k}") - 1) / BLOCK).cast("int"))
+        cut = F.transform(at, lambda b: F.slice(f"n_{k}", b * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(f"n_{k}") > 0, cut).otherwise(F.array().cast("array<array<int>>"))
+
+    def offsets(k: str) -> Column:
+        totals = F.transform(f"b_{k}", lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v))
+        return F.when(F.size(f"b_{k}") > 0, _running(totals, F.length(F.get(f"g_{k}", F.lit(0))))).otherwise(none)
+
+    def starts(k: str) -> Column:
+        pairs = F.arrays_zip(F.col(f"b_{k}").alias("b"), F.col(f"o_{k}").alias("o"))
+        return F.flatten(F.transform(pairs, lambda x: _running(x["b"], x["o"])))
+
+    for made, to in ((steps, "n"), (blocks, "b"), (offsets, "o"), (starts, "s")):
+        df = step(df, made, to)
+    return df
+
+
+def _spans(kind: str) -> Column:
+    """kind, start, end, value, before and after in code points: the valid matches with the words on both sides."""
+    number = ALL_KINDS.index(kind)
+    n = F.size(f"f_{kind}")
+    zipped = F.arrays_zip(
+        F.col(f"f_{kind}").alias("f"), F.slice(f"g_{kind}", F.lit(1), n).alias("a"), F.slice(f"g_{kind}", F.lit(2), n).alias("b"), F.col(f"s_{kind}").alias("s")
+    )
+    valid = zipped if kind == "other" else F.filter(zipped, lambda x: _valid(kind, x["f"]))
+    return F.transform(
+        valid,
+        lambda x: F.struct(
+            F.lit(number).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["f"])).alias("end"), F.left(x["f"], F.lit(VALUE)).alias("value"),
+            _before(x["a"]).alias("before"), _after(x["b"]).alias("after"),
+        ),
+    )
 
 
 def base_and_candidates(docs: DataFrame) -> DataFrame:
@@ -112,12 +154,11 @@ def base_and_candidates(docs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     cols["f_other"] = F.when(look, F.regexp_extract_all("t", F.lit(CANDIDATE), 0)).otherwise(empty)
     cols["g_other"] = F.when(look, F.split("t", CANDIDATE, -1)).otherwise(empty)
-    parts = keyed.select("doc_id", "text_key", *[c.alias(n) for n, c in cols.items()])
-    spans = {k: _spans(k, F.col(f"f_{k}"), F.col(f"g_{k}")) for k in (*KINDS, "other")}
+    parts = _with_starts(keyed.select("doc_id", "text_key", *[c.alias(n) for n, c in cols.items()]))
     return parts.select(
         "doc_id", "text_key",
-        F.array_sort(F.concat(*[spans[k] for k in KINDS]), lambda a, b: _order(a, b)).alias("base"),
-        spans["other"].alias("candidates"),
+        F.array_sort(F.concat(*[_spans(k) for k in KINDS]), lambda a, b: _order(a, b)).alias("base"),
+        _spans("other").alias("candidates"),
     )
 
 
