@@ -28,18 +28,22 @@ class Job:
         return f"{self.warehouse_dir}/{name}"
 
 
+def dump_to_parquet(spark: SparkSession, dump: str, path: str, table: str, file_rows: int = 2_000_000, row_group_rows: int = 500_000, mode: str = "overwrite") -> None:
+    """One table of a dump as sharded Parquet; mode "ignore" keeps a table that is there already."""
+    write_sharded(read_insert_dump(spark, dump, table), path, file_rows, row_group_rows, mode=mode)
+
+
 def bronze(spark: SparkSession, job: Job) -> dict[str, str]:
     """Dumps that exist become sharded Parquet; the others are skipped. table -> what was done."""
     done = {}
     for name, source in job.tables.items():
         try:
-            rows = read_insert_dump(spark, f"{job.dump_dir}/{source}.sql", source)
+            dump_to_parquet(spark, f"{job.dump_dir}/{source}.sql", f"{job.parquet_dir}/{source}", source)
         except Exception as error:  # noqa: BLE001 - a missing dump is no failure, anything else is
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             done[name] = "skipped: no dump"
             continue
-        write_sharded(rows, f"{job.parquet_dir}/{source}", mode="overwrite")
         done[name] = "written"
     return done
 
