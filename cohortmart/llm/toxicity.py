@@ -8,7 +8,6 @@ by its most toxic words; a logistic curve fitted on other labelled rows turns th
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,7 @@ DISCOUNT = 0.75
 LEARN_ROWS = 1_000
 #: Words longer than this are scored in pieces.
 WORD_CHARS = 40
-CACHE = 600_000
+CACHE = 200_000
 #: A word stands out if toxic texts are so much likelier to have it (a difference of log-likelihoods).
 OUTSTANDING = 2.5
 FOLDS = 3
@@ -232,6 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> T
                 yield pd.DataFrame(x, columns=list("abcde")).assign(toxic=group["toxic"].to_numpy(), part=group["part"].to_numpy())
 
     seen = sample.select("text", "toxic", "part", "fold").mapInPandas(describe, "a double, b double, c double, d double, e double, toxic int, part double").toPandas()
+    shared.unpersist()
     seen = seen.sort_values(seen.columns.tolist())
     model = whole
     x, y = seen[list("abcde")].to_numpy(), seen["toxic"].to_numpy(float)
@@ -249,19 +249,17 @@ def score_docs(docs: DataFrame, model: ToxicityModel | None, text_col: str = "te
     cols = [F.col(f"`{c}`") for c in kept]
     if model is None:
         return docs.select(*cols, F.lit(0.0).alias(names[0]), F.lit(0).alias(names[1]))
-    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*cols).schema.add(names[0], "double").add(names[1], "integer")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = _known
+        # The words of one task are kept while it runs, and not beyond: workers go on to other stages.
+        known: dict[str, float] = {}
         m = shared.value
-        if _known_of.get("model") != name:
-            known.clear()
-            _known_of["model"] = name
         for pdf in batches:
             value = np.zeros(len(pdf))
             size = np.cumsum([len(t or "") for t in pdf[text_col]])
-            cuts = np.searchsorted(size, np.arange(0, (size[-1] if len(size) else 0) + 2_000_000, 2_000_000))
+            cuts = np.searchsorted(size, np.arange(0, (size[-1] if len(size) else 0) + 500_000, 500_000))
             for a, b in zip([0, *cuts[1:]], [*cuts[1:], len(pdf)], strict=True):
                 if b > a:
                     x = (features(m, pdf[text_col].iloc[a:b].tolist(), known) - m.centre) / m.spread
@@ -272,11 +270,6 @@ def score_docs(docs: DataFrame, model: ToxicityModel | None, text_col: str = "te
     return source.mapInPandas(score, schema)
 
 
-#: Words scored by this Python worker, for one model at a time; at most about CACHE.
-_known: dict[str, float] = {}
-_known_of: dict[str, str] = {}
-
-
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are not predicted toxic, with their columns. Learns from the same rows as the query."""
     model = train(docs, labels.where(share(F.col("doc_id"), 5) != 0))
