@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 from cohortmart.llm.common import below, share, stored, table
 
 LEAST = 14
-#: Texts that the dictionary is taken from, its words, and labelled findings that are learned: about so many at most.
-DICTIONARY_TEXTS, DICTIONARY_WORDS, LEARN_FINDINGS = 2_000, 20_000, 20_000
+#: Labelled findings that are learned: about so many at most.
+LEARN_FINDINGS = 20_000
+#: A dictionary word is held by two texts at least, and by such a share of all texts or of those of one folder or language.
+DICTIONARY_SHARE = 1e-4
+#: Characters of dictionary words that are looked for within a value.
+SHORTEST, LONGEST = 4, 12
 TREES, LEVELS = 20, 6
 BEFORE, AFTER, PATH = 24, 8, 4
 
@@ -65,13 +69,45 @@ def findings(docs: DataFrame, path_col: str = "source") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path_col).alias("path"), "text").where(F.col("text").rlike("[0-9]")).mapInPandas(run, FINDING)
 
 
-def dictionary(docs: DataFrame) -> list[str]:
-    """The words of four letters and more that most texts of a bounded hash sample hold."""
-    n = docs.count()
-    sample = docs.where(below(F.col("doc_id"), min(1.0, DICTIONARY_TEXTS / max(n, 1)))).select(F.lower("text").alias("text"))
-    words = sample.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), 0))).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY_WORDS)
-    return [r["w"] for r in top.collect()]
+def dictionary(docs: DataFrame, path_col: str = "source") -> DataFrame:
+    """word: of the words of SHORTEST to LONGEST letters in all texts, those that are common enough somewhere.
+
+    The share is taken of all texts, of those of each folder and, where docs has a column lang, of those of each language, so
+    a small source or a rare language keeps its words in a large corpus.
+    """
+    folder = F.regexp_replace(F.coalesce(F.col(path_col).cast("string"), F.lit("")), "/[^/]*$", "")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    texts = docs.where(F.col("text").isNotNull()).select(folder.alias("folder"), lang.alias("lang"), F.lower("text").alias("text"))
+    held = texts.select("folder", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{%d,}" % SHORTEST), 0))).alias("word"))
+    counts = stored(held.where(F.length("word") <= LONGEST).groupBy("word", "folder", "lang").agg(F.count("*").alias("n")), "secret-words")
+    sizes = stored(texts.groupBy("folder", "lang").agg(F.count("*").alias("n")), "secret-sizes")
+    size = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    common = lambda words, of: words.where(F.col("n") >= F.greatest(F.lit(2.0), DICTIONARY_SHARE * of)).select("word")
+    kept = common(counts.groupBy("word").agg(F.sum("n").alias("n")), F.lit(size))
+    for by in ("folder", "lang"):
+        part = counts.groupBy("word", by).agg(F.sum("n").alias("n")).join(sizes.groupBy(by).agg(F.sum("n").alias("size")), by)
+        kept = kept.unionByName(common(part, F.col("size")))
+    return stored(kept.distinct(), "secret-dictionary")
+
+
+def known_words(found: DataFrame, words: DataFrame) -> DataFrame:
+    """k1, k2, known: the dictionary words within each different value, by a join of its parts to the dictionary."""
+    values = found.select("k1", "k2", "value").dropDuplicates(["k1", "k2"])
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple[int, int, str]] = []
+        for pdf in batches:
+            for k1, k2, value in pdf.itertuples(index=False):
+                lowered = value.lower()
+                some = {lowered[a:b] for m in WORD.finditer(lowered) for a in range(m.start(), m.end() - SHORTEST + 1) for b in range(a + SHORTEST, min(m.end(), a + LONGEST) + 1)}
+                out += [(k1, k2, w) for w in some]
+                if len(out) > 100_000:
+                    yield pd.DataFrame(out, columns=["k1", "k2", "word"])
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=["k1", "k2", "word"])
+
+    return values.mapInPandas(parts, "k1 long, k2 long, word string").join(words, "word").groupBy("k1", "k2").agg(F.collect_list("word").alias("known"))
 
 
 def _kinds(value: str) -> np.ndarray:
@@ -87,8 +123,8 @@ def featurize(value: str, key: str, before: str, after: str, path: str | None, k
     covered = np.zeros(n, bool)
     lowered = value.lower()
     for m in WORD.finditer(lowered):
-        for a in range(m.start(), m.end() - 3):
-            for b in range(min(m.end(), a + 12), a + 3, -1):
+        for a in range(m.start(), m.end() - SHORTEST + 1):
+            for b in range(min(m.end(), a + LONGEST), a + SHORTEST - 1, -1):
                 if lowered[a:b] in known:
                     covered[a:b] = True
                     break
@@ -112,17 +148,18 @@ def featurize(value: str, key: str, before: str, after: str, path: str | None, k
 N_FEATURES = 12 + 16 + BEFORE + AFTER + PATH
 
 
-def featured(found: DataFrame, words: list[str]) -> DataFrame:
+def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     """Adds the feature columns x0, x1, ... and drops the context."""
-    shared = found.sparkSession.sparkContext.broadcast(frozenset(words))
+    keyed = stored(found.withColumns({"k1": F.xxhash64("value"), "k2": F.xxhash64(F.lit("b"), "value")}), "secret-candidates")
+    with_words = keyed.join(known_words(keyed, words), ["k1", "k2"], "left")
     names = [f"x{k}" for k in range(N_FEATURES)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = [featurize(*row, shared.value) for row in pdf[["value", "key", "before", "after", "path"]].itertuples(index=False)]
+            x = [featurize(*row, set() if known is None else set(known)) for *row, known in pdf[["value", "key", "before", "after", "path", "known"]].itertuples(index=False)]
             yield pd.concat([pdf[["doc_id", "start", "end", "label"]], pd.DataFrame(np.array(x, float).reshape(-1, N_FEATURES), columns=names, index=pdf.index)], axis=1)
 
-    return found.mapInPandas(run, "doc_id long, start long, end long, label int, " + ", ".join(f"{c} double" for c in names))
+    return with_words.mapInPandas(run, "doc_id long, start long, end long, label int, " + ", ".join(f"{c} double" for c in names))
 
 
 def train(labelled: DataFrame, seed: int = 11):
@@ -144,10 +181,10 @@ def scan_secrets(docs: DataFrame, path_col: str = "source", learn: Column | None
     """doc_id, start, end, label, score, is_secret: every candidate with the forest's judgement.
 
     `learn` selects, by doc_id, the findings to learn from. Repeated rows give repeated findings. Without findings of both
-    labels to learn from, the score is 0. Only doc_id, the path column and text are read.
+    labels to learn from, the score is 0. Only doc_id, the path column, text and, for the dictionary, lang are read.
     """
     clean = docs.select("doc_id", path_col, "text")
-    words = dictionary(clean.where(F.col("text").isNotNull()))
+    words = dictionary(docs, path_col)
     found = stored(featured(findings(clean, path_col), words), "secret-findings")
     model = train(found if learn is None else found.where(learn))
     if model is None:

@@ -248,6 +248,13 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan_secrets(empty).count() == 0 and set(secrets.scan_secrets(docs_of(spark, TEXTS)).toPandas()["score"]) <= {0.0}
 
 
+def test_secrets_dictionary_counts_every_text(spark):
+    rare = [f"{a}{b}{c}" for a in ("zor", "quil") for b in ("bla", "mnu", "tre") for c in ("tt", "kk", "ss", "dd")]
+    texts = ["common words everywhere"] * 6000 + [f"unten {w}" for w in rare for _ in range(2)] + ["onlyonce common"]
+    words = {r["word"] for r in secrets.dictionary(docs_of(spark, texts)).collect()}
+    assert words == {"common", "words", "everywhere", "unten", *rare}
+
+
 def contained_truth(texts, items):
     def shingles(t):
         w = (t or "").lower().split()
