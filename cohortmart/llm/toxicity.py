@@ -4,28 +4,31 @@ A word is scored by the difference of its log-likelihoods under the toxic and th
 longest n-grams belong to a class; shorter contexts back off to continuation counts of both classes together, so a rare
 expression that neither class knows is judged alike by both. A text is described by its difference for each character and
 by its most toxic words; a logistic curve fitted on other labelled rows turns that into a probability.
+
+Counts are of all training rows. They, the gains and the backoffs are tables; the distinct words of the texts are scored by
+joins to them. Only the logistic curve is fitted on a bounded sample.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmart.llm.common import below, share, stored, table
-from cohortmart.llm.ngrams import code_points, mix
 
 ORDER = 8
 DISCOUNT = 0.75
-#: Labelled rows of each class that are learned from: about so many at most.
-LEARN_ROWS = 1_000
+#: Labelled rows of each class that the logistic curve is fitted on: about so many at most.
+LEARN_ROWS = 2_000
 #: Words longer than this are scored in pieces.
 WORD_CHARS = 40
-CACHE = 200_000
+#: Texts that are scored together, with one copy of the gains of their words.
+CHUNK_ROWS = 1_000
 #: A word stands out if toxic texts are so much likelier to have it (a difference of log-likelihoods).
 OUTSTANDING = 2.5
 FOLDS = 3
@@ -40,70 +43,38 @@ def words_of(text: str | None) -> list[str]:
     return found
 
 
-class Grams:
-    """n-grams that end at each character of each word and at its end mark, as hashes that are made when asked for."""
-
-    def __init__(self, words: list[str]):
-        points, cuts = code_points([START * (ORDER - 1) + w + END for w in words])
-        owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(cuts))
-        self.points = points
-        self.ends = np.flatnonzero(np.arange(len(points)) - cuts[:-1][owner] >= ORDER - 1)
-        self.owner = owner[self.ends]
-
-    def _at(self, ends: np.ndarray, back: int) -> np.ndarray:
-        return mix((self.points[ends - back].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B1) + np.uint64(back))
-
-    def hashes(self, n: int, ends: np.ndarray | None = None, first: int = 0) -> np.ndarray:
-        """Of the n-grams that end at `ends`; with first = 1 of their contexts, the last character left out."""
-        ends = self.ends if ends is None else ends
-        h = np.zeros(len(ends), np.uint64)
-        for back in range(first, n):
-            h = h + self._at(ends, back)
-        return h
-
-
 @dataclass
 class ToxicityModel:
-    keys: np.ndarray  # sorted hashes of the longest n-grams known to either class
-    gains: np.ndarray  # their log P(toxic) - log P(ordinary)
-    contexts: np.ndarray  # sorted hashes of the longest contexts
-    backoffs: np.ndarray  # their log backoff weight, toxic less ordinary
+    """Tables of the n-grams known to either class; column k < FOLDS is without the rows of fold k, the last of all rows."""
+
+    gains: DataFrame  # gram, g0, g1, ...: log P(toxic) - log P(ordinary) of the longest n-grams
+    backoffs: DataFrame  # context, b0, b1, ...: log backoff weight of the longest contexts, toxic less ordinary
     weights: np.ndarray
     centre: np.ndarray
     spread: np.ndarray
 
 
-def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return np.where(hit, values[at], 0.0), hit
+def grams_of(word: str) -> Column:
+    """The longest n-grams that end at each character of the word and at its end mark."""
+    padded = F.concat(F.lit(START * (ORDER - 1)), F.col(word), F.lit(END))
+    return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))
 
 
-def word_gains(model: ToxicityModel, words: list[str]) -> np.ndarray:
-    """log P(word | toxic) - log P(word | ordinary) of each word."""
-    if not words:
-        return np.zeros(0)
-    grams = Grams(words)
-    gain, hit = _lookup(model.keys, model.gains, grams.hashes(ORDER))
+def word_gains(model: ToxicityModel, words: DataFrame, models: list[int]) -> DataFrame:
+    """word, w<k> for the given models k: log P(word | toxic) - log P(word | ordinary) of distinct words."""
+    found = words.select("word", F.explode(grams_of("word")).alias("gram")).join(model.gains.select("gram", *[f"g{k}" for k in models]), "gram", "left")
     # Unknown to both classes: both back off to the same shared distribution, so only the backoff weights differ.
-    unknown = np.flatnonzero(~hit)
-    gain[unknown] = _lookup(model.contexts, model.backoffs, grams.hashes(ORDER, grams.ends[unknown], 1))[0]
-    return np.bincount(grams.owner, gain, minlength=len(words))
+    known = found.where(f"g{models[0]} IS NOT NULL").select("word", *[F.col(f"g{k}").alias(f"w{k}") for k in models])
+    unknown = found.where(f"g{models[0]} IS NULL").select("word", F.left("gram", F.lit(ORDER - 1)).alias("context"))
+    backed = unknown.join(model.backoffs, "context", "left").select("word", *[F.coalesce(f"b{k}", F.lit(0.0)).alias(f"w{k}") for k in models])
+    return known.unionByName(backed).groupBy("word").agg(*[F.sum(f"w{k}").alias(f"w{k}") for k in models])
 
 
-def features(model: ToxicityModel, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
+def features(texts: list[str | None], known: dict[str, float]) -> np.ndarray:
     """Length-normalised difference of the text's distinct words, its three most toxic ones (words that stand out count as
     often as they occur), and how often such words occur."""
     lists = [words_of(t) for t in texts]
     sets = [set(x) for x in lists]
-    if len(known) > CACHE:
-        known.clear()
-    missing = list(set().union(*sets).difference(known))
-    for at in range(0, len(missing), 50_000):
-        some = missing[at : at + 50_000]
-        known.update(zip(some, word_gains(model, some).tolist(), strict=True))
     out = np.zeros((len(texts), 5))
     get = known.__getitem__
     for k, found in enumerate(sets):
@@ -119,7 +90,27 @@ def features(model: ToxicityModel, texts: list[str | None], known: dict[str, flo
     return out
 
 
-def _gather(sample: DataFrame) -> pd.DataFrame:
+def _chunked(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written, with __chunk: the same number for at most CHUNK_ROWS rows that lie together."""
+    at = F.monotonically_increasing_id()
+    return stored(rows.withColumn("__chunk", F.shiftright(at, 33) * (1 << 33) + F.floor((at - F.shiftright(at, 33) * (1 << 33)) / CHUNK_ROWS)), name)
+
+
+def _with_gains(rows: DataFrame, text_col: str, model: ToxicityModel, models: list[int], fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
+    """fn(rows of a chunk, word and w<k> of its words) for each chunk of chunked rows. Each word of a chunk is shuffled once."""
+
+    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, texts in pdf.groupby("__chunk")["t"]:
+                yield pd.DataFrame({"word": list(set().union(*map(words_of, texts)))}, dtype=object).assign(__chunk=np.int64(chunk))[["__chunk", "word"]]
+
+    pairs = stored(rows.select("__chunk", F.col(text_col).alias("t")).mapInPandas(distinct, "__chunk long, word string"), "toxicity-words")
+    gains = word_gains(model, pairs.select("word").distinct(), models)
+    # A chunk that lies across batches has some words twice; a look-up takes either.
+    return rows.groupBy("__chunk").cogroup(pairs.join(gains, "word").groupBy("__chunk")).applyInPandas(fn, schema)
+
+
+def _gather(rows: DataFrame) -> DataFrame:
     """word and, for each class y and fold k, n<y>_<k>: the number of texts that hold the word."""
     names = [f"n{y}_{k}" for y in (0, 1) for k in range(FOLDS)]
 
@@ -132,50 +123,56 @@ def _gather(sample: DataFrame) -> pd.DataFrame:
             table = np.array(list(words.values()), np.int64).reshape(-1, len(names))
             yield pd.DataFrame({"word": list(words), **{c: table[:, k] for k, c in enumerate(names)}})
 
-    found = sample.select("toxic", "fold", "text").mapInPandas(count, "word string, " + ", ".join(f"{c} long" for c in names))
-    return found.groupBy("word").agg(*[F.sum(c).cast("int").alias(c) for c in names]).toPandas()
+    found = rows.select("toxic", "fold", "text").mapInPandas(count, "word string, " + ", ".join(f"{c} long" for c in names))
+    return found.groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
 
 
-def _shared(grams: Grams, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of order ORDER - 1 and their interpolated continuation probabilities, both classes together.
+def _shared(grams: DataFrame) -> DataFrame:
+    """gram, p of order ORDER - 1: interpolated continuation probabilities, both classes together.
 
-    ends: where the distinct longest n-grams end. Each order is made from the distinct n-grams that are one longer, which
-    stand for the different left extensions of their endings, and interpolated with the order below.
+    grams: the distinct longest n-grams. Each order is made from the distinct n-grams that are one longer, which stand for the
+    different left extensions of their endings, and interpolated with the order below.
     """
-    keys, p = np.zeros(0, np.uint64), np.zeros(0)
+    kinds: dict[int, DataFrame] = {}
+    longer = grams.select("gram")
+    for n in range(ORDER - 1, 0, -1):
+        longer = kinds[n] = stored(longer.groupBy(F.right("gram", F.lit(n)).alias("gram")).agg(F.count("*").alias("n")), f"toxicity-kinds-{n}")
+    found = None
     for n in range(1, ORDER):
-        first = np.unique(grams.hashes(n + 1, ends), return_index=True)[1]
-        here = ends[first]
-        new, start, inverse = np.unique(grams.hashes(n, here), return_index=True, return_inverse=True)
-        count, at_end = np.bincount(inverse).astype(float), here[start]
-        contexts, at = np.unique(grams.hashes(n, at_end, 1), return_inverse=True)
-        total, kinds = np.bincount(at, count, len(contexts)), np.bincount(at, minlength=len(contexts))
-        base = np.full(len(new), 1.0 / (len(new) + 1)) if n == 1 else p[np.searchsorted(keys, grams.hashes(n - 1, at_end))]
-        p = np.maximum(count - DISCOUNT, 0) / total[at] + DISCOUNT * kinds[at] / total[at] * base
-        keys = new
-    return keys, p
-
-
-def fit_models(words: list[str], counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
-    """keys, gains, contexts and backoffs of a model for each pair of counts (ordinary, toxic) of the words."""
-    grams = Grams(words)
-    keys, first, inverse = np.unique(grams.hashes(ORDER), return_index=True, return_inverse=True)
-    ends, owner = grams.ends[first], grams.owner
-    lower_keys, lower_p = _shared(grams, ends)
-    base = lower_p[np.searchsorted(lower_keys, grams.hashes(ORDER - 1, ends))]
-    contexts, at = np.unique(grams.hashes(ORDER, ends, 1), return_inverse=True)
-    out = []
-    for pair in counts:
-        log_p, log_b = [], []
-        for n in pair:
-            count = np.bincount(inverse, n[owner], minlength=len(keys))
-            total = np.bincount(at, count, minlength=len(contexts))
-            kinds = np.bincount(at, count > 0, minlength=len(contexts))
-            backoff = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-            log_p.append(np.log(np.maximum(count - DISCOUNT, 0) / np.maximum(total, 1)[at] + backoff[at] * base + 1e-12).astype(np.float32))
-            log_b.append(np.log(backoff).astype(np.float32))
-        out.append((keys, log_p[1] - log_p[0], contexts, log_b[1] - log_b[0]))
-    return out
+        here = kinds[n].select("gram", "n", F.left("gram", F.lit(n - 1)).alias("context"), F.right("gram", F.lit(n - 1)).alias("ending"))
+        totals = here.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        below_it = here.join(totals, "context")
+        if found is None:
+            below_it = below_it.withColumn("base", F.lit(1.0 / (kinds[1].count() + 1)))
+        else:
+            below_it = below_it.join(found.select(F.col("gram").alias("ending"), F.col("p").alias("base")), "ending")
+        p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + DISCOUNT * F.col("kinds") / F.col("total") * F.col("base")
+        found = stored(below_it.select("gram", p.alias("p")), f"toxicity-shared-{n}")
+    return found
+
+
+def fit_models(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The gains and backoffs of a ToxicityModel from the counts of all training rows: word, n<y>_<k>."""
+    names = [f"n{y}_{k}" for y in (0, 1) for k in range(FOLDS)]
+    each = words.select(F.explode(grams_of("word")).alias("gram"), *names).groupBy("gram").agg(*[F.sum(c).alias(c) for c in names])
+    grams = stored(each, "toxicity-grams")
+    base = _shared(grams)
+    models, both = range(FOLDS + 1), (0, 1)
+    count = {(y, k): sum((F.col(f"n{y}_{j}") for j in range(FOLDS) if j != k), F.lit(0)) for y in both for k in models}
+    counted = grams.select("gram", F.left("gram", F.lit(ORDER - 1)).alias("context"), F.right("gram", F.lit(ORDER - 1)).alias("ending"), *[c.alias(f"c{y}_{k}") for (y, k), c in count.items()])
+    sums = [f(y, k) for y in both for k in models for f in (lambda y, k: F.sum(f"c{y}_{k}").alias(f"t{y}_{k}"), lambda y, k: F.count_if(F.col(f"c{y}_{k}") > 0).alias(f"k{y}_{k}"))]
+    totals = counted.groupBy("context").agg(*sums)
+    weight = [F.when(F.col(f"t{y}_{k}") > 0, DISCOUNT * F.col(f"k{y}_{k}") / F.col(f"t{y}_{k}")).otherwise(1.0).alias(f"w{y}_{k}") for y in both for k in models]
+    contexts = stored(totals.select("context", *[f"t{y}_{k}" for y in both for k in models], *weight), "toxicity-contexts")
+    known = counted.join(contexts, "context").join(base.select(F.col("gram").alias("ending"), "p"), "ending")
+
+    def log_p(y: int, k: int) -> Column:
+        own = F.greatest(F.col(f"c{y}_{k}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"t{y}_{k}"), F.lit(1))
+        return F.log(own + F.col(f"w{y}_{k}") * F.col("p") + 1e-12)
+
+    gains = known.select("gram", *[(log_p(1, k) - log_p(0, k)).alias(f"g{k}") for k in models])
+    backoffs = contexts.select("context", *[(F.log(f"w1_{k}") - F.log(f"w0_{k}")).alias(f"b{k}") for k in models])
+    return stored(gains, "toxicity-gains"), stored(backoffs, "toxicity-backoffs")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -194,46 +191,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 
 
 def _sample(labelled: DataFrame, learn_rows: int) -> DataFrame:
-    """About `learn_rows` rows of each class, by a hash of the id, with the share of its class that was taken."""
+    """Marks about `learn_rows` rows of each class, by a hash of the id, with the share of its class that is taken."""
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     part = {k: min(1.0, learn_rows / n) for k, n in sizes.items()}
     wanted = F.when(F.col("toxic") == 1, part.get(1, 1.0)).otherwise(part.get(0, 1.0))
-    return labelled.where(below(F.col("doc_id"), wanted)).withColumn("part", wanted)
+    return labelled.withColumns({"part": wanted, "sampled": below(F.col("doc_id"), wanted)})
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> ToxicityModel | None:
-    """Counts a bounded sample of the labelled rows (doc_id, text; doc_id, toxic) and fits the curve on it.
+    """Counts all labelled rows (doc_id, text; doc_id, toxic) and fits the curve on a bounded sample of them.
 
     Each row is described by models of the other folds, so that the curve sees words as they look in unknown texts. Labels
     other than 0 and 1 and rows without a text are left out. None where a class has no row in some folds.
     """
     marked = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    ids = _sample(marked, learn_rows).withColumn("fold", fold)
-    # About twice learn_rows small rows at most, whatever the corpus.
-    sample = stored(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "toxicity-sample")
-    counts = _gather(sample)
-    by = {y: [counts[f"n{y}_{k}"].to_numpy(np.int32) for k in range(FOLDS)] for y in (0, 1)}
-    words = counts.pop("word").tolist()
-    del counts
-    pairs = [tuple(sum(by[y][j] for j in range(FOLDS) if j != k) for y in (0, 1)) for k in range(FOLDS + 1)]
-    if any(not n.any() for pair in pairs for n in pair):
+    ids = stored(_sample(marked, learn_rows).withColumn("fold", fold), "toxicity-ids")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
+    counts = stored(_gather(rows), "toxicity-counts")
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns[1:]]).first()
+    if any(not sum(sums[f"n{y}_{j}"] for j in range(FOLDS) if j != k) for y in (0, 1) for k in range(FOLDS + 1)):
         return None
-    *folds, whole = [ToxicityModel(*m, np.zeros(6), np.zeros(5), np.ones(5)) for m in fit_models(words, pairs)]
-    del words
-    shared = docs.sparkSession.sparkContext.broadcast(folds)
+    model = ToxicityModel(*fit_models(counts), np.zeros(6), np.zeros(5), np.ones(5))
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: list[dict[str, float]] = [{} for _ in range(FOLDS)]
-        for pdf in batches:
-            for k, group in pdf.groupby("fold"):
-                x = features(shared.value[k], group["text"].tolist(), known[k])
-                yield pd.DataFrame(x, columns=list("abcde")).assign(toxic=group["toxic"].to_numpy(), part=group["part"].to_numpy())
+    def describe(pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=[*"abcde", "toxic", "part"])]
+        for k, group in pdf.groupby("fold"):
+            x = features(group["text"].tolist(), dict(zip(words["word"], words[f"w{k}"], strict=True)))
+            out.append(pd.DataFrame(x, columns=list("abcde")).assign(toxic=group["toxic"].to_numpy(), part=group["part"].to_numpy()))
+        return pd.concat(out[1:] or out)
 
-    seen = sample.select("text", "toxic", "part", "fold").mapInPandas(describe, "a double, b double, c double, d double, e double, toxic int, part double").toPandas()
-    shared.unpersist()
+    # About twice learn_rows small rows at most, whatever the corpus.
+    sample = _chunked(rows.where("sampled").select("text", "toxic", "part", "fold"), "toxicity-sample")
+    schema = "a double, b double, c double, d double, e double, toxic int, part double"
+    seen = _with_gains(sample, "text", model, list(range(FOLDS)), describe, schema).toPandas()
     seen = seen.sort_values(seen.columns.tolist())
-    model = whole
     x, y = seen[list("abcde")].to_numpy(), seen["toxic"].to_numpy(float)
     model.centre, model.spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     model.weights = _logistic((x - model.centre) / model.spread, y, 1 / seen["part"].to_numpy())
@@ -249,25 +241,16 @@ def score_docs(docs: DataFrame, model: ToxicityModel | None, text_col: str = "te
     cols = [F.col(f"`{c}`") for c in kept]
     if model is None:
         return docs.select(*cols, F.lit(0.0).alias(names[0]), F.lit(0).alias(names[1]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*cols).schema.add(names[0], "double").add(names[1], "integer")
+    weights, centre, spread = model.weights, model.centre, model.spread
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The words of one task are kept while it runs, and not beyond: workers go on to other stages.
-        known: dict[str, float] = {}
-        m = shared.value
-        for pdf in batches:
-            value = np.zeros(len(pdf))
-            size = np.cumsum([len(t or "") for t in pdf[text_col]])
-            cuts = np.searchsorted(size, np.arange(0, (size[-1] if len(size) else 0) + 500_000, 500_000))
-            for a, b in zip([0, *cuts[1:]], [*cuts[1:], len(pdf)], strict=True):
-                if b > a:
-                    x = (features(m, pdf[text_col].iloc[a:b].tolist(), known) - m.centre) / m.spread
-                    value[a:b] = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
-            yield pdf[kept].assign(**{names[0]: value, names[1]: (value >= 0.5).astype("int32")})
-
-    source = docs.select(*cols) if keep_text else docs.select(*cols, F.col(text_col))
-    return source.mapInPandas(score, schema)
+    def score(pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        x = (features(pdf["__text"].tolist(), dict(zip(words["word"], words[f"w{FOLDS}"], strict=True))) - centre) / spread
+        value = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+        return pdf[kept].assign(**{names[0]: value, names[1]: (value >= 0.5).astype("int32")})
+
+    rows = _chunked(docs.select(*cols, F.col(text_col).alias("__text")), "toxicity-texts")
+    return _with_gains(rows, "__text", model, [FOLDS], score, schema)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -191,6 +191,17 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == table.columns and 450 < kept.count() < 510 and kept.first()["score"] == 0.5
 
 
+def test_toxicity_counts_every_training_row(spark):
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("ba", "ko", "mi", "ta", "lu") for b in ("ra", "no", "se", "di")]
+    texts = [" ".join(rng.choice(words, 20)) + (f" vile grub{k:04d}zz" if k % 2 else "") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(docs_of(spark, texts), labels, learn_rows=60)
+    rare = spark.createDataFrame([(f"grub{k:04d}zz",) for k in range(1, 300, 2)], "word string")
+    known = rare.select("word", toxicity.F.explode(toxicity.grams_of("word")).alias("gram")).join(model.gains, "gram", "left_anti")
+    assert known.count() == 0 and all(r["w3"] > 1 for r in toxicity.word_gains(model, rare, [3]).collect())
+
+
 def test_pivot_index(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 16))
