@@ -1,6 +1,7 @@
 """Secret scans: a random forest tells secrets from other long strings.
 
-Candidates are words of at least LEAST characters with a digit. Features: length, transitions between kinds of characters
+Candidates are runs without white space and their parts between quotes, commas, braces, ampersands and assignment signs, if they
+have at least LEAST characters or are assigned to a name; values of telling names are taken whatever they are. Features: length, transitions between kinds of characters
 and between letters, share covered by dictionary words, the path, and the neighbouring words. The forest is trained on labelled
 findings, by default those of fixed rules (well-known key formats and assignments to names such as password).
 """
@@ -32,7 +33,12 @@ SHORTEST, LONGEST = 4, 12
 TREES, LEVELS = 20, 6
 BEFORE, AFTER, PATH = 24, 8, 4
 
-CHUNK = re.compile(r"(?<!\S)\S{%d,}" % LEAST)
+CHUNK = re.compile(r"(?<!\S)(?:\S{%d,}|[^\s:=]*[:=]\S*)" % LEAST)
+#: Parts of a run, and parts of those, which keep padding signs at their end.
+SEGMENT = re.compile(r"""[^"'`,;{}\[\]()<>&?|]+""")
+PIECE = re.compile(r"[^:=]+(?:={1,2}(?![^:=]))?")
+ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["'`]*[:=]+>?["'`(\[{<]*$""")
+TELLING = re.compile(r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["'`]*\s*[:=]+>?\s*["'`(\[{<]*([^\s"'`,;{}\[\]()<>&]+)""")
 VALUE = re.compile(r"""^["'(\[{<]*(?:([A-Za-z_][A-Za-z0-9_.-]*)[:=]+)?["'(\[{<]*(.*?)["')\]}>.,;:!?]*$""", re.S)
 WORD = re.compile(r"[^\W\d_]{4,}")
 TEST_PATH = re.compile(r"test|mock|example|sample|fixture|doc", re.I)
@@ -47,7 +53,36 @@ def rule_label(value: str, key: str, before: str) -> int:
     """1 for a value of a well-known format or one that is assigned to a telling name, else 0."""
     name = key or before.rstrip(" \t\r\n:=\"'")
     assigned = bool(key) or bool(re.search(r"[:=][\s\"']*$", before))
-    return int(bool(KNOWN_FORMAT.fullmatch(value)) or bool(assigned and KNOWN_NAME.search(name) and re.search("[0-9]", value)))
+    return int(bool(KNOWN_FORMAT.fullmatch(value)) or bool(assigned and KNOWN_NAME.search(name) and (len(value) >= LEAST or re.search("[0-9]", value))))
+
+
+def candidates(text: str) -> dict[tuple[int, int], str]:
+    """Start and end of each candidate of a text, in order, with the name it is assigned to within its run or ''."""
+    found: dict[tuple[int, int], str] = {}
+
+    def take(start: int, end: int, key: str) -> None:
+        if end > start and (key or end - start >= LEAST) and not found.get((start, end)):
+            found[start, end] = key
+
+    for m in CHUNK.finditer(text):
+        whole = VALUE.match(m[0])
+        if whole is not None and len(whole[2]) >= LEAST:
+            take(m.start() + whole.start(2), m.start() + whole.end(2), whole[1] or "")
+        for part in SEGMENT.finditer(m[0]):
+            for piece in (part, *PIECE.finditer(m[0], part.start(), part.end())):
+                a, b = piece.span()
+                b = a + len(m[0][a:b].rstrip(".!"))
+                name = ASSIGNED.search(m[0], max(0, a - 80), a)
+                inner = VALUE.match(m[0][a:b]) if piece is part else None
+                if inner is not None and inner[1]:
+                    take(m.start() + a + inner.start(2), m.start() + a + inner.end(2), inner[1])
+                else:
+                    take(m.start() + a, m.start() + b, name[1] if name else "")
+    for m in TELLING.finditer(text):
+        a, b = m.start(1), m.start(1) + len(m[1].rstrip(".!?:"))
+        if b > a:
+            found.setdefault((a, b), "")
+    return dict(sorted(found.items()))
 
 
 def findings(docs: DataFrame, path_col: str = "source") -> DataFrame:
@@ -57,16 +92,12 @@ def findings(docs: DataFrame, path_col: str = "source") -> DataFrame:
         for pdf in batches:
             out = []
             for doc_id, path, text in zip(pdf["doc_id"], pdf["path"], pdf["text"], strict=True):
-                for m in CHUNK.finditer(text or ""):
-                    part = VALUE.match(m[0])
-                    if part is None or len(part[2]) < LEAST or not re.search("[0-9]", part[2]):
-                        continue
-                    start = m.start() + part.start(2)
-                    before, after = text[max(0, start - 60) : start], text[start + len(part[2]) : start + len(part[2]) + 60]
-                    out.append((doc_id, path, start, start + len(part[2]), part[2], part[1] or "", before, after, rule_label(part[2], part[1] or "", before)))
+                for (start, end), key in candidates(text or "").items():
+                    value, before, after = text[start:end], text[max(0, start - 60) : start], text[end : end + 60]
+                    out.append((doc_id, path, start, end, value, key, before, after, rule_label(value, key, before)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDING.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path_col).alias("path"), "text").where(F.col("text").rlike("[0-9]")).mapInPandas(run, FINDING)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path_col).alias("path"), "text").where(F.col("text").isNotNull()).mapInPandas(run, FINDING)
 
 
 def dictionary(docs: DataFrame, path_col: str = "source") -> DataFrame:

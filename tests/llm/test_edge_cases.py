@@ -266,6 +266,16 @@ def test_secrets_dictionary_counts_every_text(spark):
     assert words == {"common", "words", "everywhere", "unten", *rare}
 
 
+def test_secrets_of_any_length_in_any_run(spark):
+    letters = "qwkjhzxnbvplmrtyghdfsaqwexczvbnm"
+    texts = ["login password=hunter2x9 works", f"api_key: {letters} set", '{"user":"a1","token":"t0k3nA9","secret":"Zz8yXx7wVv6u"}', f"https://x.org/a?id=4&token={letters}&secret=ab12", "the password: correcthorse"]
+    found = secrets.findings(docs_of(spark, texts)).collect()
+    values = {(r["doc_id"], r["value"]): r["label"] for r in found}
+    wanted = {(0, "hunter2x9"): 1, (1, letters): 1, (2, "t0k3nA9"): 1, (2, "Zz8yXx7wVv6u"): 1, (3, letters): 1, (3, "ab12"): 1, (4, "correcthorse"): 0}
+    assert {k: values.get(k) for k in wanted} == wanted
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in found)
+
+
 def contained_truth(texts, items):
     def shingles(t):
         w = (t or "").lower().split()
