@@ -29,8 +29,11 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Candidates for new identifiers: words with a digit or an at-sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Characters of context that are looked at on each side of a value, and characters of a candidate that count.
-CONTEXT, VALUE = 60, 80
+#: Runs of number words, which are candidates as a whole too.
+_NUMBER = r"[+(]*+[0-9][0-9().,/+-]*+(?![^\x20\x09-\x0D])"
+RUN = rf"(?<![^\x20\x09-\x0D]){_NUMBER}(?:[\x20\x09-\x0D]++{_NUMBER})++"
+#: Characters of context that are looked at on each side of a value, and marks that stand for the words beyond a text.
+CONTEXT, START, END = 60, "\x02", "\x03"
 
 ROUNDS = 3
 #: A pattern counts from so many different values on, of which such a share must be of one kind.
@@ -76,15 +79,18 @@ def _matches(text: Column, pattern: str, hint: str | None) -> tuple[Column, Colu
     )
 
 
-def _before(gap: Column) -> Column:
-    return F.lower(F.regexp_extract(F.right(gap, F.lit(CONTEXT)), r"([^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+$", 1))
+def _before(left: Column, gap: Column) -> Column:
+    """The word before a value: of the gap, or else of the match (or mark) that stands left of the gap."""
+    near = F.regexp_replace(F.concat(F.right(left, F.lit(CONTEXT)), gap), r"(?<![\x20\x09-\x0D])[\x20\x09-\x0D]++$", "")
+    return F.lower(F.regexp_extract(F.right(near, F.lit(CONTEXT)), r"([^\x20\x09-\x0D]++)$", 1))
 
 
-def _after(gap: Column) -> Column:
-    return F.lower(F.regexp_extract(F.left(gap, F.lit(CONTEXT)), r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
+def _after(gap: Column, right: Column) -> Column:
+    near = F.regexp_replace(F.concat(gap, F.left(right, F.lit(CONTEXT))), r"^[\x20\x09-\x0D]++", "")
+    return F.lower(F.regexp_extract(F.left(near, F.lit(CONTEXT)), r"^([^\x20\x09-\x0D]++)", 1))
 
 
-ALL_KINDS = (*KINDS, "other")
+ALL_KINDS = (*KINDS, "other", "run")
 #: Offsets are summed in blocks of so many matches, so that a text of very many matches takes no time of their square.
 BLOCK = 256
 
@@ -131,20 +137,21 @@ def _spans(kind: str) -> Column:
     number = ALL_KINDS.index(kind)
     n = F.size(f"f_{kind}")
     zipped = F.arrays_zip(
-        F.col(f"f_{kind}").alias("f"), F.slice(f"g_{kind}", F.lit(1), n).alias("a"), F.slice(f"g_{kind}", F.lit(2), n).alias("b"), F.col(f"s_{kind}").alias("s")
+        F.col(f"f_{kind}").alias("f"), F.slice(f"g_{kind}", F.lit(1), n).alias("a"), F.slice(f"g_{kind}", F.lit(2), n).alias("b"), F.col(f"s_{kind}").alias("s"),
+        F.slice(F.concat(F.array(F.lit(START + " ")), f"f_{kind}"), F.lit(1), n).alias("l"), F.slice(F.concat(f"f_{kind}", F.array(F.lit(" " + END))), F.lit(2), n).alias("r"),
     )
-    valid = zipped if kind == "other" else F.filter(zipped, lambda x: _valid(kind, x["f"]))
+    valid = zipped if kind not in KINDS else F.filter(zipped, lambda x: _valid(kind, x["f"]))
     return F.transform(
         valid,
         lambda x: F.struct(
-            F.lit(number).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["f"])).alias("end"), F.left(x["f"], F.lit(VALUE)).alias("value"),
-            _before(x["a"]).alias("before"), _after(x["b"]).alias("after"),
+            F.lit(number).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["f"])).alias("end"), F.xxhash64(x["f"]).alias("value"),
+            _before(x["l"], x["a"]).alias("before"), _after(x["b"], x["r"]).alias("after"),
         ),
     )
 
 
 def base_and_candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, base, candidates: spans of the base patterns, and of words with a digit or an at-sign."""
+    """doc_id, text_key, base, candidates: spans of the base patterns, and of words with a digit or an at-sign and runs of number words."""
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("t"))
     cols: dict[str, Column] = {}
@@ -154,11 +161,12 @@ def base_and_candidates(docs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     cols["f_other"] = F.when(look, F.regexp_extract_all("t", F.lit(CANDIDATE), 0)).otherwise(empty)
     cols["g_other"] = F.when(look, F.split("t", CANDIDATE, -1)).otherwise(empty)
+    cols["f_run"], cols["g_run"] = _matches(F.col("t"), RUN, None)
     parts = _with_starts(keyed.select("doc_id", "text_key", *[c.alias(n) for n, c in cols.items()]))
     return parts.select(
         "doc_id", "text_key",
         F.array_sort(F.concat(*[_spans(k) for k in KINDS]), lambda a, b: _order(a, b)).alias("base"),
-        _spans("other").alias("candidates"),
+        F.concat(_spans("other"), _spans("run")).alias("candidates"),
     )
 
 
@@ -168,15 +176,17 @@ def _order(a: Column, b: Column) -> Column:
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """doc_id, text_key, kind (null for candidates), start, end, value, pattern: values with words on both sides.
+    """doc_id, text_key, kind (null for candidates), start, end, value, pattern: values, by a hash, with the words on both sides, on the left and on the right.
 
-    A candidate that touches a base span is part of it and is left out.
+    Edges of the text are marks; a mark alone is no pattern. A candidate that touches a base span is part of it and is left out.
     """
     base = found.select("doc_id", "text_key", F.explode("base").alias("s")).select("doc_id", "text_key", F.col("s.kind").alias("kind"), "s.start", "s.end", "s.value", "s.before", "s.after")
     free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
     other = found.select("doc_id", "text_key", F.explode(free).alias("s")).select("doc_id", "text_key", F.lit(None).cast("int").alias("kind"), "s.start", "s.end", "s.value", "s.before", "s.after")
-    both = base.unionByName(other).where((F.col("before") != "") & (F.col("after") != ""))
-    return both.select("doc_id", "text_key", "kind", "start", "end", "value", F.concat_ws(" _ ", "before", "after").alias("pattern"))
+    left = F.when(F.col("before") != START, F.concat("before", F.lit(" _")))
+    right = F.when(F.col("after") != END, F.concat(F.lit("_ "), "after"))
+    patterns = F.array_compact(F.array(F.when(left.isNotNull() | right.isNotNull(), F.concat_ws(" _ ", "before", "after")), left, right))
+    return base.unionByName(other).select("doc_id", "text_key", "kind", "start", "end", "value", F.explode(patterns).alias("pattern"))
 
 
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
@@ -220,7 +230,9 @@ def find_pii(docs: DataFrame, **options: float) -> DataFrame:
     occurrences = _occurrences(found)
     believed = bootstrap(occurrences, **options).select("value", F.col("kind").alias("found"))
     new = occurrences.where("kind IS NULL").join(believed, "value").select("doc_id", "text_key", F.struct(F.col("found").alias("kind"), "start", "end").alias("s"))
-    added = new.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("added")).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "added")
+    # A word that is part of an added run is not a span of its own.
+    outer = F.filter("added", lambda x: ~F.exists("added", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
+    added = new.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("added")).withColumn("added", outer).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "added")
     slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     both = found.join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")

@@ -135,6 +135,12 @@ def test_pii_finds_unseen_identifiers_by_context(spark):
     assert all(len(found[k]["all"]) == 1 for k in range(9))
 
 
+def test_pii_finds_runs_at_the_edge_of_a_text(spark):
+    texts = [f"please call +49 30 55512{k:02d} 34 now" for k in range(20)] + ["please call 030 5551234", "call 040 777 99", "room 12 14 is free"]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in pii.find_pii(docs_of(spark, texts)).collect()}
+    assert found[20] == [(3, 12, 23)] and found[21] == [(3, 5, 15)] and not found[22]
+
+
 def test_pii_query_digest(spark, tmp_path):
     docs_of(spark, PII_TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
     for r in pii.query(spark, str(tmp_path)).collect():
