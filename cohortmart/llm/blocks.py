@@ -17,18 +17,21 @@ BLOCK = 512
 PAIRS = 1 << 20
 
 
-def block_pairs(members: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
+def block_pairs(members: DataFrame, key: str, member: str, block: int = BLOCK, weight: str | None = None, most: int = 1 << 20) -> DataFrame:
     """Members of groups of two and more, each once for every pair of blocks that its block takes part in.
 
     Adds first, second (the pair of blocks) and mine (the member's own). Rows with the same key, first and second belong
-    together. A group of up to `block` members is one block, paired with itself.
+    together. A group of up to `block` members is one block, paired with itself; with `weight`, a column, blocks also hold
+    about `most` of it together at most, so that long members make smaller blocks.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
+    load = F.sum(F.col(weight).cast("long")) if weight else F.lit(0).cast("long")
+    sizes = members.groupBy(key).agg(F.count("*").alias("__n"), load.alias("__load")).where("__n > 1")
     joined = members.join(sizes, key)
-    n_blocks = F.ceil(F.col("__n") / block).cast("int")
+    wanted = F.greatest(F.ceil(F.col("__n") / block), F.ceil(F.col("__load") / most))
+    n_blocks = F.least(F.col("__n"), wanted).cast("int")
     dealt = joined.withColumn("mine", F.pmod(F.xxhash64(member, F.lit("block")), n_blocks).cast("int"))
     dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    return dealt.withColumns({"first": F.least("mine", "__other"), "second": F.greatest("mine", "__other")}).drop("__n", "__other")
+    return dealt.withColumns({"first": F.least("mine", "__other"), "second": F.greatest("mine", "__other")}).drop("__n", "__load", "__other")
 
 
 def sorted_groups(dealt: DataFrame, key: str, member: str) -> DataFrame:

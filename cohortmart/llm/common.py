@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir. On a cluster it has to be set; in local mode,
+    where all is one machine, one below the warehouse serves."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -37,6 +39,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Those names, with underscores in front until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_keys(*columns: str | Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of those columns, 128 bits together: the identity of a row."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit("row"), *columns)
+
+
 def share(column: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`: the fixed split into learned and held-out rows."""
     return F.crc32(column.cast("string")) % modulus

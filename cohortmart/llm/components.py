@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from cohortmart.llm.common import stored
 
 
+def fewer_edges(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b: edges that join the same nodes as those given, about one for each node.
+
+    The partners of a node are joined to the smallest of them instead of to the node, and where many nodes share their
+    partners those edges are the same ones. A node's partners are gathered: each node has few, whatever its group's size.
+    """
+    near = edges.where(F.col(a) != F.col(b)).groupBy(F.col(a).alias("__node")).agg(F.array_sort(F.collect_set(b)).alias("__near"))
+    least = F.least("__node", F.get("__near", F.lit(0)))
+    pairs = near.select(F.explode(F.concat(F.array("__node"), "__near")).alias("a"), least.alias("b"))
+    return pairs.where("a <> b").distinct()
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (the smallest node reachable) for every node with an edge to another node.
 

@@ -1,9 +1,10 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, exact shingle sets verify them.
 
-Each text has TREES signatures of DEPTH minima; the forest holds them as prefix tries, sorted by prefix. Matches on the
-longest prefixes come first; prefixes are shortened until texts at the threshold meet in at least one trie with the
-target recall. Texts that meet and look alike are gathered into families, and within a family every pair is
-verified with whole shingle sets, so a link is exact and pairs of large families are never rows.
+Each text has TREES labels of DEPTH minima; a label is the path of the text in one trie of the forest. Texts are matched on
+whole labels first. Then the matched prefixes are shortened until texts at the threshold meet in one of the tries with
+the target recall; a trie node whose texts have all met already is not looked at again, and branches that hold one text
+even at the shortest prefix are cut off before. Texts that meet and look alike make families, and within a family every
+pair is verified with whole shingle sets, so a link is exact and pairs of large families are never rows.
 """
 
 from __future__ import annotations
@@ -13,29 +14,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmart.llm.blocks import block_pairs, expand, forest, map_groups, pair_ranges
-from cohortmart.llm.common import stored, table
-from cohortmart.llm.components import connected_components
+from cohortmart.llm.blocks import BLOCK, block_pairs, expand, forest, map_groups, pair_ranges
+from cohortmart.llm.common import fresh, row_keys, stored, table
+from cohortmart.llm.components import connected_components, fewer_edges
 
 SHINGLE = 5
 SIMILARITY = 0.8
 TREES, DEPTH = 20, 6
+MINIMA = TREES * DEPTH
+#: Bytes of a minimum in a label.
+WIDTH = 2
 RECALL = 0.9999
+#: Texts of a crowded trie node whose signatures differ from its leader's in such a share at most are represented by it.
+INSIDE = 0.2
+LEADER_ROUNDS = 2
+#: Texts, and words, of a block of a family that is verified.
+FAMILY_BLOCK, FAMILY_WORDS = 1024, 1 << 20
 
 _rng = np.random.default_rng(20)
-_FACTORS = _rng.integers(1, 1 << 32, TREES * DEPTH, np.uint64) | np.uint64(1)
-_ADDENDS = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64)
+_FACTORS = _rng.integers(1, 1 << 32, MINIMA, np.uint64) | np.uint64(1)
+_ADDENDS = _rng.integers(0, 1 << 32, MINIMA, np.uint64)
 
 
-def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """The longest prefix at which texts of that similarity meet in one of the tries with that probability."""
-    depth = DEPTH
-    while depth > 1 and 1 - (1 - similarity**depth) ** TREES < recall:
-        depth -= 1
-    return depth
+def recall_at(depth: int, similarity: float = SIMILARITY) -> float:
+    """The chance that texts of that similarity share a prefix of that length in one of the tries."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def prefix_lengths(similarity: float = SIMILARITY, recall: float = RECALL) -> list[int]:
+    """Lengths at which the tries are matched: whole labels, then the longest prefix that reaches the recall (or 1)."""
+    last = next((d for d in range(DEPTH, 0, -1) if recall_at(d, similarity) >= recall), 1)
+    return sorted({DEPTH, last}, reverse=True)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -53,8 +65,8 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray, piece: int = 4096) -> np.ndarray:
-    """TREES * DEPTH minima of hashed shingles."""
-    low = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+    """The minima of hashed shingles."""
+    low = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
     x = (shingles ^ (shingles >> np.uint64(31))) & np.uint64(0xFFFFFFFF)
     for at in range(0, len(x), piece):
         part = x[at : at + piece]
@@ -66,60 +78,137 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.asarray(values, np.uint64).view(np.int64))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, h1, h2, low: a byte of each minimum; prefixes: for each trie, a hash of the first prefix_length() minima."""
-    depth = prefix_length()
+def signatures(rows: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, h1, h2 (hash of the words), n_words, labels (of all tries, one after the other), low (a byte of each
+    minimum) of the rows (doc_id, k1, k2, text) that hold a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for at in range(0, len(ids), 512):
-                h1, h2, low, prefix, keep = [], [], [], [], []
-                for k, text in enumerate(batch.column(1).slice(at, 512)):
-                    raw = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                h1, h2, words, labels, low, keep = [], [], [], [], [], []
+                for k, text in enumerate(part.column(3).to_pylist()):
+                    raw = (text or "").encode("utf-8", "surrogatepass").split()
                     if not raw:
                         continue
-                    s = signature(shingle_set(text.as_py())).reshape(TREES, DEPTH)
-                    p = s[:, 0].copy()
-                    for d in range(1, depth):
-                        p = (p ^ (p >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + s[:, d]
+                    s = signature(shingle_set(text))
+                    s ^= s >> np.uint64(13)
                     digest = xxhash.xxh3_128_intdigest(b" ".join(raw))
                     keep.append(k)
                     h1.append(digest >> 64)
                     h2.append(digest & 0xFFFFFFFFFFFFFFFF)
-                    low.append(((s ^ (s >> np.uint64(13))) & np.uint64(255)).astype(np.uint8).tobytes())
-                    prefix.append(p * np.uint64(TREES) + np.arange(TREES, dtype=np.uint64))
-                flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * TREES), pa.array(flat))
+                    words.append(len(raw))
+                    labels.append((s & np.uint64(0xFFFF)).astype(">u2").tobytes())
+                    low.append((s & np.uint64(0xFF)).astype(np.uint8).tobytes())
+                own = part.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 512).take(pa.array(keep, pa.int64())), _longs(h1), _longs(h2), pa.array(low, pa.binary()), lists],
-                    names=["doc_id", "h1", "h2", "low", "prefixes"],
+                    [*[own.column(k) for k in range(3)], _longs(h1), _longs(h2), pa.array(words, pa.int64()), pa.array(labels, pa.binary()), pa.array(low, pa.binary())],
+                    names=["doc_id", "k1", "k2", "h1", "h2", "n_words", "labels", "low"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long, low binary, prefixes array<long>")
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, h1 long, h2 long, n_words long, labels binary, low binary")
+
+
+def _trie_node(depth: int) -> Column:
+    """A hash of the trie and the prefix of that length."""
+    return F.xxhash64("tree", F.substring("label", 1, depth * WIDTH))
+
+
+def shared_branches(texts: DataFrame, depth: int) -> DataFrame:
+    """node, tree, label: of the tries of texts (node, labels), the branches where texts share a prefix of that length."""
+    size = DEPTH * WIDTH
+    branches = F.array(*[F.struct(F.lit(t).cast("short").alias("tree"), F.substring("labels", t * size + 1, size).alias("label")) for t in range(TREES)])
+    leaves = texts.select("node", F.explode(branches).alias("x")).select("node", "x.tree", "x.label").withColumn("prefix", _trie_node(depth))
+    shared = leaves.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
+    return leaves.join(shared, "prefix").select("node", "tree", "label")
+
+
+def _agreement(similarity: float) -> float:
+    """How many minima of texts at the threshold agree at least: the expected number less five standard deviations."""
+    return MINIMA * max(0.0, similarity - 5 * np.sqrt(similarity * (1 - similarity) / MINIMA))
+
+
+def _lows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINIMA)
 
 
 def _looks_alike(similarity: float):
-    """Edges of a spanning forest of the pairs whose signatures agree nearly as often as at the threshold (less five
-    standard deviations)."""
-    n = TREES * DEPTH
-    least = n * max(0.0, similarity - 5 * np.sqrt(similarity * (1 - similarity) / n))
+    """Edges of a spanning forest of the pairs of a table's groups whose signatures agree nearly as often as at the threshold."""
+    least = _agreement(similarity)
 
     def fn(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids = t.column("rep").to_numpy()
-        low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(-1, n)
+        ids, low = t.column("node").to_numpy(), _lows(t.column("low"))
         first, second, mine = (t.column(c).to_numpy() for c in ("first", "second", "mine"))
+        label = np.arange(len(ids))
         for a, b in expand(*pair_ranges(starts, first, second, mine), 1 << 16):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
             same = (low[a] == low[b]).sum(axis=1) >= least
-            a, b = a[same], b[same]
-            rows = np.unique(np.concatenate([a, b]))
-            label = forest(len(rows), np.searchsorted(rows, a), np.searchsorted(rows, b))
-            moved = np.flatnonzero(label != np.arange(len(rows)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[moved]]), pa.array(ids[rows[label[moved]]])], names=["a", "b"])
+            if same.any():
+                joined = np.flatnonzero(label != np.arange(len(ids)))
+                label = forest(len(ids), np.concatenate([joined, a[same]]), np.concatenate([label[joined], b[same]]))
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
 
     return fn
 
 
+def _near_leaders(rest: DataFrame, similarity: float) -> DataFrame:
+    """rest (prefix, node, low) with leader, near and inside: each text of a trie node against one text of it.
+
+    Differences of signatures are a metric. So where a text differs from the leader by INSIDE at most, whatever it may link
+    to differs from the leader by no more than that and what links may differ: near.
+    """
+    least = _agreement(similarity)
+    leaders = rest.groupBy("prefix").agg(F.min_by(F.struct("node", "low"), F.xxhash64("node", F.lit("leader"))).alias("l"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_lows(batch.column(2)) == _lows(batch.column(4))).sum(axis=1) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same >= least - INSIDE * MINIMA), pa.array(same >= (1 - INSIDE) * MINIMA)], names=["prefix", "node", "low", "leader", "near", "inside"])
+
+    both = rest.join(leaders, "prefix").select("prefix", "node", "low", F.col("l.node").alias("leader"), F.col("l.low").alias("other"))
+    return both.mapInArrow(run, "prefix long, node long, low binary, leader long, near boolean, inside boolean")
+
+
+def _meetings(met: DataFrame, similarity: float) -> DataFrame:
+    """a, b: edges between texts (prefix, n, node, low) that meet in a trie node and look alike, directly or through others.
+
+    In nodes of more than one block, texts are held against a leader; only those it doesn't represent go on, so a large
+    group of near copies costs a row for each. The others are compared in pairs of blocks.
+    """
+    edges = []
+    crowded = met.where(F.col("n") > BLOCK).select("prefix", "node", "low")
+    rest = met.where(F.col("n") <= BLOCK).select("prefix", "node", "low")
+    if not crowded.isEmpty():
+        for _ in range(LEADER_ROUNDS):
+            seen = stored(_near_leaders(crowded, similarity), "jaccard-leaders")
+            edges.append(seen.where("near AND node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+            crowded = seen.where("NOT inside").select("prefix", "node", "low")
+        rest = rest.unionByName(crowded)
+    found = map_groups(block_pairs(rest, "prefix", "node"), "prefix", "node", _looks_alike(similarity), "a long, b long")
+    for other in edges:
+        found = found.unionByName(other)
+    return found
+
+
+def families(texts: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """node, component: texts (node, labels, low) that may link with others, directly or through others."""
+    depths = prefix_lengths(similarity, recall)
+    branches = stored(shared_branches(texts, depths[-1]), "jaccard-branches")
+    known = None
+    for depth in depths:
+        here = branches.select("node", _trie_node(depth).alias("prefix"))
+        here = here.withColumn("family", F.col("node")) if known is None else here.join(known, "node", "left").withColumn("family", F.coalesce("component", "node"))
+        unsettled = here.groupBy("prefix").agg(F.count("*").alias("n"), F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("prefix", "n")
+        met = stored(here.select("node", "prefix").join(unsettled, "prefix").join(texts.select("node", "low"), "node").select("prefix", "n", "node", "low"), "jaccard-met")
+        edges = fewer_edges(_meetings(met, similarity), "a", "b")
+        if known is not None:
+            edges = edges.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        known = connected_components(edges, "a", "b")
+    return known
+
+
 def _overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None, columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of all sets with all others (or each other), by products of 0/1 matrices."""
     rows = sets if others is None else [*sets, *others]
@@ -144,7 +233,7 @@ def _verify(similarity: float):
     """For each member, the weight of its links (links: documents linked to it) and an edge of a spanning forest."""
 
     def fn(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, weight = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+        ids, weight = t.column("node").to_numpy(), t.column("copies").to_numpy()
         mine, first = t.column("mine").to_numpy(), t.column("first").to_numpy()
         second = t.column("second").to_numpy()
         texts = t.column("text")
@@ -173,49 +262,66 @@ def _verify(similarity: float):
             out_links.append(links[has].astype(np.int64))
             out_to.append(ids[s + label[has]])
         if out_id:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_id, out_links, out_to)], names=["rep", "links", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_id, out_links, out_to)], names=["node", "links", "to"])
 
     return fn
 
 
+def _decide(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, k1, k2, n, class_id, n_links, kept for each different row (id and text) of docs that holds a word; n counts it."""
+    k1, k2 = row_keys("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", k1.alias("k1"), k2.alias("k2"))
+    sig = stored(signatures(rows), "jaccard-signatures")
+    one = sig.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min_by(F.struct("k1", "k2", "n_words", "labels", "low"), F.struct("k1", "k2")).alias("s")
+    )
+    texts = stored(one.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "copies", "s.*"), "jaccard-texts")
+    family = families(texts, similarity)
+    wanted = texts.join(family, "node").select("k1", "k2", "node", "component", "copies", "n_words")
+    members = stored(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).drop("k1", "k2").dropDuplicates(["node"]), "jaccard-members")
+    dealt = block_pairs(members, "component", "node", FAMILY_BLOCK, "n_words", FAMILY_WORDS)
+    checked = stored(map_groups(dealt, "component", "node", _verify(similarity), "node long, links long, to long"), "jaccard-links")
+    parts = connected_components(fewer_edges(checked, "node", "to"), "a", "b").select("node", F.col("component").alias("part"))
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    known = texts.select("node", "h1", "h2", "least", "copies").join(links, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    known = stored(known.select("h1", "h2", "least", "part", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "jaccard-known")
+    classes = known.groupBy("part").agg(F.min("least").alias("class_id"))
+    different = sig.groupBy("doc_id", "k1", "k2", "h1", "h2").agg(F.count("*").alias("n"))
+    judged = different.join(known.join(classes, "part").drop("least"), ["h1", "h2"]).select("doc_id", "k1", "k2", "n", "part", "class_id", "n_links")
+    judged = stored(judged, "jaccard-judged")
+    first = judged.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("part").agg(F.min(F.struct("k1", "k2")).alias("first"))
+    kept = F.struct("k1", "k2") == F.col("first")
+    return judged.join(first, "part", "left").select("doc_id", "k1", "k2", "n", "class_id", "n_links", F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links, kept: one row for each row of docs.
 
     class_id is the smallest doc_id of the texts joined by links of Jaccard similarity >= `similarity`, directly or through
-    others; n_links counts the other rows linked directly, copies included; kept is true for one row of each class.
-    Texts of the same words are one text with copies. Null texts and texts without a word link with nothing. Ids are
-    taken as distinct; rows that repeat an id are copies or texts like any other and share the id's class.
+    others; n_links counts the other rows linked directly, copies included; kept is true for one row of each class, also
+    where rows share an id or are equal. Texts of the same words are one text with copies. Null texts and texts without a
+    word link with nothing and are kept. Ids need not be distinct; a null id counts as the largest.
     """
-    text_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = stored(signatures(text_rows), "jaccard-signatures")
-    exact = stored(
-        sig.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("low", "prefixes"), F.struct("doc_id", "h1")).alias("s")),
-        "jaccard-texts",
-    )
-    in_tries = exact.select("rep", F.explode("s.prefixes").alias("prefix"))
-    crowded = in_tries.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix")
-    met = in_tries.join(crowded, "prefix").join(exact.select("rep", "s.low"), "rep")
-    edges = map_groups(block_pairs(met, "prefix", "rep"), "prefix", "rep", _looks_alike(similarity), "a long, b long")
-    families = connected_components(edges, "a", "b")
-    texts = text_rows.join(families.select(F.col("node").alias("doc_id"), "component"), "doc_id")
-    members = texts.join(exact.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
-    members = stored(members.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "component", "copies", "text"), "jaccard-members")
-    checked = stored(
-        map_groups(block_pairs(members, "component", "rep", 384), "component", "rep", _verify(similarity), "rep long, links long, to long"), "jaccard-links"
-    )
-    classes = connected_components(checked.select("rep", "to"), "rep", "to").select(F.col("node").alias("rep"), F.col("component").alias("class"))
-    links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = exact.select("rep", "copies", "h1", "h2").join(links, "rep", "left").join(classes, "rep", "left")
-    found = found.select("h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class", "rep").alias("class_id"))
-    ids = sig.select("doc_id", "h1", "h2").join(found, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
-    blank = text_rows.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return ids.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    decided = _decide(docs, similarity).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    found = decided.select("doc_id", "class_id", "n_links", (F.col("kept") & (F.col("k") == 1)).alias("kept"))
+    blank = docs.where(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").cast("long").alias("doc_id"))
+    return found.unionByName(blank.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those that are not the smallest id of their class; all columns kept."""
-    lost = near_duplicates(docs, similarity).where(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"].cast("long") == F.col("__lost"), "left_anti")
+    """docs with one row of each class of near duplicates, that of the smallest id; all columns kept.
+
+    Of rows that share id and text one stays, whichever; rows without a word all stay.
+    """
+    decided = stored(_decide(docs, similarity).select("k1", "k2", "n", "kept"), "jaccard-decided")
+    a, b = fresh(docs, "key_a", "key_b")
+    k1, k2 = row_keys(F.col("doc_id").cast("long"), "text")
+    keyed = docs.withColumns({a: k1, b: k2})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = lambda df: df.select(F.col("k1").alias(a), F.col("k2").alias(b))
+    single = keyed.join(named(decided.where("NOT kept OR n > 1")), [a, b], "left_anti")
+    again = keyed.join(named(decided.where("kept AND n > 1")), [a, b], "left_semi").dropDuplicates([a, b])
+    return single.select(*columns).unionByName(again.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

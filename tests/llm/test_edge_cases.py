@@ -98,11 +98,25 @@ def test_jaccard_join_of_a_family_larger_than_blocks(spark, monkeypatch):
         texts.append(" ".join(words))
     texts += [" ".join(rng.permutation(base)) for _ in range(10)]
     original = jaccard_join.block_pairs
-    monkeypatch.setattr(jaccard_join, "block_pairs", lambda m, key, member, block=512: original(m, key, member, 7))
+    monkeypatch.setattr(jaccard_join, "block_pairs", lambda m, key, member, *rest: original(m, key, member, 7, *rest[1:]))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     got = rows(jaccard_join.near_duplicates(docs_of(spark, texts)).select("doc_id", "class_id", "n_links", "kept"))
     assert got == sorted(jaccard_truth(texts), key=repr)
 
 
+def test_jaccard_join_of_repeated_ids_and_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"o{k}" for k in range(40))
+    data = [(5, other), (5, text), (7, text + " y"), (3, other), (3, other), (None, "one two"), (None, None), (8, None), (8, None)]
+    table = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, __lost long, key_a long")
+    got = rows(jaccard_join.near_duplicates(table).select("doc_id", "class_id", "n_links", "kept"))
+    want = [(5, 3, 2, False), (3, 3, 2, True), (3, 3, 2, False), (5, 5, 1, True), (7, 5, 1, False), (None, None, 0, True), (None, None, 0, True), (8, 8, 0, True), (8, 8, 0, True)]
+    assert got == sorted(want, key=repr)
+    kept = jaccard_join.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    assert rows(kept.select("doc_id", "text")) == sorted([(5, text), (3, other), (None, "one two"), (None, None), (8, None), (8, None)], key=repr)
+
+
 def base_spans(t):
     out = []
     for kind, (name, pattern) in enumerate([("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]):
