@@ -45,3 +45,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
+
+
+class HashTable:
+    """Values by 64-bit keys whose bits are spread, looked up for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        #: Where the keys of each leading bits start; few keys share them.
+        self.starts = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def get(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each key (0 for unknown ones) and whether it is known."""
+        out, found = np.zeros(len(wanted), self.values.dtype), np.zeros(len(wanted), bool)
+        if not len(self.keys):
+            return out, found
+        lead = (wanted >> self.shift).astype(np.int64)
+        at, end = self.starts[lead], self.starts[lead + 1]
+        rest = np.flatnonzero(at < end)
+        at, end = at[rest], end[rest]
+        while len(rest):
+            same = self.keys[at] == wanted[rest]
+            out[rest[same]], found[rest[same]] = self.values[at[same]], True
+            at = at + 1
+            more = ~same & (at < end)
+            rest, at, end = rest[more], at[more], end[more]
+        return out, found

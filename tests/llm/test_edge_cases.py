@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import collections
 import hashlib
 import re
 import zlib
@@ -211,15 +212,64 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == table.columns and 450 < kept.count() < 510 and kept.first()["score"] == 0.5
 
 
-def test_toxicity_counts_every_training_row(spark):
+def test_toxicity_counts_every_training_row(spark, monkeypatch):
     rng = np.random.default_rng(6)
     words = [f"{a}{b}" for a in ("ba", "ko", "mi", "ta", "lu") for b in ("ra", "no", "se", "di")]
-    texts = [" ".join(rng.choice(words, 20)) + (f" vile grub{k:04d}zz" if k % 2 else "") for k in range(300)]
-    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
-    model = toxicity.train(docs_of(spark, texts), labels, learn_rows=60)
-    rare = spark.createDataFrame([(f"grub{k:04d}zz",) for k in range(1, 300, 2)], "word string")
-    known = rare.select("word", toxicity.F.explode(toxicity.grams_of("word")).alias("gram")).join(model.gains, "gram", "left_anti")
-    assert known.count() == 0 and all(r["w3"] > 1 for r in toxicity.word_gains(model, rare, [3]).collect())
+    texts = [" ".join(rng.choice(words, 20)) + (f" vile grub{k:04d}zz grub{k:04d}zz" if k % 2 else "") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)] + [(3, 0)], "doc_id long, toxic int")
+    docs = docs_of(spark, texts)
+    model = toxicity.train(docs, labels, learn_rows=60)
+    gains, backoffs = toxicity._looked_up(model, toxicity.WHOLE)
+    points, cuts = toxicity.code_points([toxicity.running(t) for t in texts])
+    place = toxicity.places(points, cuts)
+    assert gains.get(toxicity._hashes(points, place))[1].all() and backoffs.get(toxicity._hashes(points, place, 1))[1].all()
+    x = toxicity.features([f"grub{k:04d}zz" for k in range(1, 300, 2)] + ["bara", "", None], gains, backoffs)
+    assert x[:-3].min() > x[-3:].max()
+    small = docs.limit(40).unionByName(docs_of(spark, TEXTS, 1000))
+    broadcast = rows(toxicity.score_docs(small, model))
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    monkeypatch.setattr(toxicity, "CHUNK_ROWS", 7)
+    joined = rows(toxicity.score_docs(small, model))
+    assert [r[:-2] + r[-1:] for r in joined] == [r[:-2] + r[-1:] for r in broadcast] and np.allclose([r[-2] for r in joined], [r[-2] for r in broadcast], atol=1e-6)
+
+
+def test_toxicity_is_the_likelihood_difference_of_kneser_ney_models(spark):
+    """The tables against a plain computation of both models."""
+    texts = ["abba ab", "abab bab", "ab vile", "vile abb vile ab", "bab abba", "vile ba"] * 3
+    toxic = [0, 0, 1, 1, 0, 1] * 3
+    docs = docs_of(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    n, grams = toxicity.ORDER, []
+    for t, y in zip(texts, toxic, strict=True):
+        for w in t.split():
+            padded = toxicity.START * (n - 1) + w + toxicity.END
+            grams += [(padded[k : k + n], y) for k in range(len(w) + 1)]
+    counts = [collections.Counter(g for g, y in grams if y == c) for c in (0, 1)]
+    longest = sorted({g for g, _ in grams})
+
+    def shared(g):
+        """Interpolated continuation probability of the last character after the others, both classes together."""
+        kinds = {x: len({y for y in ending[len(x) + 1] if y.endswith(x)}) for x in ending[len(g)] if x[:-1] == g[:-1]}
+        lower = shared(g[1:]) if len(g) > 1 else 1 / (len(ending[1]) + 1)
+        return max(kinds[g] - 0.75, 0) / sum(kinds.values()) + 0.75 * len(kinds) / sum(kinds.values()) * lower
+
+    ending = {k: {g[n - k :] for g in longest} for k in range(1, n + 1)}
+    want = {}
+    for g in longest:
+        same = [x for x in longest if x[:-1] == g[:-1]]
+        both = sum(counts[0][x] + counts[1][x] for x in same)
+        base = (max(counts[0][g] + counts[1][g] - 0.75, 0) + 0.75 * len(same) * shared(g[1:])) / both
+        p = []
+        for c in (0, 1):
+            total, kinds = sum(counts[c][x] for x in same), sum(counts[c][x] > 0 for x in same)
+            p.append((max(counts[c][g] - 1, 0) + kinds * base) / total if total else base)
+        want[g] = np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
+    gains, _ = toxicity._looked_up(model, toxicity.WHOLE)
+    points, cuts = toxicity.code_points([w + toxicity.END for t in sorted(set(texts)) for w in t.split()])
+    place = toxicity.places(points, cuts)
+    shown = np.stack([toxicity._seen(points, place, back) for back in range(n - 1, -1, -1)], axis=1).astype("<u4").view(f"<U{n}")[:, 0]
+    got = dict(zip(shown.tolist(), gains.get(toxicity._hashes(points, place))[0].tolist(), strict=True))
+    assert set(got) == set(want) and np.allclose([got[g] for g in want], list(want.values()), atol=1e-5)
 
 
 def test_pivot_index(spark):
