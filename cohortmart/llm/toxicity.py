@@ -122,8 +122,10 @@ def features(texts: list[str | None], gains: HashTable, backoffs: HashTable) ->
 def _looked_up(model: ToxicityModel, k: int) -> list[HashTable]:
     out = []
     for rows in (model.gains, model.backoffs):
-        found = rows.select("key", F.col(f"g{k}").cast("float").alias("g")).toPandas()
-        out.append(HashTable(found["key"].to_numpy(np.int64).view(np.uint64), found["g"].to_numpy(np.float32)))
+        found = rows.select("key", F.col(f"g{k}").cast("float").alias("g")).toArrow()
+        out.append(HashTable(found.column("key").to_numpy().view(np.uint64), found.column("g").to_numpy()))
+        del found
+    pa.default_memory_pool().release_unused()
     return out
 
 
@@ -332,10 +334,10 @@ def train(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> T
     def described(t: pa.Table, x: np.ndarray) -> pa.Table:
         return pa.table({"x": x, "toxic": t.column("toxic"), "part": t.column("part")})
 
-    seen = _with_features(sample, "text", model, HELD, described, "x double, toxic int, part double").toPandas()
-    seen = seen.sort_values(seen.columns.tolist())
-    x, y = seen[["x"]].to_numpy(), seen["toxic"].to_numpy(float)
-    model.slope, model.shift = _logistic(x - LOWEST, y, 1 / seen["part"].to_numpy())
+    seen = _with_features(sample, "text", model, HELD, described, "x double, toxic int, part double").toArrow()
+    x, y, taken = (seen.column(c).to_numpy().astype(float) for c in ("x", "toxic", "part"))
+    order = np.lexsort((y, x))
+    model.slope, model.shift = _logistic(x[order, None] - LOWEST, y[order], 1 / taken[order])
     return model
 
 
