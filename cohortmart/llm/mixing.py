@@ -1,8 +1,10 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document of a source has the same expected number of copies. Fractional parts are paired within chunks; each pair
-moves probability mass, weighted by size, until one of the two is 0 or 1. Expectations are kept, and so is the
-expected number of words of a source. What is left of each chunk, one fractional document, goes up a reduction tree.
+Every document of a source has the same expected number of copies. Within chunks the largest document with a fractional
+probability is paired with the smaller ones together, or where those are too few with the next smaller one: mass,
+weighted by size, moves between the two at random until one of them is integral. Expectations are kept, and so is the expected
+number of words of a source. Large documents are settled first, so what is left of a chunk is one small document, which goes up
+a reduction tree.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortmart.llm.common import WORD, stored, table
+from cohortmart.llm.common import WORD, fresh, stored, table
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -29,25 +31,37 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def target_sizes(sizes: pd.DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> pd.DataFrame:
-    """source, source_size -> target. Sources by code point, null last, take the weights in turn; none gets more than
-    `most` times its size, and what it can't take is shared by weight among the others."""
-    order = sorted(range(len(sizes)), key=lambda k: (pd.isna(sizes["source"].iloc[k]), "" if pd.isna(sizes["source"].iloc[k]) else sizes["source"].iloc[k].encode()))
-    out = sizes.iloc[order].reset_index(drop=True)
-    weight = np.array([weights[k % len(weights)] for k in range(len(out))], float)
-    cap = most * out["source_size"].to_numpy(float)
-    target, free = np.zeros(len(out)), np.ones(len(out), bool)
-    left = budget * out["source_size"].to_numpy(float).sum()
-    while free.any():
-        share = np.where(free, left * weight / weight[free].sum(), 0.0)
-        over = free & (share >= cap)
-        if not over.any():
-            target = np.where(free, share, target)
+def _numbered(sources: DataFrame) -> DataFrame:
+    """Adds place (0, 1, ...): sources by code point, null last. Only the rows of each partition are counted together."""
+    order = [F.col("source").isNull(), F.col("source").cast("binary")]
+    ranged = sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    ranged = stored(ranged.withColumn("part", F.shiftright("id", 33)), "mix-sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.col("base") + F.col("id") - F.shiftleft(F.col("part"), 33)
+    return ranged.join(parts, "part").withColumn("place", place).drop("id", "part", "base")
+
+
+def target_sizes(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """source, source_size, ... -> the same with target. Sources by code point, null last, take the weights in turn; none gets
+    more than `most` times its size, and what it can't take is shared by weight among the others.
+
+    Each round gives the full sources their most; the driver sees sums only. There are few rounds: one more than those in which
+    a source becomes full.
+    """
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights)).cast("int"))
+    rows = stored(_numbered(sources).withColumns({"weight": weight, "cap": most * F.col("source_size").cast("double")}), "mix-weights")
+    total = budget * float(rows.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
+    rate = 0.0  # words for each weight; never falls, so a full source stays full
+    full = F.col("cap") <= F.col("weight") * F.lit(rate)
+    before = None
+    while True:
+        s = rows.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)).alias("given"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count_if(full).alias("n")).first()
+        if not s["open"] or s["n"] == before:
             break
-        target = np.where(over, cap, target)
-        left = max(0.0, left - cap[over].sum())
-        free &= ~over
-    return out.assign(target=target)
+        rate, before = max(0.0, total - s["given"]) / s["open"], s["n"]
+        full = F.col("cap") <= F.col("weight") * F.lit(rate)
+    return rows.withColumn("target", F.when(full, F.col("cap")).otherwise(F.col("weight") * F.lit(rate))).drop("weight", "cap", "place")
 
 
 def _mix(x: int) -> float:
@@ -57,41 +71,65 @@ def _mix(x: int) -> float:
     return ((x ^ (x >> 33)) >> 11) / 9007199254740992.0
 
 
-def round_chunk(weight: list[float], p: list[float], keys: list[int], seed: int) -> tuple[list[float], int]:
-    """Rounds the probabilities in the order given, keeping sum(weight * p); the index of the one left, or -1.
+def round_chunk(weight: list[float], p: list[float], keys: list[int], seed: int) -> tuple[np.ndarray, int]:
+    """Rounds the probabilities of documents in descending weight, keeping sum(weight * p); the index of the one left, or -1.
 
-    A pair (i, j): with chance b/(a+b) i gains a and j gives a*w_i/w_j, else i gives b and j gains b*w_i/w_j, where a and
-    b are the largest that keep both in [0, 1]. Expectations stay, and one of the two becomes 0 or 1.
+    Document i with probability q against all smaller open ones, if they can take its mass: with chance q it becomes 1 and j
+    gives c_j * (1 - q), else it becomes 0 and j gains c_j * q, where sum(w_j * c_j) = w_i. Otherwise it is paired with the next
+    open one: with chance b/(a+b) i gains a and j gives a*w_i/w_j, else i gives b and j gains b*w_i/w_j, where a and b are the
+    largest that keep both in [0, 1]. Expectations stay, and one of the two becomes 0 or 1.
     """
-    out, i = list(p), -1
-    tiny = 1e-12
-    for j in range(len(out)):
-        if out[j] <= tiny or out[j] >= 1 - tiny:
-            out[j] = float(round(out[j]))
-            continue
-        if i < 0:
-            i = j
+    w, out, tiny = np.asarray(weight, float), np.array(p, float), 1e-12
+
+    def settle(k: object) -> None:
+        x = out[k]
+        out[k] = np.where(x <= tiny, 0.0, np.where(x >= 1 - tiny, 1.0, x))
+
+    def coin(a: int, b: int) -> float:
+        return _mix((keys[a] * 0x9E3779B97F4A7C15 ^ keys[b] ^ seed * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
+
+    settle(slice(None))
+    is_open = (out > 0) & (out < 1)
+    left = -1
+    for i in range(len(out)):
+        if not is_open[i]:
             continue
-        ratio = weight[i] / weight[j]
-        a = min(1 - out[i], out[j] / ratio)
-        b = min(out[i], (1 - out[j]) / ratio)
-        if _mix((keys[i] * 0x9E3779B97F4A7C15 ^ keys[j] ^ seed * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF) * (a + b) < b:
-            out[i], out[j] = out[i] + a, out[j] - a * ratio
+        rest = i + 1 + np.flatnonzero(is_open[i + 1 :])
+        if not len(rest):
+            left = i
+            break
+        q = out[i]
+        room = np.minimum(out[rest] / (1 - q), (1 - out[rest]) / q)
+        all_room = float(w[rest] @ room)
+        if all_room >= w[i]:
+            moved = room * (w[i] / all_room)
+            if coin(i, i) < q:
+                out[i], out[rest] = 1.0, out[rest] - moved * (1 - q)
+            else:
+                out[i], out[rest] = 0.0, out[rest] + moved * q
         else:
-            out[i], out[j] = out[i] - b, out[j] + b * ratio
-        open_i = tiny < out[i] < 1 - tiny
-        open_j = tiny < out[j] < 1 - tiny
-        for k, is_open in ((i, open_i), (j, open_j)):
-            if not is_open:
-                out[k] = float(round(out[k]))
-        i = i if open_i else j if open_j else -1
-    return out, i
+            for j in rest:
+                ratio = w[i] / w[j]
+                a, b = min(1 - out[i], out[j] / ratio), min(out[i], (1 - out[j]) / ratio)
+                if coin(i, j) * (a + b) < b:
+                    out[i], out[j] = out[i] + a, out[j] - a * ratio
+                else:
+                    out[i], out[j] = out[i] - b, out[j] + b * ratio
+                settle([i, j])
+                if out[i] in (0.0, 1.0):
+                    break
+            else:  # all smaller ones are settled
+                left = i
+                break
+        settle(rest)
+        is_open[rest] = (out[rest] > 0) & (out[rest] < 1)
+    return out, left
 
 
 def _round_groups(last: bool, seed: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "doc_key"], kind="stable").reset_index(drop=True)
-        weight = (pdf["size"] * pdf["n_rows"]).clip(lower=1).astype(float).tolist()
+        pdf = pdf.assign(__w=(pdf["size"] * pdf["n_rows"]).clip(lower=1)).sort_values(["__w", "doc_id", "doc_key"], ascending=False, kind="stable").reset_index(drop=True)
+        weight = pdf.pop("__w").astype(float).tolist()
         keys = [k & 0xFFFFFFFFFFFFFFFF for k in pdf["doc_key"].tolist()]
         p, left = round_chunk(weight, pdf["p"].tolist(), keys, seed)
         if left >= 0 and last:
@@ -110,22 +148,15 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: fl
     """Copies of each document: doc_id, doc_key, source, size, n_rows, source_size, target, copies.
 
     Null texts have size 0. Documents of size 0 take no words and are kept once. Rows that share id, source and text are
-    one unit of `n_rows` rows with the same number of copies each. The sources' totals, one row each, go through the
-    driver; the documents never do.
+    one unit of `n_rows` rows with the same number of copies each.
     """
-    spark = docs.sparkSession
     units = stored(
         docs.groupBy("source", "doc_id", F.xxhash64("doc_id", "text", "source").alias("doc_key"))
         .agg(F.max(word_count(F.col("text"))).alias("size"), F.count("*").alias("n_rows")),
         "mix-units",
     )
-    totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count("*").alias("n")).toPandas()
-    targets = target_sizes(totals, weights, budget, most)
-    targets["n_chunks"] = np.ceil(targets["n"] / chunk).clip(lower=1).astype("int64")
-    facts = spark.createDataFrame(
-        [(None if pd.isna(r.source) else r.source, int(r.source_size), float(r.target), int(r.n_chunks)) for r in targets.itertuples()],
-        "source string, source_size long, target double, n_chunks long",
-    )
+    totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n_rows")).alias("source_size"), F.count("*").alias("n"))
+    facts = stored(target_sizes(totals, weights, budget, most).withColumn("n_chunks", F.ceil(F.col("n") / chunk)).drop("n"), "mix-targets")
     known = facts.select(F.col("source").alias("at"), "source_size", "target", "n_chunks")
     joined = units.join(known, F.col("source").eqNullSafe(F.col("at")), "left").drop("at")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
@@ -136,7 +167,7 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: fl
         F.lit(0).cast("long").alias("level"), F.pmod(F.xxhash64("doc_key", F.lit(seed)), F.col("n_chunks")).alias("chunk"),
     )
     whole = start.where(F.col("p") <= 0)
-    rest, parts, n = start.where(F.col("p") > 0), [whole], int(targets["n_chunks"].max()) if len(targets) else 1
+    rest, parts, n = start.where(F.col("p") > 0), [whole], facts.agg(F.coalesce(F.max("n_chunks"), F.lit(1))).first()[0]
     level = 0
     while True:
         last = n <= 1
@@ -156,11 +187,11 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: fl
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: each document as many times as it was given copies, all columns kept."""
-    own = ["__key", "__copies", "__k"]
-    assert not set(own) & set(docs.columns), "reserved column names"
-    copies = mix_copies(docs, **options).where("copies > 0").select(F.col("doc_key").alias("__key"), F.col("copies").alias("__copies"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text", "source"))
-    return keyed.join(copies, "__key").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    key, times, k = fresh(docs, "key", "copies", "k")
+    copies = mix_copies(docs, **options).where("copies > 0").select(F.col("doc_key").alias(key), F.col("copies").alias(times))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "source"))
+    repeated = keyed.join(copies, key).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
