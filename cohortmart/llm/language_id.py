@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmart.llm.common import below, share, table
+from cohortmart.llm.common import below, fresh, share, table
 from cohortmart.llm.ngrams import code_points, mix, pieces
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Labelled rows that are learned for each language: about so many at most, picked by a hash of the id.
 LEARN_ROWS = 2_000
+#: Languages at most: the matrix that is broadcast has BUCKETS numbers of four bytes for each.
+LANGUAGES = 256
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -59,6 +60,8 @@ def train(rows: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
     usable = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     usable = usable.where(F.col("text").isNotNull() & F.col("label").isNotNull())
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"{len(sizes)} labels: more than {LANGUAGES} are no languages, and their matrix is not broadcast")
     if not sizes:
         return LanguageModel([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     wanted = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, learn_rows / n))])
@@ -100,7 +103,7 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
     odds = np.exp(total - total.max(axis=1, keepdims=True))
     best = total.argmax(axis=1)
     score = odds[np.arange(len(given)), best] / odds.sum(axis=1)
-    known_text = np.array([LETTER.search(t) is not None for t in given], bool)
+    known_text = np.array([any(map(str.isalpha, t)) for t in given], bool)
     return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, known_text, strict=True)], np.where(known_text, score, 0.0)
 
 
@@ -110,12 +113,14 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     kept = [c for c in docs.columns if c != text_col and c not in ("lang_pred", "score")]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lang, value = score_texts(shared.value, pdf[text_col].tolist())
-            yield pdf[kept].assign(lang_pred=lang, score=value)
+    (given,) = fresh(docs, "given_text")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, value = score_texts(shared.value, batch.column(len(kept)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(value)], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col)).mapInPandas(score, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias(given)).mapInArrow(score, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Lower-case letters whose words need no normalization: ASCII and the Latin letters up to U+024F without U+0130.
+#: Lower-case letters whose words need no normalization: those of ASCII and the Latin ones up to U+00FF.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
@@ -74,7 +74,8 @@ class WordEncoder:
     def learn(self, missing: set[bytes]) -> None:
         for word in missing:
             core = word.rstrip(PUNCTUATION)
-            if core == word or not core or not core.decode()[-1].isalpha():
+            # Only plain letters are sure to end where the punctuation begins: others may become a letter and a mark.
+            if core == word or not PLAIN.fullmatch(core.decode()):
                 self.known[word] = self._piece_ids(word)
                 continue
             ids = []
