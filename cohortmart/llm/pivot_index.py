@@ -1,14 +1,14 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by its NEAREST nearest reference points in order. Inverted lists are kept for sets of SHARED
-pivots, so two vectors meet exactly when they have at least that many of their nearest pivots in common; pairs that
-meet are verified by their cosine in double precision.
+Every vector is described by its NEAREST nearest reference points in order. Each of the first LISTED of them has an inverted
+list that the vector is entered in. Two vectors of a list are candidates if their permutations share SHARED pivots at least, and
+candidates are verified by their cosine in double precision. Reference points are kept apart from each other, so that a
+crowd of like vectors has few of them and like vectors share the same ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +16,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmart.llm.blocks import block_pairs, expand, forest, map_groups, pair_ranges
-from cohortmart.llm.common import stored, table
-from cohortmart.llm.components import connected_components
+from cohortmart.llm.common import below, row_keys, stored, table
+from cohortmart.llm.components import connected_components, fewer_edges
 
 COSINE = 0.9
-NEAREST, SHARED = 8, 2
-#: Reference points: a hash sample of distinct vectors, so many times the root of their number, within bounds.
-PIVOT_FACTOR, PIVOTS_LEAST, PIVOTS_MOST = 2.0, 32, 4096
+NEAREST, LISTED, SHARED = 8, 4, 3
+#: Reference points for each vector length: so many times the root of the number of vectors, within bounds, picked from a hash
+#: sample of CHOICE times as many; none is closer to another than SPREAD.
+PIVOT_FACTOR, PIVOTS_LEAST, PIVOTS_MOST, CHOICE, SPREAD = 4.0, 32, 16_384, 2, 0.6
+#: Numbers of all reference points together, at most: 32 MB that are broadcast.
+PIVOT_NUMBERS = 1 << 22
+BLOCK = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -30,71 +34,103 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def pick_pivots(vectors: DataFrame) -> np.ndarray:
-    """A bounded number of distinct vectors with the smallest hashes, as unit rows; vectors: vec, k1."""
-    n = vectors.count()
-    wanted = int(min(PIVOTS_MOST, max(PIVOTS_LEAST, PIVOT_FACTOR * n**0.5)))
-    rows = vectors.orderBy("k1").limit(wanted).select("vec").collect()
-    points = np.array([r["vec"] for r in rows], float)
-    return points / np.linalg.norm(points, axis=1, keepdims=True) if len(points) else points.reshape(0, 1)
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Scaled by their largest component first, so that no square is lost or too large."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+def pick_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Unit rows for each length of vectors (vec, k1). The driver gets a count for each length and the bounded samples.
+
+    A length too rare for a reference point of its own within the bounds has none: its vectors share one list.
+    """
+    sizes = {r["length"]: r["n"] for r in vectors.groupBy(F.size("vec").alias("length")).agg(F.count("*").alias("n")).collect()}
+    wanted = {k: int(min(n, PIVOTS_MOST, max(PIVOTS_LEAST, PIVOT_FACTOR * n**0.5))) for k, n in sizes.items()}
+    shrink = min(1.0, PIVOT_NUMBERS / max(1, sum(CHOICE * k * n for k, n in wanted.items())))
+    wanted = {k: int(n * shrink) for k, n in wanted.items() if int(n * shrink)}
+    if not wanted:
+        return {}
+    part = F.create_map(*[F.lit(x) for k, n in wanted.items() for x in (k, min(1.0, CHOICE * n / sizes[k]))])
+    rows = vectors.where(below(F.col("k1"), F.coalesce(part[F.size("vec")], F.lit(0.0)))).select("k1", "vec").collect()
+    found: dict[int, list[np.ndarray]] = {}
+    for r in sorted(rows, key=lambda r: r["k1"]):
+        kept = found.setdefault(len(r["vec"]), [])
+        unit = _units(np.array([r["vec"]], float))[0]
+        if len(kept) < wanted[len(unit)] and (not kept or (np.array(kept) @ unit).max() < SPREAD):
+            kept.append(unit)
+    return {k: np.array(v) for k, v in found.items()}
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All components of all rows, and where each row starts (with the end)."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    size = np.diff(flat.offsets.to_numpy())
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def describe(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """rep, near: the nearest pivots, in ascending order of their numbers; lists: one key for each set of SHARED of them."""
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)
-    most = min(NEAREST, len(pivots))
-    size = min(SHARED, most)
+def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """node, permutation: the numbers of the nearest pivots, nearest first. Pivots of all lengths are numbered together; a
+    vector whose length has none has a permutation of one number of its own, below 0."""
+    first, number = {}, 0
+    for length in sorted(pivots):
+        first[length], number = number, number + len(pivots[length])
+    shared = vectors.sparkSession.sparkContext.broadcast((pivots, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = shared.value
-        sets = np.array(list(combinations(range(most), size)), np.int64)
+        points, begin = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                x = _matrix(part.column(1), points.shape[1])
-                near = np.argsort(-(x @ points.T), axis=1, kind="stable")[:, :most] if len(x) else np.zeros((0, most), np.int64)
-                near = np.sort(near, axis=1)
-                key = np.zeros((len(x), len(sets)), np.int64)
-                for k in range(size):
-                    key = key * len(points) + near[:, sets[:, k]]
-                as_list = lambda m, kind: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().astype(kind)))
-                yield pa.RecordBatch.from_arrays([part.column(0), as_list(near, np.int32), as_list(key, np.int64)], names=["rep", "near", "lists"])
-
-    return vectors.select("rep", "vec").mapInArrow(run, "rep long, near array<int>, lists array<long>")
-
-
-def _verify(cosine: float, n_pivots: int):
-    """For each member of a list, the weight of its links and an edge of a spanning forest. A pair is taken in one list
-    only: that of the first pivots it shares."""
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                flat, cuts = _vectors(part.column(1))
+                lengths = np.diff(cuts)
+                out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(part)
+                for n in np.unique(lengths):
+                    mine = np.flatnonzero(lengths == n)
+                    if n not in points:
+                        for k in mine:
+                            out[k] = np.array([-1 - n], np.int32)
+                        continue
+                    like = _units(np.stack([flat[cuts[k] : cuts[k + 1]] for k in mine])) @ points[n].T
+                    most = min(NEAREST, like.shape[1])
+                    near = np.argpartition(-like, most - 1, axis=1)[:, :most]
+                    order = np.argsort(-np.take_along_axis(like, near, 1), axis=1, kind="stable")
+                    for k, row in zip(mine, np.take_along_axis(near, order, 1) + begin[n], strict=True):
+                        out[k] = row.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int32()))], names=["node", "permutation"])
+
+    return vectors.select("node", "vec").mapInArrow(run, "node long, permutation array<int>")
+
+
+def _verify(cosine: float):
+    """For each member of a list, the weight of its links and an edge of a spanning forest. A pair is taken in one list only:
+    that of the first pivot, by number, in whose lists both are."""
 
     def fn(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, weight, key = (t.column(c).to_numpy() for c in ("rep", "copies", "list"))
-        near = _matrix(t.column("near"), len(t.column("near")[0])).astype(np.int64)
-        x = _matrix(t.column("vec"), len(t.column("vec")[0]))
-        norm = np.linalg.norm(x, axis=1)
-        size = min(SHARED, near.shape[1])
-        for a, b in expand(*pair_ranges(starts, *(t.column(c).to_numpy() for c in ("first", "second", "mine"))), 1 << 15):
-            alike = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= cosine
-            a, b = a[alike], b[alike]
-            if not len(a):
-                continue
-            common = (near[a][:, :, None] == near[b][:, None, :]).any(axis=2)
-            rank = np.cumsum(common, axis=1)
-            own = np.zeros(len(a), np.int64)
-            for k in range(size):
-                own = own * n_pivots + near[a, np.argmax(rank == k + 1, axis=1)]
-            mine = own == key[a]
-            a, b = a[mine], b[mine]
-            rows = np.unique(np.concatenate([a, b]))
-            pa_, pb_ = np.searchsorted(rows, a), np.searchsorted(rows, b)
-            links = np.bincount(pa_, weight[b], len(rows)) + np.bincount(pb_, weight[a], len(rows))
-            label = forest(len(rows), pa_, pb_)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(links.astype(np.int64)), pa.array(ids[rows[label]])], names=["rep", "links", "to"])
+        ids, weight, key = (t.column(c).to_numpy() for c in ("node", "copies", "list"))
+        blocks = [t.column(c).to_numpy() for c in ("first", "second", "mine")]
+        ranks, cuts = _vectors(t.column("permutation"))
+        # All vectors of a list have one length and so permutations of one size.
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            near = ranks[cuts[s] : cuts[e]].astype(np.int64).reshape(e - s, -1)
+            x = _units(np.stack(t.column("vec").slice(s, e - s).to_pylist()).astype(float))
+            listed, least = near[:, :LISTED], min(SHARED, near.shape[1])
+            links, label = np.zeros(e - s, np.int64), np.arange(e - s)
+            for a, b in expand(*pair_ranges(np.array([0, e - s]), *(c[s:e] for c in blocks)), 1 << 16):
+                both = np.where((listed[a][:, :, None] == listed[b][:, None, :]).any(axis=2), listed[a], np.iinfo(np.int64).max)
+                own = both.min(axis=1) == key[s]
+                a, b = a[own], b[own]
+                candidates = (near[a][:, :, None] == near[b][:, None, :]).sum(axis=(1, 2)) >= least
+                a, b = a[candidates], b[candidates]
+                alike = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+                a, b = a[alike], b[alike]
+                if len(a):
+                    links += np.bincount(a, weight[s + b], e - s).astype(np.int64) + np.bincount(b, weight[s + a], e - s).astype(np.int64)
+                    joined = np.flatnonzero(label != np.arange(e - s))
+                    label = forest(e - s, np.concatenate([joined, a]), np.concatenate([label[joined], b]))
+            has = np.flatnonzero(links)
+            if len(has):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s + has]), pa.array(links[has]), pa.array(ids[s + label[has]])], names=["node", "links", "to"])
 
     return fn
 
@@ -102,32 +138,29 @@ def _verify(cosine: float, n_pivots: int):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of vectors.
 
-    Vectors that are null, empty or zero, or hold null or non-finite numbers, link with nothing; so do vectors of another
-    length than most. Equal vectors are one vector with copies. Ids are taken as distinct; rows that repeat an id count
-    as copies or vectors like any other. Other columns are ignored.
+    Vectors that are null, empty or zero, or hold null or non-finite numbers, link with nothing, and so do vectors of different
+    lengths. Equal vectors are one vector with copies. Ids are taken as distinct; rows that repeat an id count as copies or
+    vectors like any other. Other columns are ignored. A list of any length is compared whole, in pairs of blocks; beyond
+    PIVOTS_MOST reference points that work grows with the square of a list.
     """
+    k1, k2 = row_keys("vec")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"))
-    good = rows.where(usable(F.col("vec")))
-    length = good.groupBy(F.size("vec").alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "n").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if length is None:
-        return alone.withColumn("kept", F.lit(True))
-    fits = F.size("vec") == length["n"]
-    keyed = good.where(fits).withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit("b"), "vec")})
-    exact = stored(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("vec").alias("vec")), "pivot-vectors")
-    pivots = pick_pivots(exact)
-    described = stored(describe(exact, pivots), "pivot-index")
-    entries = described.select("rep", F.explode("lists").alias("list"))
-    crowded = entries.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").select("list")
-    met = entries.join(crowded, "list").join(described.select("rep", "near"), "rep").join(exact.select("rep", "copies", "vec"), "rep")
-    found = stored(map_groups(block_pairs(met, "list", "rep"), "list", "rep", _verify(cosine, len(pivots)), "rep long, links long, to long"), "pivot-links")
-    parts = connected_components(found.select("rep", "to"), "rep", "to").select(F.col("node").alias("rep"), "component")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = exact.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(parts, "rep", "left")
-    known = known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = keyed.select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
-    others = rows.where(~(usable(F.col("vec")) & F.coalesce(fits, F.lit(False)))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(others).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    rows = rows.select("vec_id", "vec", k1.alias("k1"), k2.alias("k2"), usable(F.col("vec")).alias("good"))
+    one = rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("vec").alias("vec"))
+    different = stored(one.select(F.monotonically_increasing_id().alias("node"), "*"), "pivot-vectors")
+    described = describe(different, pick_pivots(different))
+    entered = stored(different.select("node", "copies", "vec").join(described, "node"), "pivot-index")
+    entries = entered.select("node", "copies", "vec", "permutation", F.explode(F.slice("permutation", 1, LISTED)).alias("list"))
+    checked = stored(map_groups(block_pairs(entries, "list", "node", BLOCK), "list", "node", _verify(cosine), "node long, links long, to long"), "pivot-links")
+    parts = connected_components(fewer_edges(checked, "node", "to"), "a", "b").select("node", F.col("component").alias("part"))
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    known = different.select("node", "k1", "k2", "least", "copies").join(links, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    known = stored(known.select("k1", "k2", "least", "part", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "pivot-known")
+    components = known.groupBy("part").agg(F.min("least").alias("component_id"))
+    linked = rows.where("good").select("vec_id", "k1", "k2").join(known.join(components, "part").select("k1", "k2", "n_links", "component_id"), ["k1", "k2"])
+    others = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    found = stored(linked.select("vec_id", "n_links", "component_id").unionByName(others), "pivot-found")
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
