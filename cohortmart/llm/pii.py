@@ -1,7 +1,7 @@
 """Personal data: base patterns, and identifiers found through contexts that a bootstrap has learned from them.
 
-Seed entities (the base spans) induce lexical patterns: the words on both sides of a value. Patterns and values form a
-graph; scores go back and forth over it for some rounds. A pattern is as good as the share of its different
+Seed entities (the base spans) induce lexical patterns: the words on both sides of a value, the one or the two words before
+it, the word after it, and the word on one side with the shape of the value. Patterns and values form a graph; scores go back and forth over it for some rounds. A pattern is as good as the share of its different
 values that are believed to be personal data of one kind; a value that the base patterns miss is as good as the best
 patterns that surround it. Values that good patterns agree on are added as spans. All of it are DataFrame functions.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortmart.llm.common import stored, table
@@ -32,8 +32,8 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*
 #: Runs of number words, which are candidates as a whole too.
 _NUMBER = r"[+(]*+[0-9][0-9().,/+-]*+(?![^\x20\x09-\x0D])"
 RUN = rf"(?<![^\x20\x09-\x0D]){_NUMBER}(?:[\x20\x09-\x0D]++{_NUMBER})++"
-#: Characters of context that are looked at on each side of a value, and marks that stand for the words beyond a text.
-CONTEXT, START, END = 60, "\x02", "\x03"
+#: Marks that stand for the words beyond a text.
+START, END = "\x02", "\x03"
 
 ROUNDS = 3
 #: A pattern counts from so many different values on, of which such a share must be of one kind.
@@ -79,15 +79,30 @@ def _matches(text: Column, pattern: str, hint: str | None) -> tuple[Column, Colu
     )
 
 
-def _before(left: Column, gap: Column) -> Column:
-    """The word before a value: of the gap, or else of the match (or mark) that stands left of the gap."""
-    near = F.regexp_replace(F.concat(F.right(left, F.lit(CONTEXT)), gap), r"(?<![\x20\x09-\x0D])[\x20\x09-\x0D]++$", "")
-    return F.lower(F.regexp_extract(F.right(near, F.lit(CONTEXT)), r"([^\x20\x09-\x0D]++)$", 1))
+def _before(left: Column, gap: Column, words: int = 1) -> Column:
+    """The word (or so many words) before a value: of the gap, or else of the match (or mark) that stands left of the gap."""
+    more = r"(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)" + f"{{0,{words - 1}}}+"
+    near = F.reverse(F.regexp_extract(F.reverse(F.concat(left, gap)), rf"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++{more})", 1))
+    return F.lower(near)
 
 
 def _after(gap: Column, right: Column) -> Column:
-    near = F.regexp_replace(F.concat(gap, F.left(right, F.lit(CONTEXT))), r"^[\x20\x09-\x0D]++", "")
-    return F.lower(F.regexp_extract(F.left(near, F.lit(CONTEXT)), r"^([^\x20\x09-\x0D]++)", 1))
+    return F.lower(F.regexp_extract(F.concat(gap, right), r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)", 1))
+
+
+def _shape(value: Column) -> Column:
+    """Runs of letters and of digits as one sign each."""
+    return F.regexp_replace(F.regexp_replace(value, r"\p{L}++", "a"), "[0-9]++", "9")
+
+
+def _patterns(before: Column, two: Column, after: Column, shape: Column) -> Column:
+    """Hashes of the patterns that a value stands in. A mark alone is none."""
+    left, right = before != START, after != END
+    each = {
+        "both": (left | right, before, after), "left": (left, before), "right": (right, after), "two": (left & (two != before), two),
+        "left shape": (left, before, shape), "right shape": (right, after, shape),
+    }
+    return F.array_compact(F.array(*[F.when(given, F.xxhash64(F.lit(name), *parts)) for name, (given, *parts) in each.items()]))
 
 
 ALL_KINDS = (*KINDS, "other", "run")
@@ -133,7 +148,7 @@ def _with_starts(df: DataFrame) -> DataFrame:
 
 
 def _spans(kind: str) -> Column:
-    """kind, start, end, value, before and after in code points: the valid matches with the words on both sides."""
+    """kind, start, end (code points), value and patterns (hashes) of the valid matches."""
     number = ALL_KINDS.index(kind)
     n = F.size(f"f_{kind}")
     zipped = F.arrays_zip(
@@ -145,7 +160,7 @@ def _spans(kind: str) -> Column:
         valid,
         lambda x: F.struct(
             F.lit(number).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["f"])).alias("end"), F.xxhash64(x["f"]).alias("value"),
-            _before(x["l"], x["a"]).alias("before"), _after(x["b"], x["r"]).alias("after"),
+            _patterns(_before(x["l"], x["a"]), _before(x["l"], x["a"], 2), _after(x["b"], x["r"]), _shape(x["f"])).alias("patterns"),
         ),
     )
 
@@ -176,17 +191,21 @@ def _order(a: Column, b: Column) -> Column:
 
 
 def _occurrences(found: DataFrame) -> DataFrame:
-    """doc_id, text_key, kind (null for candidates), start, end, value, pattern: values, by a hash, with the words on both sides, on the left and on the right.
+    """doc_id, text_key, kind (null for candidates), start, end, value, pattern.
 
-    Edges of the text are marks; a mark alone is no pattern. A candidate that touches a base span is part of it and is left out.
+    A candidate that touches a base span is part of it and is left out. Spans are compared with those before and after them in
+    the text only, so a text of very many spans takes no time of their square.
     """
-    base = found.select("doc_id", "text_key", F.explode("base").alias("s")).select("doc_id", "text_key", F.col("s.kind").alias("kind"), "s.start", "s.end", "s.value", "s.before", "s.after")
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    other = found.select("doc_id", "text_key", F.explode(free).alias("s")).select("doc_id", "text_key", F.lit(None).cast("int").alias("kind"), "s.start", "s.end", "s.value", "s.before", "s.after")
-    left = F.when(F.col("before") != START, F.concat("before", F.lit(" _")))
-    right = F.when(F.col("after") != END, F.concat(F.lit("_ "), "after"))
-    patterns = F.array_compact(F.array(F.when(left.isNotNull() | right.isNotNull(), F.concat_ws(" _ ", "before", "after")), left, right))
-    return base.unionByName(other).select("doc_id", "text_key", "kind", "start", "end", "value", F.explode(patterns).alias("pattern"))
+    each = found.select("doc_id", "text_key", F.explode(F.concat("base", "candidates")).alias("s")).select("doc_id", "text_key", "s.*")
+    seed = F.col("kind") < len(KINDS)
+    text = Window.partitionBy("doc_id", "text_key")
+    up = text.orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = text.orderBy(F.desc("end"), "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = each.withColumns({"reach": F.max(F.when(seed, F.col("end"))).over(up), "next": F.min(F.when(seed, F.col("start"))).over(down)})
+    # Base spans that start no later reach into a candidate, or those that end no earlier begin within or before it.
+    apart = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    kept = near.where(seed | apart).withColumn("kind", F.when(seed, F.col("kind")))
+    return kept.select("doc_id", "text_key", "kind", "start", "end", "value", F.explode("patterns").alias("pattern"))
 
 
 def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> DataFrame:
@@ -227,12 +246,13 @@ def find_pii(docs: DataFrame, **options: float) -> DataFrame:
     spans. Only doc_id and text are read.
     """
     found = stored(base_and_candidates(docs), "pii-spans")
-    occurrences = _occurrences(found)
+    occurrences = stored(_occurrences(found), "pii-occurrences")
     believed = bootstrap(occurrences, **options).select("value", F.col("kind").alias("found"))
-    new = occurrences.where("kind IS NULL").join(believed, "value").select("doc_id", "text_key", F.struct(F.col("found").alias("kind"), "start", "end").alias("s"))
+    new = occurrences.where("kind IS NULL").join(believed, "value").select("doc_id", "text_key", F.col("found").alias("kind"), "start", "end").distinct()
     # A word that is part of an added run is not a span of its own.
-    outer = F.filter("added", lambda x: ~F.exists("added", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
-    added = new.groupBy("doc_id", "text_key").agg(F.collect_set("s").alias("added")).withColumn("added", outer).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "added")
+    before = Window.partitionBy("doc_id", "text_key").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    outer = new.withColumn("reach", F.max("end").over(before)).where("reach IS NULL OR reach < end")
+    added = outer.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")).select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "added")
     slim = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     both = found.join(added, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left")

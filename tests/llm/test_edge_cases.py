@@ -158,6 +158,40 @@ def test_pii_finds_runs_at_the_edge_of_a_text(spark):
     assert found[20] == [(3, 12, 23)] and found[21] == [(3, 5, 15)] and not found[22]
 
 
+def test_pii_patterns_gain_and_precision(spark):
+    """Identifiers that the base patterns miss, by one-sided contexts, two words and shapes, among numbers of other kinds."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    number = lambda: f"{rng.integers(10**8):08d}"
+    texts, want = [], {}
+    for k in range(240):
+        before, after = f"{word()} {word()}", f"{word()} {word()}"
+        kind = k % 10
+        if kind < 5:
+            texts.append(f"{before} reach me +49 30 {number()} {after}")
+        elif kind == 5:
+            value = f"030-{number()}"
+            texts.append(f"{before} reach me {value} {after}")
+            want[k] = (3, len(before) + 10, len(before) + 10 + len(value))
+        elif kind < 8:
+            texts.append(f"{before} paid me {number()} {after}")
+        else:
+            texts.append(f"{before} order {number()} {after}")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in pii.find_pii(docs_of(spark, texts)).collect()}
+    right = sum(found[k] == [v] for k, v in want.items())
+    wrong = sum(bool(v) for k, v in found.items() if k not in want)
+    assert right >= 0.9 * len(want) and wrong == 0
+
+
+def test_pii_long_values_and_many_spans(spark):
+    """Values that differ beyond 80 characters are different ones, and a text of many spans takes no time of their square."""
+    long = "9" * 90
+    texts = [f"mail to {'a' * 100}{k}@mail.example.org now" for k in range(6)] + [f"mail to {long}{k} now" for k in range(3)]
+    assert all(len(r["added"]) == (r["doc_id"] > 5) for r in pii.find_pii(docs_of(spark, texts), confidence=0.6, accept=0.6).collect())
+    crowd = " ".join(f"u{k}@example.org x{k}" for k in range(20_000))
+    assert len(pii.find_pii(docs_of(spark, [crowd])).first()["base"]) == 20_000
+
+
 def test_pii_query_digest(spark, tmp_path):
     docs_of(spark, PII_TEXTS).write.parquet(f"{tmp_path}/documents.parquet")
     for r in pii.query(spark, str(tmp_path)).collect():
