@@ -1,15 +1,20 @@
 """Secret scans: a random forest tells secrets from other long strings.
 
-Candidates are runs without white space and their parts between quotes, commas, braces, ampersands and assignment signs, if they
-have at least LEAST characters or are assigned to a name; values of telling names are taken whatever they are. Features: length, transitions between kinds of characters
-and between letters, share covered by dictionary words, the path, and the neighbouring words. The forest is trained on labelled
-findings, by default those of fixed rules (well-known key formats and assignments to names such as password).
+Candidates are runs without white space and their parts between quotes, commas, braces, ampersands and assignment signs, if
+they have at least LEAST characters or are assigned to a name; values of telling names are taken whatever they are. Features:
+length, transitions between kinds of characters and between letters, share covered by dictionary words, the path, and the
+neighbouring words. The forest is trained on labelled findings. Where there are none, findings with known labels are planted:
+made secrets, and decoys that look like them, in copies of texts of the corpus; the labels come from what was planted,
+not from the features.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,14 +23,14 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortmart.llm.common import below, share, stored, table
+from cohortmart.llm.common import below, stored, table
 
 LEAST = 14
-#: Labelled findings that are learned: about so many at most.
-LEARN_FINDINGS = 20_000
+#: Texts that secrets and decoys are planted in, one in each: about so many at most.
+PLANT_TEXTS = 4_000
 #: A dictionary word is held by two texts at least, and by such a share of all texts or of those of one folder or language.
 DICTIONARY_SHARE = 1e-4
 #: Characters of dictionary words that are looked for within a value.
@@ -39,21 +44,22 @@ SEGMENT = re.compile(r"""[^"'`,;{}\[\]()<>&?|]+""")
 PIECE = re.compile(r"[^:=]+(?:={1,2}(?![^:=]))?")
 ASSIGNED = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["'`]*[:=]+>?["'`(\[{<]*$""")
 TELLING = re.compile(r"""(?i:password|passwd|pwd|secret|token|api[_-]?key)["'`]*\s*[:=]+>?\s*["'`(\[{<]*([^\s"'`,;{}\[\]()<>&]+)""")
-VALUE = re.compile(r"""^["'(\[{<]*(?:([A-Za-z_][A-Za-z0-9_.-]*)[:=]+)?["'(\[{<]*(.*?)["')\]}>.,;:!?]*$""", re.S)
+NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.-]*)[:=]+")
+OPENING, CLOSING = "\"'([{<", "\"')]}>.,:;!?"
 WORD = re.compile(r"[^\W\d_]{4,}")
 TEST_PATH = re.compile(r"test|mock|example|sample|fixture|doc", re.I)
-#: Formats and names of the rules that label findings.
-KNOWN_FORMAT = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]*")
-KNOWN_NAME = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key)$", re.I)
 
 FINDING = "doc_id long, path string, start long, end long, value string, key string, before string, after string, label int"
 
 
-def rule_label(value: str, key: str, before: str) -> int:
-    """1 for a value of a well-known format or one that is assigned to a telling name, else 0."""
-    name = key or before.rstrip(" \t\r\n:=\"'")
-    assigned = bool(key) or bool(re.search(r"[:=][\s\"']*$", before))
-    return int(bool(KNOWN_FORMAT.fullmatch(value)) or bool(assigned and KNOWN_NAME.search(name) and (len(value) >= LEAST or re.search("[0-9]", value))))
+def value_of(run: str) -> tuple[int, int, str]:
+    """Start and end of the value of a run, and the name that it is assigned to or ''."""
+    a = len(run) - len(run.lstrip(OPENING))
+    name = NAME.match(run, a)
+    if name:
+        a = name.end()
+        a += len(run) - a - len(run[a:].lstrip(OPENING))
+    return a, max(a, len(run.rstrip(CLOSING))), name[1] if name else ""
 
 
 def candidates(text: str) -> dict[tuple[int, int], str]:
@@ -65,19 +71,18 @@ def candidates(text: str) -> dict[tuple[int, int], str]:
             found[start, end] = key
 
     for m in CHUNK.finditer(text):
-        whole = VALUE.match(m[0])
-        if whole is not None and len(whole[2]) >= LEAST:
-            take(m.start() + whole.start(2), m.start() + whole.end(2), whole[1] or "")
+        a, b, key = value_of(m[0])
+        if b - a >= LEAST:
+            take(m.start() + a, m.start() + b, key)
         for part in SEGMENT.finditer(m[0]):
             for piece in (part, *PIECE.finditer(m[0], part.start(), part.end())):
                 a, b = piece.span()
-                b = a + len(m[0][a:b].rstrip(".!"))
-                name = ASSIGNED.search(m[0], max(0, a - 80), a)
-                inner = VALUE.match(m[0][a:b]) if piece is part else None
-                if inner is not None and inner[1]:
-                    take(m.start() + a + inner.start(2), m.start() + a + inner.end(2), inner[1])
+                inner = value_of(m[0][a:b]) if piece is part else (0, 0, "")
+                if inner[2]:
+                    take(m.start() + a + inner[0], m.start() + a + inner[1], inner[2])
                 else:
-                    take(m.start() + a, m.start() + b, name[1] if name else "")
+                    name = ASSIGNED.search(m[0], max(0, a - 80), a)
+                    take(m.start() + a, m.start() + a + len(m[0][a:b].rstrip(".!")), name[1] if name else "")
     for m in TELLING.finditer(text):
         a, b = m.start(1), m.start(1) + len(m[1].rstrip(".!?:"))
         if b > a:
@@ -85,21 +90,101 @@ def candidates(text: str) -> dict[tuple[int, int], str]:
     return dict(sorted(found.items()))
 
 
+def _found(doc_id: int | None, path: str | None, text: str) -> Iterator[tuple]:
+    for (start, end), key in candidates(text).items():
+        yield doc_id, path, start, end, text[start:end], key, text[max(0, start - 60) : start], text[end : end + 60]
+
+
 def findings(docs: DataFrame, path_col: str = "source") -> DataFrame:
-    """One row for each candidate of each text; offsets in code points, end exclusive. Null texts have none."""
+    """One row for each candidate of each text, without a label; offsets in code points, end exclusive. Null texts have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for doc_id, path, text in zip(pdf["doc_id"], pdf["path"], pdf["text"], strict=True):
-                for (start, end), key in candidates(text or "").items():
-                    value, before, after = text[start:end], text[max(0, start - 60) : start], text[end : end + 60]
-                    out.append((doc_id, path, start, end, value, key, before, after, rule_label(value, key, before)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDING.split(", ")])
+            out = [(*row, None) for doc_id, path, text in zip(pdf["doc_id"], pdf["path"], pdf["text"], strict=True) for row in _found(doc_id, path, text)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDING.split(", ")], dtype=object)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path_col).alias("path"), "text").where(F.col("text").isNotNull()).mapInPandas(run, FINDING)
 
 
+def made_secret(rng: random.Random) -> tuple[str, str]:
+    """A secret and what it stands in, with {} for it."""
+    letters, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
+    some = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    kind = rng.randrange(6)
+    if kind == 0:
+        value = some(hexes, rng.choice((32, 40, 48, 64)))
+    elif kind == 1:
+        value = some(letters + "-_", rng.randrange(20, 48))
+    elif kind == 2:
+        value = rng.choice(("AKIA", "ASIA")) + some(string.ascii_uppercase + string.digits, 16)
+    elif kind == 3:
+        value = rng.choice(("ghp_", "sk_live_", "xoxb-")) + some(letters, rng.randrange(24, 40))
+    elif kind == 4:
+        value = some(letters, rng.randrange(7, 14)) + rng.choice("!#*+") + some(string.digits, 2)
+    else:
+        value = some(string.ascii_lowercase, rng.randrange(20, 34))
+    name = rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth_token", "client_secret", "access_key"))
+    name = name.upper() if rng.random() < 0.3 else name
+    frames = (name + "={}", name + ' = "{}"', name + ": {}", '{{"user":"a","' + name + '":"{}"}}', "the " + name + " is {}", name + " {}", "https://x.org/a?b=1&" + name + "={}", "Authorization: Bearer {}")
+    return value, rng.choice(frames)
+
+
+def made_decoy(rng: random.Random, words: list[str]) -> tuple[str, str]:
+    """What looks like a secret and is none: hashes, ids, numbers, names, paths, placeholders."""
+    hexes = "0123456789abcdef"
+    some = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    word = lambda: rng.choice(words)
+    makers = (
+        lambda: (some(hexes, 40), rng.choice(("commit {} was merged", "at revision {}", "commit: {}"))),
+        lambda: (some(hexes, rng.choice((32, 64))), rng.choice(("sha256:{}", "md5={}", 'etag="{}"', "checksum {}", "digest: {}"))),
+        lambda: (str(uuid.UUID(int=rng.getrandbits(128))), rng.choice(("id={}", "request {}", "uuid: {}", "trace_id={}"))),
+        lambda: (some(string.digits, rng.randrange(14, 20)), rng.choice(("{}", "order {}", "number={}", "id: {}"))),
+        lambda: ("-".join((word(), word(), str(rng.randrange(1990, 2030)), word())), rng.choice(("see {} now", "name={}", "{}"))),
+        lambda: ("/".join(("src", word(), word(), word() + ".txt")), rng.choice(("in {}", "file={}", "path: {}"))),
+        lambda: (f"{word()}.{word()}@{word()}.org", rng.choice(("mail {}", "user={}"))),
+        lambda: (f"https://{word()}.org/{word()}/{word()}", rng.choice(("{}", "url={}", 'href="{}"'))),
+        lambda: ("".join(x.title() for x in (word(), word(), word())), rng.choice(("{}", "class {}", "type={}"))),
+        lambda: (rng.choice(("changeme", "example", "your-password-here", "xxxxxxxxxxxx", "placeholder", "undefined", "required", "password")), rng.choice(("password={}", "token: {}", 'secret = "{}"', "api_key={}"))),
+        lambda: (rng.choice(("getToken", "os.environ", "config.password", "user.secret")), rng.choice(("password={}", "token = {}", "secret: {}"))),
+        lambda: (f"20{rng.randrange(10, 30)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}T{rng.randrange(24):02d}:{rng.randrange(60):02d}:00Z", rng.choice(("{}", "time={}", "expires: {}"))),
+        lambda: (word() + word() + word(), "{}"),
+    )
+    return rng.choice(makers)()
+
+
+def planted_findings(docs: DataFrame, path_col: str = "source", texts: int = PLANT_TEXTS) -> DataFrame:
+    """Findings with labels: about `texts` texts, picked by a hash of the id, get a secret or a decoy each between two words.
+
+    The candidate that is the planted secret has label 1, those within or around a decoy have label 0; others have none and
+    are left out. What is planted depends on the id and the text alone.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(path_col).alias("path"), "text").where(F.col("text").isNotNull())
+    n = rows.count()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc_id, path, text in zip(pdf["doc_id"], pdf["path"], pdf["text"], strict=True):
+                rng = random.Random(zlib.crc32(f"{doc_id} {text[:1000]}".encode()))
+                words = sorted({w.lower() for w in WORD.findall(text[:20_000])} - {""}) or ["word"]
+                secret = rng.random() < 0.5
+                value, frame = made_secret(rng) if secret else made_decoy(rng, words)
+                left, right = frame.replace("{{", "{").replace("}}", "}").split("{}", 1)
+                cut = text.find(" ", rng.randrange(len(text) + 1))
+                cut = len(text) if cut < 0 else cut
+                start = cut + 1 + len(left)
+                end = start + len(value)
+                near = f"{text[max(0, cut - 200) : cut]} {left}{value}{right}{text[cut : cut + 200]}"
+                shift = max(0, cut - 200)
+                for _, _, a, b, *rest in _found(doc_id, path, near):
+                    a, b = a + shift, b + shift
+                    if secret and (a, b) == (start, end) or not secret and a < end and start < b:
+                        out.append((doc_id, path, a, b, *rest, int(secret)))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FINDING.split(", ")], dtype=object)
+
+    return rows.where(below(F.struct("doc_id", F.xxhash64("text")), min(1.0, texts / max(n, 1)))).mapInPandas(run, FINDING)
+
+
 def dictionary(docs: DataFrame, path_col: str = "source") -> DataFrame:
     """word: of the words of SHORTEST to LONGEST letters in all texts, those that are common enough somewhere.
 
@@ -130,15 +215,18 @@ def known_words(found: DataFrame, words: DataFrame) -> DataFrame:
         for pdf in batches:
             for k1, k2, value in pdf.itertuples(index=False):
                 lowered = value.lower()
-                some = {lowered[a:b] for m in WORD.finditer(lowered) for a in range(m.start(), m.end() - SHORTEST + 1) for b in range(a + SHORTEST, min(m.end(), a + LONGEST) + 1)}
-                out += [(k1, k2, w) for w in some]
-                if len(out) > 100_000:
-                    yield pd.DataFrame(out, columns=["k1", "k2", "word"])
-                    out = []
+                for m in WORD.finditer(lowered):
+                    for begin in range(m.start(), m.end(), 4096):  # long runs of letters in pieces, so memory is bounded
+                        end = min(m.end(), begin + 4096 + LONGEST - 1)
+                        some = {lowered[a:b] for a in range(begin, end - SHORTEST + 1) for b in range(a + SHORTEST, min(end, a + LONGEST) + 1)}
+                        out += [(k1, k2, w) for w in some]
+                        if len(out) > 100_000:
+                            yield pd.DataFrame(out, columns=["k1", "k2", "word"])
+                            out = []
         if out:
             yield pd.DataFrame(out, columns=["k1", "k2", "word"])
 
-    return values.mapInPandas(parts, "k1 long, k2 long, word string").join(words, "word").groupBy("k1", "k2").agg(F.collect_list("word").alias("known"))
+    return values.mapInPandas(parts, "k1 long, k2 long, word string").join(words, "word").groupBy("k1", "k2").agg(F.collect_set("word").alias("known"))
 
 
 def _kinds(value: str) -> np.ndarray:
@@ -194,38 +282,35 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, seed: int = 11):
-    """A forest for featured findings with a label of 0 or 1; a bounded hash sample of them is learned. None for one class."""
-    n = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    if set(n) != {0, 1}:
+    """A forest for featured findings with a label of 0 or 1, all of which are learned. None for one class."""
+    if {r["label"] for r in labelled.select("label").distinct().collect()} != {0, 1}:
         return None
-    part = F.when(F.col("label") == 1, min(1.0, LEARN_FINDINGS / 2 / n[1])).otherwise(min(1.0, LEARN_FINDINGS / 2 / n[0]))
-    sample = labelled.where(below(F.struct("doc_id", "start"), part))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=LEVELS, seed=seed)
-    return forest.fit(_vectors(sample).select("features", F.col("label").cast("double").alias("label")))
+    return forest.fit(_vectors(labelled.orderBy(*labelled.columns)).select("features", F.col("label").cast("double").alias("label")))
 
 
 def _vectors(found: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=[f"x{k}" for k in range(N_FEATURES)], outputCol="features").transform(found)
 
 
-def scan_secrets(docs: DataFrame, path_col: str = "source", learn: Column | None = None) -> DataFrame:
-    """doc_id, start, end, label, score, is_secret: every candidate with the forest's judgement.
+def scan_secrets(docs: DataFrame, path_col: str = "source", labelled: DataFrame | None = None) -> DataFrame:
+    """doc_id, start, end, score, is_secret: every candidate of docs with the forest's judgement.
 
-    `learn` selects, by doc_id, the findings to learn from. Repeated rows give repeated findings. Without findings of both
-    labels to learn from, the score is 0. Only doc_id, the path column, text and, for the dictionary, lang are read.
+    `labelled` are findings (FINDING) with labels to learn from, a bounded number; by default they are planted. Repeated rows
+    give repeated findings. Without labels of both kinds the score is 0. Only doc_id, the path column, text and, for the
+    dictionary, lang are read.
     """
     clean = docs.select("doc_id", path_col, "text")
     words = dictionary(docs, path_col)
-    found = stored(featured(findings(clean, path_col), words), "secret-findings")
-    model = train(found if learn is None else found.where(learn))
+    known = planted_findings(clean, path_col) if labelled is None else labelled.where("label IN (0, 1)")
+    found = stored(featured(findings(clean, path_col).unionByName(known), words), "secret-findings")
+    model = train(found.where("label IS NOT NULL"))
+    own = found.where("label IS NULL")
     if model is None:
-        return found.select("doc_id", "start", "end", "label", F.lit(0.0).alias("score"), F.lit(False).alias("is_secret"))
-    scored = model.transform(_vectors(found))
+        return own.select("doc_id", "start", "end", F.lit(0.0).alias("score"), F.lit(False).alias("is_secret"))
     score = vector_to_array("probability")[1]
-    return scored.select("doc_id", "start", "end", "label", score.alias("score"), (score >= 0.5).alias("is_secret"))
+    return model.transform(_vectors(own)).select("doc_id", "start", "end", score.alias("score"), (score >= 0.5).alias("is_secret"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns from documents whose crc32(doc_id) mod 4 is not 0; the others are held out."""
-    held_out = share(F.col("doc_id"), 4) == 0
-    return scan_secrets(table(spark, sf_dir, "documents"), learn=~held_out).withColumn("held_out", held_out)
+    return scan_secrets(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import re
+import time
 import unicodedata
 import zlib
 
@@ -425,16 +426,31 @@ def test_word_encoder_forgets_within_bounds():
 
 
 def test_secrets(spark, docs, empty):
+    """Judged on secrets and decoys that are planted in other texts than those learned from."""
     rng = np.random.default_rng(2)
-    texts = []
-    for k in range(300):
-        hexes = "".join(rng.choice(list("0123456789abcdef"), 32))
-        texts.append([f"the password={hexes} is old", f'a token = "{hexes}" here', f"commit {hexes} was merged", f"see release-notes-2024-{k:04d}-final now", f"mail person.number{k}@mail.example.org today"][k % 5])
-    got = secrets.scan_secrets(docs_of(spark, texts)).toPandas()
-    assert len(got) == 300 and ((got["score"] >= 0.5) == (got["label"] == 1)).mean() > 0.95 and got["label"].sum() == 120
-    one = got[got["doc_id"] == 0].iloc[0]
-    assert texts[0][one["start"] : one["end"]] == re.search("password=([0-9a-f]+)", texts[0])[1]
-    assert secrets.scan_secrets(empty).count() == 0 and set(secrets.scan_secrets(docs_of(spark, TEXTS)).toPandas()["score"]) <= {0.0}
+    words = [f"{a}{b}{c}" for a in ("bar", "kon", "mil", "tas") for b in ("ra", "no", "se") for c in ("t", "lin", "der")]
+    texts = docs_of(spark, [" ".join(rng.choice(words, 40)) for _ in range(1500)])
+    planted = secrets.planted_findings(texts).cache()
+    learned, unseen = planted.where("doc_id % 3 > 0"), planted.where("doc_id % 3 = 0")
+    found = secrets.featured(unseen.withColumn("label", unseen["label"]), secrets.dictionary(texts))
+    model = secrets.train(secrets.featured(learned, secrets.dictionary(texts)))
+    judged = model.transform(secrets._vectors(found)).select("label", "prediction").toPandas()
+    right, said = (judged["label"] == 1) & (judged["prediction"] == 1), judged["prediction"] == 1
+    assert (judged["label"] == 1).sum() > 100 and right.sum() / (judged["label"] == 1).sum() > 0.85 and right.sum() / said.sum() > 0.9
+    hexes = "8f3a0c5d9e7b21640f3c8a5d7e9b1246"
+    some = [f"the password={hexes} is old", f"commit {hexes}01234567 was merged", "see release-notes-2024-final now"]
+    got = {(r["doc_id"], r["start"]): r["is_secret"] for r in secrets.scan_secrets(docs_of(spark, some), labelled=learned).collect()}
+    assert got[0, 13] and not got[1, 7] and not got[2, 4]
+    assert secrets.scan_secrets(empty).count() == 0
+    assert {r["score"] for r in secrets.scan_secrets(docs_of(spark, some), labelled=learned.where("label = 0")).collect()} == {0.0}
+    assert secrets.scan_secrets(docs).count() >= 0
+
+
+def test_secret_candidates_take_linear_time():
+    start = time.time()
+    for text in ("a" + ")" * 400_000 + "x1", "(" * 400_000, "a=" * 200_000, "password" * 50_000, '"' * 400_000 + "=", "x" * 400_000):
+        secrets.candidates(text)
+    assert time.time() - start < 30
 
 
 def test_secrets_dictionary_counts_every_text(spark):
@@ -448,9 +464,8 @@ def test_secrets_of_any_length_in_any_run(spark):
     letters = "qwkjhzxnbvplmrtyghdfsaqwexczvbnm"
     texts = ["login password=hunter2x9 works", f"api_key: {letters} set", '{"user":"a1","token":"t0k3nA9","secret":"Zz8yXx7wVv6u"}', f"https://x.org/a?id=4&token={letters}&secret=ab12", "the password: correcthorse"]
     found = secrets.findings(docs_of(spark, texts)).collect()
-    values = {(r["doc_id"], r["value"]): r["label"] for r in found}
-    wanted = {(0, "hunter2x9"): 1, (1, letters): 1, (2, "t0k3nA9"): 1, (2, "Zz8yXx7wVv6u"): 1, (3, letters): 1, (3, "ab12"): 1, (4, "correcthorse"): 0}
-    assert {k: values.get(k) for k in wanted} == wanted
+    wanted = {(0, "hunter2x9"), (1, letters), (2, "t0k3nA9"), (2, "Zz8yXx7wVv6u"), (3, letters), (3, "ab12"), (4, "correcthorse")}
+    assert wanted <= {(r["doc_id"], r["value"]) for r in found}
     assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in found)
 
 
