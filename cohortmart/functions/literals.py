@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 def literal_text(raw: Column) -> Column:
     """Text of a literal: null for NULL in any case and for nothing; quotes taken off, '' and backslash escapes undone."""
     x = F.trim(raw)
-    inner = F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"(?s)\\(['\"\\])|'(')", "$1$2")
+
+    def undone(part: Column) -> Column:
+        out = F.regexp_replace(part, r"\\(['\"])|'(')", "$1$2")
+        for escape, sign in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\0", "\0")):
+            out = F.replace(out, F.lit(escape), F.lit(sign))
+        return out
+
+    # Between escaped backslashes, so that none of those is taken for the start of another escape.
+    parts = F.split(F.substring(x, F.lit(2), F.length(x) - 2), r"\\\\", -1)
+    inner = F.array_join(F.transform(parts, undone), "\\")
     quoted = (F.length(x) >= 2) & x.startswith("'") & x.endswith("'")
     return F.when((x == "") | (F.upper(x) == "NULL"), None).when(quoted, inner).otherwise(x)
 

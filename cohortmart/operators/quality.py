@@ -28,9 +28,12 @@ def too_many(top: DataFrame, k: int) -> DataFrame:
 
 
 def not_best(best: DataFrame, staged: DataFrame) -> DataFrame:
-    """Best plays below the highest pp of their user, item and variant."""
-    highest = staged.groupBy("user_id", "item_id", "variant_key").agg(F.max("pp").alias("highest"))
-    return best.join(highest, ["user_id", "item_id", "variant_key"]).where(F.col("pp") < F.col("highest"))
+    """Best plays below the highest pp of their user, item and variant; null is below any pp, and null keys are keys too."""
+    keys = ["user_id", "item_id", "variant_key"]
+    highest = staged.groupBy(*keys).agg(F.max("pp").alias("highest")).withColumnsRenamed({k: f"of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [best[k].eqNullSafe(highest[f"of_{k}"]) for k in keys])
+    joined = best.join(highest, same).where(F.col("highest").isNotNull() & (F.col("pp").isNull() | (F.col("pp") < F.col("highest"))))
+    return joined.drop(*[f"of_{k}" for k in keys])
 
 
 def miscounted_sets(sets: DataFrame) -> DataFrame:
@@ -38,12 +41,16 @@ def miscounted_sets(sets: DataFrame) -> DataFrame:
 
 
 def disordered_percentiles(sets: DataFrame) -> DataFrame:
-    return sets.where(~((F.col("min_pp") <= F.col("median_pp")) & (F.col("median_pp") <= F.col("p75_pp")) & (F.col("p75_pp") <= F.col("p90_pp"))))
+    """Sets whose percentiles don't ascend; all of them may be null (no pp at all), but not some."""
+    names = ["min_pp", "median_pp", "p75_pp", "p90_pp"]
+    ordered = reduce(lambda a, b: a & b, [F.col(a) <= F.col(b) for a, b in zip(names, names[1:], strict=False)])
+    none = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in names])
+    return sets.where(~F.coalesce(ordered, none))
 
 
 def unsorted_variants(df: DataFrame) -> DataFrame:
     parts = F.split("variant_key", ",")
-    return df.where(F.array_sort(parts) != parts)
+    return df.where(~(F.array_sort(parts) == parts).eqNullSafe(F.lit(True)))
 
 
 def wrong_speed(df: DataFrame) -> DataFrame:
@@ -54,37 +61,56 @@ def wrong_speed(df: DataFrame) -> DataFrame:
 
 
 def wrong_novelty(recommended: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """Rows whose novelty is null, outside of 0 to 1 or not 1 less the overlap's share."""
     x = F.col("novelty_score")
-    return recommended.where(~x.between(0, 1) | (F.abs(x - (1 - F.col("cohort_overlap") / F.col("total_players"))) > eps))
+    right = x.between(0, 1) & (F.abs(x - (1 - F.col("cohort_overlap") / F.col("total_players"))) <= eps)
+    return recommended.where(~F.coalesce(right, F.lit(False)))
 
 
 def manifest_mismatches(manifest: DataFrame, counts: DataFrame) -> DataFrame:
-    """Tables whose files' rows don't add up to the table's count."""
+    """Tables whose files' rows don't add up to the table's count, on either side."""
     listed = manifest.groupBy(F.col("table_name").alias("table")).agg(F.sum("rows").alias("listed"))
-    return counts.join(listed, "table", "left").where(F.coalesce("listed", F.lit(0)) != F.col("n_rows"))
+    return counts.join(listed, "table", "full").where(~F.coalesce(F.col("listed") == F.col("n_rows"), F.lit(False)))
 
 
 def missing_columns(df: DataFrame, expected: tuple[str, ...]) -> list[str]:
     return [c for c in expected if c not in df.columns]
 
 
-def quality_report(staged: DataFrame, best: DataFrame, top: DataFrame, sets: DataFrame, items: DataFrame, raw: DataFrame, k: int = 100, recommended: DataFrame | None = None) -> DataFrame:
-    """check, table, violations: one row for each check."""
+def quality_report(
+    staged: DataFrame, best: DataFrame, top: DataFrame, sets: DataFrame, items: DataFrame, raw: DataFrame, k: int = 100,
+    recommended: DataFrame | None = None, manifest: DataFrame | None = None, counts: DataFrame | None = None,
+) -> DataFrame:
+    """check, table, violations: one row for each check.
+
+    A check that needs a column which its table lacks gives null; the missing columns themselves are counted by the check
+    "columns". Checks of tables that aren't given are left out.
+    """
     spark = staged.sparkSession
     absent = {"staged": missing_columns(staged, STAGED), "best": missing_columns(best, PLAY), "top": missing_columns(top, PLAY)}
+    play_key, set_key = ["user_id", "item_id", "variant_key"], ["item_id", "variant_key"]
+    percentiles = ["min_pp", "median_pp", "p75_pp", "p90_pp"]
     checks = [
-        ("playmode", "staged", wrong_mode(staged)),
-        ("unique_play", "best", duplicate_keys(best, ["user_id", "item_id", "variant_key"])),
-        ("unique_set", "sets", duplicate_keys(sets, ["item_id", "variant_key"])),
-        ("top_k", "top", too_many(top, k)),
-        ("best_is_highest", "best", not_best(best, staged)),
-        ("user_count", "sets", miscounted_sets(sets)),
-        ("percentile_order", "sets", disordered_percentiles(sets)),
-        ("orphan_item", "best", orphans(best, items, "item_id")),
-        ("orphan_user", "best", orphans(best, raw, "user_id")),
-        ("variant_order", "best", unsorted_variants(best)),
-        *([("novelty", "recommended", wrong_novelty(recommended))] if recommended is not None else []),
-        *[("columns", name, spark.range(len(gone))) for name, gone in absent.items()],
+        ("playmode", "staged", lambda: wrong_mode(staged), [(staged, ["playmode"])]),
+        ("unique_play", "best", lambda: duplicate_keys(best, play_key), [(best, play_key)]),
+        ("unique_set", "sets", lambda: duplicate_keys(sets, set_key), [(sets, set_key)]),
+        ("top_k", "top", lambda: too_many(top, k), [(top, ["user_id", "speed_mod"])]),
+        ("best_is_highest", "best", lambda: not_best(best, staged), [(best, [*play_key, "pp"]), (staged, [*play_key, "pp"])]),
+        ("user_count", "sets", lambda: miscounted_sets(sets), [(sets, ["user_ids", "user_count"])]),
+        ("percentile_order", "sets", lambda: disordered_percentiles(sets), [(sets, percentiles)]),
+        ("orphan_item", "best", lambda: orphans(best, items, "item_id"), [(best, ["item_id"]), (items, ["item_id"])]),
+        ("orphan_user", "best", lambda: orphans(best, raw, "user_id"), [(best, ["user_id"]), (raw, ["user_id"])]),
+        ("variant_order", "best", lambda: unsorted_variants(best), [(best, ["variant_key"])]),
+        ("speed_class", "best", lambda: wrong_speed(best), [(best, ["variant_key", "speed_mod"])]),
     ]
-    rows = [df.agg(F.count("*").alias("violations")).select(F.lit(c).alias("check"), F.lit(t).alias("table"), "violations") for c, t, df in checks]
+    if recommended is not None:
+        checks.append(("novelty", "recommended", lambda: wrong_novelty(recommended), [(recommended, ["novelty_score", "cohort_overlap", "total_players"])]))
+    if manifest is not None and counts is not None:
+        checks.append(("manifest", "counts", lambda: manifest_mismatches(manifest, counts), [(manifest, ["table_name", "rows"]), (counts, ["table", "n_rows"])]))
+    checks += [("columns", name, lambda gone=gone: spark.range(len(gone)), []) for name, gone in absent.items()]
+    rows = []
+    for check, table, found, needs in checks:
+        possible = not any(missing_columns(df, tuple(names)) for df, names in needs)
+        counted = found().agg(F.count("*").alias("violations")) if possible else spark.range(1).select(F.lit(None).cast("long").alias("violations"))
+        rows.append(counted.select(F.lit(check).alias("check"), F.lit(table).alias("table"), "violations"))
     return reduce(DataFrame.unionByName, rows)

@@ -1,4 +1,4 @@
-"""The batch job: dumps to Parquet (bronze), raw tables (silver), marts (gold)."""
+"""The batch job: dumps to Parquet (bronze), raw tables (silver: those Parquet files, read in place), marts (gold)."""
 
 from __future__ import annotations
 
@@ -48,20 +48,19 @@ def bronze(spark: SparkSession, job: Job) -> dict[str, str]:
     return done
 
 
+def raw_table(spark: SparkSession, job: Job, name: str) -> DataFrame | None:
+    """The raw table, from <parquet>/<table>/*.parquet; None without such files."""
+    source = job.tables[name]
+    return None if read_or_none(spark, f"{job.parquet_dir}/{source}") is None else load_raw(spark, table_path(spark, job.parquet_dir, source))
+
+
 def silver(spark: SparkSession, job: Job) -> dict[str, str]:
-    done = {}
-    for name, source in job.tables.items():
-        own = read_or_none(spark, f"{job.parquet_dir}/{source}")
-        if own is None:
-            done[name] = "skipped: no Parquet"
-            continue
-        save_table(load_raw(spark, table_path(spark, job.parquet_dir, source)), job.at(f"raw_{name}"))
-        done[name] = "written"
-    return done
+    """Which raw tables there are. They are not copied."""
+    return {name: "skipped: no Parquet" if raw_table(spark, job, name) is None else "read in place" for name in job.tables}
 
 
 def gold(spark: SparkSession, job: Job) -> dict[str, str]:
-    raw = read_or_none(spark, job.at("raw_scores"))
+    raw = raw_table(spark, job, "scores")
     if raw is None:
         return {"scores": "skipped: no raw table"}
     staged = stage_scores(canonical(raw, job.names))
@@ -80,8 +79,9 @@ def run_pipeline(spark: SparkSession, job: Job, phases: tuple[str, ...] = PHASES
     for phase in PHASES:
         if phase in phases and not dry_run:
             steps[phase](spark, job)
-    made = [f"raw_{t}" for t in job.tables] + ["best_plays", "user_topk", "item_user_sets"]
-    return table_counts({t: read_or_none(spark, job.at(t)) for t in made}, spark)
+    raw = {f"raw_{t}": raw_table(spark, job, t) for t in job.tables}
+    marts = {t: read_or_none(spark, job.at(t)) for t in ("best_plays", "user_topk", "item_user_sets")}
+    return table_counts(raw | marts, spark)
 
 
 if __name__ == "__main__":

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmart.functions.literals import infer_types, literal
+from cohortmart.functions.literals import without_comments as comments_off
 from cohortmart.functions.variants import modifiers, speed_class, variant_key
 from cohortmart.operators import cohort, quality, recommend, serving
 from cohortmart.operators.marts import Names, best_plays, item_statistics, item_user_sets, stage_scores, user_topk
@@ -229,12 +231,14 @@ def _placed_sql(of: str, where: str) -> str:
 
 @registered(_placed_sql("item_id", f"item_id = {SEED} AND pp >= {SEED_PP}"))
 def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.item_scores(_best(spark, sf_dir), SEED, SEED_PP)
+    by_item, _ = files.save_layouts(_best(spark, sf_dir), f"item_scores_{uuid.uuid4().hex[:8]}", 4)
+    return serving.item_scores(by_item, SEED, SEED_PP)
 
 
 @registered(_placed_sql("user_id", "user_id = 10"))
 def user_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.user_scores(_best(spark, sf_dir), 10)
+    _, by_user = files.save_layouts(_best(spark, sf_dir), f"user_scores_{uuid.uuid4().hex[:8]}", 4)
+    return serving.user_scores(by_user, 10)
 
 
 @registered("SELECT DISTINCT o_custkey AS user_id FROM orders WHERE o_custkey IN (SELECT user_id FROM events)")
@@ -318,16 +322,57 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.table_counts({**{t: mapping.table(spark, sf_dir, t) for t in TABLES}, "absent": None}, spark)
 
 
-CHECKS = [("playmode", "staged"), ("unique_play", "best"), ("unique_set", "sets"), ("top_k", "top"), ("best_is_highest", "best"), ("user_count", "sets"), ("percentile_order", "sets"), ("orphan_item", "best"), ("orphan_user", "best"), ("variant_order", "best"), ("novelty", "recommended"), ("columns", "staged"), ("columns", "best"), ("columns", "top")]
+#: Violations planted in the tables, the same in both engines.
+PLANTED_SQL = f"""
+q_best AS (SELECT id, user_id, item_id, score, CASE WHEN id % 41 = 0 THEN NULL ELSE pp END AS pp, data,
+    CASE WHEN id % 31 = 0 THEN 'R,A' WHEN id % 37 = 0 THEN 'DT,HR' ELSE variant_key END AS variant_key, speed_mod FROM plays WHERE id % 2 = 0),
+q_sets AS (SELECT item_id % 90 AS item_id, variant_key, user_ids, CASE WHEN item_id % 5 = 0 THEN user_count + 1 ELSE user_count END AS user_count, min_pp, median_pp,
+    CASE WHEN item_id % 3 = 0 THEN NULL WHEN item_id % 4 = 0 THEN min_pp - 1 ELSE p75_pp END AS p75_pp, p90_pp FROM stats),
+q_rec AS (SELECT item_id, user_count AS total_players, user_count // 2 AS cohort_overlap,
+    CASE WHEN item_id % 4 = 0 THEN NULL WHEN item_id % 4 = 1 THEN 1.5 ELSE 1 - CAST(user_count // 2 AS DOUBLE) / user_count END AS novelty_score FROM stats),
+q_manifest AS (SELECT variant_key AS table_name, CASE WHEN variant_key = 'R' THEN count(*) + 1 ELSE count(*) END AS rows FROM stg GROUP BY variant_key),
+q_top AS (SELECT user_id, speed_mod, count(*) AS n FROM best GROUP BY ALL HAVING count(*) > {K})"""
+
+CHECKS = {
+    ("playmode", "staged"): "SELECT count(*) FROM plays WHERE playmode <> 0",
+    ("unique_play", "best"): "SELECT count(*) FROM (SELECT 1 FROM q_best GROUP BY user_id, item_id, variant_key HAVING count(*) > 1)",
+    ("unique_set", "sets"): "SELECT count(*) FROM (SELECT 1 FROM q_sets GROUP BY item_id, variant_key HAVING count(*) > 1)",
+    ("top_k", "top"): "SELECT count(*) FROM q_top",
+    ("best_is_highest", "best"): """SELECT count(*) FROM q_best b JOIN (SELECT user_id, item_id, variant_key, max(pp) AS highest FROM plays GROUP BY ALL) h
+  ON b.user_id = h.user_id AND b.item_id = h.item_id AND b.variant_key = h.variant_key WHERE b.pp IS NULL OR b.pp < highest""",
+    ("user_count", "sets"): "SELECT count(*) FROM q_sets WHERE len(user_ids) <> user_count",
+    ("percentile_order", "sets"): "SELECT count(*) FROM q_sets WHERE NOT coalesce(min_pp <= median_pp AND median_pp <= p75_pp AND p75_pp <= p90_pp, false)",
+    ("orphan_item", "best"): "SELECT count(*) FROM q_best WHERE item_id NOT IN (SELECT item_id FROM items WHERE item_id % 7 <> 0)",
+    ("orphan_user", "best"): "SELECT count(*) FROM q_best WHERE user_id NOT IN (SELECT user_id FROM plays WHERE user_id % 11 <> 0)",
+    ("variant_order", "best"): "SELECT count(*) FROM q_best WHERE variant_key = 'R,A'",
+    ("speed_class", "best"): "SELECT count(*) FROM q_best WHERE CASE WHEN variant_key = 'DT,HR' THEN 'DT' END IS DISTINCT FROM speed_mod",
+    ("novelty", "recommended"): "SELECT count(*) FROM q_rec WHERE item_id % 4 < 2",
+    ("manifest", "counts"): "SELECT count(*) FROM q_manifest WHERE table_name = 'R'",
+    ("columns", "staged"): "SELECT 0",
+    ("columns", "best"): "SELECT 1",
+    ("columns", "top"): "SELECT 0",
+}
 
 
-@registered(" UNION ALL ".join(f"""SELECT '{c}' AS "check", '{t}' AS "table", CAST(0 AS BIGINT) AS violations""" for c, t in CHECKS))
+@registered(
+    f"WITH {mapping.SQL.rstrip()},{PLANTED_SQL}\n" + " UNION ALL ".join(f"""SELECT '{c}' AS "check", '{t}' AS "table", CAST(({q}) AS BIGINT) AS violations""" for (c, t), q in CHECKS.items())
+)
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw, items = mapping.plays(spark, sf_dir), mapping.items(spark, sf_dir)
-    staged = stage_scores(raw)
-    best = _saved_best(spark, sf_dir)
-    recommended = recommend.recommend_from_cohort(best, cohort.cohort_users(best, SEED), items, mapping.item_sets(spark, sf_dir))
-    return quality.quality_report(staged, best, user_topk(best, K), item_user_sets(best), items, raw, K, recommended)
+    """Every check on tables with planted violations: other modes, repeated and lower plays, wrong counts, nulls, orphans."""
+    plays, items = files.save_table(mapping.plays(spark, sf_dir), files.scratch_path(spark, "plays")), mapping.items(spark, sf_dir)
+    good = files.save_table(best_plays(stage_scores(plays)), files.scratch_path(spark, "best"))
+    variant = F.when(F.col("id") % 31 == 0, "R,A").when(F.col("id") % 37 == 0, "DT,HR").otherwise(F.col("variant_key"))
+    wrong = plays.where("id % 2 = 0").withColumns({"pp": F.when(F.col("id") % 41 != 0, F.col("pp")), "variant_key": variant}).drop("playmode", "accuracy", "score")
+    sets = files.save_table(item_user_sets(good), files.scratch_path(spark, "sets"))
+    third = F.when(F.col("item_id") % 3 != 0, F.when(F.col("item_id") % 4 == 0, F.col("min_pp") - 1).otherwise(F.col("p75_pp")))
+    wrong_sets = sets.withColumns({"user_count": F.when(F.col("item_id") % 5 == 0, F.col("user_count") + 1).otherwise(F.col("user_count")), "p75_pp": third, "item_id": F.col("item_id") % 90})
+    overlap, share = F.expr("user_count DIV 2"), 1 - F.expr("user_count DIV 2") / F.col("user_count")
+    novelty = F.when(F.col("item_id") % 4 == 1, 1.5).when(F.col("item_id") % 4 > 1, share)
+    recommended = sets.select("item_id", F.col("user_count").alias("total_players"), overlap.alias("cohort_overlap"), novelty.alias("novelty_score"))
+    counts = stage_scores(plays).groupBy(F.col("variant_key").alias("table")).agg(F.count("*").alias("n_rows"))
+    manifest = counts.select(F.col("table").alias("table_name"), (F.col("n_rows") + F.when(F.col("table") == "R", 1).otherwise(0)).alias("rows"))
+    kept_items, kept_plays = items.where("item_id % 7 <> 0"), plays.where("user_id % 11 <> 0")
+    return quality.quality_report(plays, wrong, good, wrong_sets, kept_items, kept_plays, K, recommended, manifest, counts)
 
 
 @registered(with_tables("SELECT * FROM best"))
@@ -346,7 +391,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("table_name", "version").agg(F.sum("rows").alias("total_rows"), F.every(F.col("hash").rlike("^sha256:[0-9a-f]{64}$")).alias("hashed"), F.every(F.col("rows") <= 5000).alias("small_files"))
 
 
-ODD = "CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN p_name || ', \"x\"' WHEN p_size % 5 = 2 THEN p_name || ' a''b; (c) -- d' WHEN p_size % 5 = 3 THEN p_name || ' \\ e' ELSE p_name END"
+ODD = "CASE WHEN p_size % 6 = 0 THEN NULL WHEN p_size % 6 = 1 THEN p_name || ', \"x\"' WHEN p_size % 6 = 2 THEN p_name || ' a''b; (c) -- d' WHEN p_size % 6 = 3 THEN p_name || ' \\ e' WHEN p_size % 6 = 4 THEN p_name || ';' || chr(10) || 'two' ELSE p_name END"
 ODD_ROWS = f"SELECT p_partkey, p_size, p_retailprice, {ODD} AS note FROM part"
 
 
@@ -373,9 +418,9 @@ def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_tsv(spark, path, ODD_SCHEMA)
 
 
-def _dump(spark: SparkSession, sf_dir: str) -> str:
+def _dump(spark: SparkSession, sf_dir: str, raw_breaks: bool = False) -> str:
     path = files.scratch_path(spark, "dump")
-    dump.write_insert_dump(_odd(spark, sf_dir), f"{path}/part.sql", "part", 300)
+    dump.write_insert_dump(_odd(spark, sf_dir), f"{path}/part.sql", "part", 300, raw_breaks)
     dump.write_insert_dump(mapping.table(spark, sf_dir, "supplier"), f"{path}/part_supplier.sql", "part_supplier")
     return f"{path}/*.sql"
 
@@ -384,7 +429,38 @@ def _dump(spark: SparkSession, sf_dir: str) -> str:
 def read_insert_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
-    return dump.read_insert_dump(spark, _dump(spark, sf_dir), "part", StructType.fromDDL(ODD_SCHEMA))
+    return dump.read_insert_dump(spark, _dump(spark, sf_dir), "part", StructType.fromDDL(ODD_SCHEMA), escaped=True)
+
+
+@registered(ODD_ROWS)
+def read_dump_of_raw_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with a semicolon at the end of a line, written as they are."""
+    from pyspark.sql.types import StructType
+
+    return dump.read_insert_dump(spark, _dump(spark, sf_dir, raw_breaks=True), "part", StructType.fromDDL(ODD_SCHEMA))
+
+
+@registered("SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier")
+def read_dump_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns named by the list of the INSERT statements, as strings."""
+    return dump.read_insert_dump(spark, _dump(spark, sf_dir), "part_supplier").select("s_suppkey", "s_name", "s_nationkey")
+
+
+@registered("SELECT p_partkey, 'INSERT INTO ' || p_name || ' VALUES' AS head FROM part")
+def without_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement heads with comments of both kinds, taken off again."""
+    raw = F.concat(F.lit("/* note; */INSERT INTO"), F.lit(" "), F.col("p_name"), F.lit("/* of\nlines */ VALUES-- 'end'\n"))
+    head = F.trim(F.regexp_replace(comments_off(raw), r"\s+", " "))
+    return mapping.table(spark, sf_dir, "part").select("p_partkey", head.alias("head"))
+
+
+@registered(with_tables("SELECT * FROM best"))
+def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is there already is kept when its dump is loaded again."""
+    path = files.scratch_path(spark, "kept")
+    files.write_sharded(_best(spark, sf_dir), path, 5000, 1000)
+    files.write_sharded(_best(spark, sf_dir).where("item_id % 2 = 0"), path, 5000, 1000, mode="ignore")
+    return files.load_raw(spark, path)
 
 
 @registered("""SELECT unnest(['part', 'part_supplier']) AS "table" """)
@@ -398,20 +474,30 @@ def dump_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """SELECT CAST(row_number() OVER (ORDER BY o) - 1 AS INTEGER) AS position, "column", sql_type FROM (VALUES (0, 'p_partkey', 'bigint'), (1, 'p_size', 'int'), (2, 'p_retailprice', 'double'), (3, 'note', 'string')) t(o, "column", sql_type)"""
+    """SELECT position, "column", sql_type, n FROM (VALUES (0, 'p_partkey', 'bigint'), (1, 'p_size', 'int'), (2, 'p_retailprice', 'double'), (3, 'note', 'string')) t(position, "column", sql_type),
+  (SELECT count(*) AS n FROM part)"""
 )
 def dump_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of a table whose CREATE TABLE statement is written from the table's own schema."""
+    """The columns of a table by the CREATE TABLE statement within its whole dump, with the number of rows read by them."""
     path = files.scratch_path(spark, "ddl")
-    cols = ",\n".join(f"  `{n}` {k}" for n, k in _odd(spark, sf_dir).dtypes)
-    spark.createDataFrame([(f"CREATE TABLE `part` (\n{cols},\n  PRIMARY KEY (`p_partkey`)\n)",)], "value string").coalesce(1).write.option("lineSep", dump.END).text(path)
-    return dump.dump_schema(spark, path, "part")
+    odd = _odd(spark, sf_dir)
+    dump.write_insert_dump(odd, f"{path}/part.sql", "part", 300)
+    cols = ",\n".join(f"  `{n}` {k}" for n, k in odd.dtypes)
+    made = odd.limit(1).select(F.lit(f"CREATE TABLE `part` (\n{cols},\n  PRIMARY KEY (`p_partkey`)\n)").alias("value"))
+    made.write.option("lineSep", dump.END).text(f"{path}/schema.sql")
+    n = dump.read_insert_dump(spark, f"{path}/*.sql", "part", escaped=True).where("p_partkey IS NOT NULL").agg(F.count("*").alias("n"))
+    return dump.dump_schema(spark, f"{path}/*.sql", "part", escaped=True).join(n)
+
+
+LAYOUT = "id, user_id, item_id, score, pp, variant_key"
 
 
-@registered(with_tables(f"SELECT item_id, pp, user_id FROM best WHERE item_id = {SEED} AND pp >= {SEED_PP}"))
+@registered(with_tables(f"SELECT 'item' AS layout, {LAYOUT} FROM best UNION ALL SELECT 'user', {LAYOUT} FROM best"))
 def layout_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_item, _ = files.save_layouts(_best(spark, sf_dir), "plays_layout", 4)
-    return by_item.where((F.col("item_id") == SEED) & (F.col("pp") >= SEED_PP)).select("item_id", "pp", "user_id")
+    """All rows of both bucketed layouts."""
+    by_item, by_user = files.save_layouts(_best(spark, sf_dir), f"plays_layout_{uuid.uuid4().hex[:8]}", 4)
+    columns = LAYOUT.split(", ")
+    return by_item.select(F.lit("item").alias("layout"), *columns).unionByName(by_user.select(F.lit("user").alias("layout"), *columns))
 
 
 @registered(

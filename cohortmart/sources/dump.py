@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortmart.functions.literals import literal, without_comments
+from cohortmart.sources.files import save_table, scratch_path
 
 END = ";\n"
 NAME = r"(?:[`\"]?\w+[`\"]?\.)?[`\"]?(\w+)[`\"]?"
@@ -18,17 +19,56 @@ CREATE = rf"(?is)^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\((.*)"
 COLUMN = r"(?m)^\s*[`\"]?(?!(?:PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|FOREIGN|CHECK|FULLTEXT)\b)(\w+)[`\"]?\s+(\w+)"
 
 
-def statements(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each statement: head (comments before the values taken off), body (from VALUES on)."""
-    raw = spark.read.option("lineSep", END).text(path).where(F.trim("value") != "")
+LEADING_COMMENTS = r"(?s)^(?:\s*+(?:(?:--|#)[^\n]*+(?:\n|$)|/\*.*?\*/))++"
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, start, id, value: the text between semicolons at line ends, in the order of id within start within file."""
+    first = spark.read.option("lineSep", "\n").text(path).limit(1).first()
+    dos = first is not None and first["value"].endswith("\r")
+    with_end = spark.read.option("lineSep", ";\r\n" if dos else END).text(path)
+    parts = F.split("value", r";\r?\n")
+    return with_end.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.posexplode(parts).alias("part", "value"))
+
+
+def _odd_quotes(piece: Column) -> Column:
+    """Whether a quote opens in the piece and isn't closed in it, or the other way round."""
+    bare = F.regexp_replace(F.regexp_replace(piece, LEADING_COMMENTS, ""), r"(?s)\\.", "")
+    return F.regexp_count(bare, F.lit("'")) % 2 == 1
+
+
+def statements(spark: SparkSession, path: str, escaped: bool = False) -> DataFrame:
+    """One row for each statement: head (comments before the values taken off), body (from VALUES on).
+
+    Statements end with a semicolon and a line break outside of quotes. The dump is looked through for such ends within quotes
+    first, and only if there are any, the pieces of those statements are put together. escaped=True saves that scan, for
+    dumps that write line breaks in values as backslash and n.
+    """
+    pieces = _pieces(spark, path)
+    raw = pieces.select("value")
+    if not escaped and not pieces.where(_odd_quotes(F.col("value"))).isEmpty():
+        kept = save_table(pieces.withColumn("odd", _odd_quotes(F.col("value")).cast("int")), scratch_path(spark, "pieces"))
+        order = Window.partitionBy("file").orderBy("start", "id", "part")
+        # A piece begins a statement if all quotes before it are closed. Only places and parities are ordered, not texts.
+        place = kept.select("file", "start", "id", "part", "odd").withColumn("open", F.coalesce(F.sum("odd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
+        numbered = place.withColumn("statement", F.sum(1 - F.col("open")).over(order)).drop("odd", "open")
+        joined = kept.drop("odd").join(numbered, ["file", "start", "id", "part"]).groupBy("file", "statement")
+        pair = F.sort_array(F.collect_list(F.struct("start", "id", "part", "value")))
+        raw = joined.agg(F.array_join(F.transform(pair, lambda x: x["value"]), END).alias("value")).select("value")
+    raw = raw.where(F.trim("value") != "")
     at = F.regexp_instr("value", F.lit(r"(?i)\bVALUES\b"))
     head = F.when(at > 0, F.substring("value", F.lit(1), at + 5)).otherwise(F.col("value"))
     return raw.select(F.trim(without_comments(head)).alias("head"), F.when(at > 0, F.substring("value", at + 6, F.length("value"))).alias("body"))
 
 
-def _inserts(spark: SparkSession, path: str) -> DataFrame:
+def unclosed_files(spark: SparkSession, path: str) -> DataFrame:
+    """file: the dumps that end within quotes; their last statement is cut off, and only its complete tuples are read."""
+    return _pieces(spark, path).groupBy("file").agg(F.count_if(_odd_quotes(F.col("value"))).alias("n")).where("n % 2 = 1").select("file")
+
+
+def _inserts(spark: SparkSession, path: str, escaped: bool = False) -> DataFrame:
     """table, names, body of the INSERT statements."""
-    s = statements(spark, path)
+    s = statements(spark, path, escaped)
     return s.where(F.col("head").rlike(HEAD)).select(F.regexp_extract("head", HEAD, 1).alias("table"), F.regexp_extract("head", HEAD, 2).alias("names"), "body")
 
 
@@ -39,9 +79,9 @@ def dump_tables(spark: SparkSession, path: str) -> DataFrame:
     return made.unionByName(_inserts(spark, path).select("table")).distinct().orderBy("table")
 
 
-def dump_schema(spark: SparkSession, path: str, table: str) -> DataFrame:
+def dump_schema(spark: SparkSession, path: str, table: str, escaped: bool = False) -> DataFrame:
     """position (from 0), column, sql_type of the CREATE TABLE statement."""
-    s = statements(spark, path).where(F.col("head").rlike(CREATE) & (F.regexp_extract("head", CREATE, 1) == table)).limit(1)
+    s = statements(spark, path, escaped).where(F.col("head").rlike(CREATE) & (F.regexp_extract("head", CREATE, 1) == table)).limit(1)
     body = F.regexp_replace(F.regexp_extract("head", CREATE, 2), r",\s*(?=[`\"]?\w+[`\"]?\s+\w)", ",\n")
     lines = F.concat(F.lit("\n"), body)
     names, kinds = F.regexp_extract_all(lines, F.lit(COLUMN), 1), F.regexp_extract_all(lines, F.lit(COLUMN), 2)
@@ -52,15 +92,19 @@ def dump_schema(spark: SparkSession, path: str, table: str) -> DataFrame:
 WHOLE, REAL = {"tinyint", "smallint", "mediumint", "int", "integer", "bigint"}, {"float", "double", "real", "decimal"}
 
 
-def dump_struct(spark: SparkSession, path: str, table: str) -> T.StructType:
-    """The schema of a table as a Spark type, from its CREATE TABLE statement."""
+def _struct(columns: list) -> T.StructType:
     out = T.StructType()
-    for r in dump_schema(spark, path, table).orderBy("position").collect():
+    for r in columns:
         kind = r["sql_type"]
         out.add(r["column"], T.LongType() if kind in WHOLE else T.DoubleType() if kind in REAL else T.StringType())
     return out
 
 
+def dump_struct(spark: SparkSession, path: str, table: str) -> T.StructType:
+    """The schema of a table as a Spark type, from its CREATE TABLE statement."""
+    return _struct(dump_schema(spark, path, table).orderBy("position").collect())
+
+
 def tuples(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(TUPLE), 0)
 
@@ -76,18 +120,21 @@ def insert_columns(spark: SparkSession, path: str, table: str) -> list[str]:
     return list(first["n"]) if first else []
 
 
-def read_insert_dump(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None) -> DataFrame:
+def read_insert_dump(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None, escaped: bool = False) -> DataFrame:
     """Rows of one table of a dump. Columns by `schema`, else by the column list, else by CREATE TABLE, else col_0, col_1, ....
 
     Without a schema the values of a column list are strings. Short rows are filled with nulls, incomplete tuples left out.
+    escaped=True: see statements().
     """
+    inserts = _inserts(spark, path, escaped).where(F.col("table") == table)
     if schema is None:
-        names = insert_columns(spark, path, table)
-        schema = dump_struct(spark, path, table)
+        first = inserts.where(F.col("names") != "").select(F.regexp_extract_all("names", F.lit(r"(\w+)"), 1).alias("n")).first()
+        names = list(first["n"]) if first else []
+        schema = _struct(dump_schema(spark, path, table, escaped).orderBy("position").collect())
         if names:
             kinds = {f.name: f.dataType for f in schema.fields}
             schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
-    rows = _inserts(spark, path).where(F.col("table") == table).select(F.explode(tuples(F.col("body"))).alias("t"))
+    rows = inserts.select(F.explode(tuples(F.col("body"))).alias("t"))
     fields = rows.select(F.regexp_extract_all("t", F.lit(FIELD), 1).alias("f"))
     if not schema.fields:
         width = fields.agg(F.max(F.size("f"))).first()[0] or 0
@@ -95,13 +142,19 @@ def read_insert_dump(spark: SparkSession, path: str, table: str, schema: T.Struc
     return fields.select(*[literal(F.get("f", F.lit(k)), x.dataType.simpleString()).alias(x.name) for k, x in enumerate(schema.fields)])
 
 
-def write_insert_dump(df: DataFrame, path: str, table: str, rows_per_statement: int = 1000) -> None:
-    """A dump of INSERT statements, one file for each partition; every statement ends with a semicolon and a line break."""
+def write_insert_dump(df: DataFrame, path: str, table: str, rows_per_statement: int = 1000, raw_breaks: bool = False) -> None:
+    """A dump of INSERT statements, one file for each partition; every statement ends with a semicolon and a line break.
+
+    Line breaks in values are written as backslash and n or r, or with raw_breaks as they are.
+    """
 
     def shown(c: str) -> Column:
         x = F.col(f"`{c}`").cast("string")
         if isinstance(df.schema[c].dataType, (T.StringType, T.TimestampType, T.DateType)):
-            x = F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''")), F.lit("'"))
+            x = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
+            if not raw_breaks:
+                x = F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+            x = F.concat(F.lit("'"), x, F.lit("'"))
         return F.coalesce(x, F.lit("NULL"))
 
     row = F.concat(F.lit("("), F.concat_ws(",", *[shown(c) for c in df.columns]), F.lit(")"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -15,8 +14,13 @@ NULL = "\\N"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary folder only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, which a cluster has to set; in local
+    mode without it, one below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

@@ -19,7 +19,7 @@ def test_staging_drops_other_and_null_modes(spark):
 
 
 def test_best_play_of_each_user_item_and_variant(spark):
-    raw = spark.createDataFrame([play(1, 101, 201, 500.0, "DT"), play(2, 101, 201, 480.0, "DT"), play(3, 101, 201, 520.0, "DT"), play(4, 102, 202, 600.0, "HR"), play(5, 102, 202, 550.0, "HR"), play(6, 103, 203, None), play(7, 104, 204, 5.0, score=1), play(8, 104, 204, 5.0, score=2)], SCHEMA)
+    raw = spark.createDataFrame([play(1, 7, 31, 61.5, "DT"), play(2, 7, 31, 12.0, "DT"), play(3, 7, 31, 88.25, "DT"), play(4, 8, 32, 71.0, "HR"), play(5, 8, 32, 70.5, "HR"), play(6, 9, 33, None), play(7, 10, 34, 5.0, score=1), play(8, 10, 34, 5.0, score=2)], SCHEMA)
     best = best_plays(raw)
     assert sorted(r["id"] for r in best.collect()) == [3, 4, 6, 8]
     assert quality.duplicate_keys(best, ["user_id", "item_id", "variant_key"]).count() == 0
@@ -27,7 +27,7 @@ def test_best_play_of_each_user_item_and_variant(spark):
 
 
 def test_top_k_by_user_and_speed_class_with_null_as_a_class(spark):
-    raw = spark.createDataFrame([play(i, 1, 300 + i, 500 - 1.5 * i, "DT", "DT") for i in range(250)] + [play(1000 + i, 1, i, float(i)) for i in range(120)], SCHEMA)
+    raw = spark.createDataFrame([play(i, 1, 4000 + i, 90 - 0.25 * i, "DT", "DT") for i in range(180)] + [play(1000 + i, 1, i, float(i)) for i in range(120)], SCHEMA)
     top = user_topk(best_plays(raw), 100)
     assert {r["speed_mod"]: r["count"] for r in top.groupBy("speed_mod").count().collect()} == {"DT": 100, None: 100}
     assert top.where("speed_mod IS NULL").agg(F.min("pp")).first()[0] == 20.0
