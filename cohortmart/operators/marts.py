@@ -67,23 +67,20 @@ def user_topk(best: DataFrame, k: int = 100) -> DataFrame:
     return best.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).select(*PLAY)
 
 
-def item_statistics(best: DataFrame, digits: int | None = None) -> DataFrame:
-    """user_count, avg, std, min, median, p75 and p90 of pp for each item and variant. All but the percentiles combine
-    before the shuffle; the exact percentiles are counts of distinct values."""
+def _statistics(best: DataFrame, digits: int | None, *more: Column) -> DataFrame:
     q = F.percentile("pp", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
     stats = best.groupBy("item_id", "variant_key").agg(
-        F.count("*").alias("user_count"), mean(F.col("pp"), digits).alias("avg_pp"), deviation(F.col("pp"), digits).alias("std_pp"), F.min("pp").alias("min_pp"), q.alias("__q")
-    )
-    return stats.select(
-        "item_id", "variant_key", "user_count", "avg_pp", "std_pp", "min_pp", *[F.col("__q")[k].alias(n) for k, n in enumerate(("median_pp", "p75_pp", "p90_pp"))]
+        *more, F.count("*").alias("user_count"), mean(F.col("pp"), digits).alias("avg_pp"), deviation(F.col("pp"), digits).alias("std_pp"), F.min("pp").alias("min_pp"), q.alias("__q")
     )
+    return stats.withColumns({n: F.col("__q")[k] for k, n in enumerate(("median_pp", "p75_pp", "p90_pp"))}).drop("__q")
+
+
+def item_statistics(best: DataFrame, digits: int | None = None) -> DataFrame:
+    """user_count, avg, std, min, median, p75 and p90 of pp for each item and variant. All but the percentiles combine
+    before the shuffle; the exact percentiles are counts of distinct values."""
+    return _statistics(best, digits)
 
 
 def item_user_sets(best: DataFrame, digits: int | None = None) -> DataFrame:
-    """item_statistics() with the sorted list of users. The list of an item is one row; joins never use it."""
-    users = best.groupBy("item_id", "variant_key").agg(F.sort_array(F.collect_list("user_id")).alias("user_ids"))
-    same = ["item_id", "variant_key"]
-    out = users.withColumnsRenamed({c: f"__{c}" for c in same})
-    on = F.col("item_id").eqNullSafe(F.col("__item_id")) & F.col("variant_key").eqNullSafe(F.col("__variant_key"))
-    stats = item_statistics(best, digits)
-    return stats.join(out, on).select(*same, "user_ids", *[c for c in stats.columns if c not in same])
+    """item_statistics() with the sorted list of users, in one aggregation. The list of an item is one row; joins never use it."""
+    return _statistics(best, digits, F.sort_array(F.collect_list("user_id")).alias("user_ids"))

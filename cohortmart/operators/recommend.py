@@ -33,7 +33,8 @@ def recommend_for_seeds(best: DataFrame, seeds: DataFrame, items: DataFrame, set
     """recommend_from_cohort() for every row of seeds (seed_id, item_id, pp_low, pp_high, variant) at once, with its place.
 
     Cost: the plays of each seed's cohort. They are counted before the shuffle by seed, item and variant, and only the
-    thresholds' survivors are ranked. Give top plays (user_topk) as `best` to bound the plays of a user.
+    thresholds' survivors are ranked. Both sides of the join by user come straight from a shuffle, so the plays of a very
+    active user are split over tasks (adaptive skew join). Give top plays (user_topk) as `best` to bound them.
     """
     stats = item_statistics(best, digits) if stats is None else stats
     members = seed_cohorts(best, seeds).select("seed_id", "user_id")

@@ -56,6 +56,11 @@ def user_profile(users: DataFrame, top: DataFrame, digits: int | None = None) ->
     return users.join(counted, "user_id", "left").select(*users.columns, F.coalesce("n", F.lit(0)).alias("total_plays"), half_up(F.col("m")).alias("average_pp"), F.lit(None).cast("long").alias("peak_rank"))
 
 
+def asked_range(low: float, high: float, lowest: float = 0.0, highest: float = 1000.0) -> dict[str, float]:
+    """pp_low and pp_high of a request, each only where it is within the ends of the scale: at the ends nothing is asked."""
+    return ({"pp_low": low} if low > lowest else {}) | ({"pp_high": high} if high < highest else {})
+
+
 def card_view(rows: DataFrame, cover: str = "https://covers.example.org/{}.jpg") -> DataFrame:
     """Rows for display: a cover address by item, 95 for a missing or zero accuracy, an empty list of modifiers."""
     left, _, right = cover.partition("{}")

@@ -190,7 +190,11 @@ def recommend_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def card_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.card_view(recommend_similar(spark, sf_dir))
+    """Cards of a request whose lower end is that of the scale and whose upper end is not."""
+    items = mapping.items(spark, sf_dir)
+    plays = files.save_table(_staged(spark, sf_dir), files.scratch_path(spark, "plays"))
+    asked = serving.asked_range(0.0, 50000.0, highest=100000.0)
+    return serving.card_view(recommend.recommend_similar(plays, items, items, digits=DIGITS, **asked))
 
 
 @registered(

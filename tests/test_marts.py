@@ -93,3 +93,9 @@ def test_quality_checks_find_violations(spark):
 def test_histogram_of_one_value_and_of_nulls(spark):
     df = spark.createDataFrame([(1, 5.0), (1, 5.0), (2, 0.0), (2, 10.0), (2, None)], "item_id long, pp double")
     assert rows(cohort.histogram(df)) == [(1, 1, 2), (2, 1, 1), (2, 10, 1)]
+
+
+def test_bounds_are_asked_only_within_the_scale():
+    from cohortmart.operators.serving import asked_range
+
+    assert asked_range(0.0, 1000.0) == {} and asked_range(5.0, 900.0) == {"pp_low": 5.0, "pp_high": 900.0} and asked_range(0.0, 10.0) == {"pp_high": 10.0}
