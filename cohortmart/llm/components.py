@@ -28,16 +28,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = stored(e, "components")
-    before = None
-    while True:
+    mark = lambda e: e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+    before = mark(e)
+    while before["n"]:
         both = e.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(e.select(F.col("v").alias("node"), F.col("u").alias("other")))
         low = both.groupBy("node").agg(F.min("other").alias("m")).withColumn("m", F.least("node", "m"))
         large = e.join(low, e["v"] == low["node"]).select("u", F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "components")
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == before:
+        now = mark(e)
+        if now == before:  # stars already: a round changes nothing
             break
         before = now
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
