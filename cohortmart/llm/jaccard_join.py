@@ -326,3 +326,20 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: All pairs of texts that share a shingle, their Jaccard similarity, and the closure of the links. Ids are distinct there.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, w, least(5, len(w)) AS k FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM k),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+l AS (SELECT a AS doc_id, b AS other FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, other FROM l UNION SELECT r.doc_id, l.other FROM r JOIN l ON r.other = l.doc_id),
+c AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.least, d.doc_id)) AS class_id, coalesce(n.n, 0) AS n_links, d.doc_id <= coalesce(c.least, d.doc_id) AS kept
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""

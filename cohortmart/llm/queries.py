@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_chat_format": chat.ORACLE,
+    "op3_jaccard_join": jaccard_join.ORACLE,
+    "op7_pivot_index": pivot_index.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
