@@ -251,9 +251,11 @@ def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.known_ids(asked, mapping.table(spark, sf_dir, "events"), "user_id")
 
 
-@registered("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+@registered("SELECT DISTINCT p_partkey AS item_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.missing_ids(mapping.table(spark, sf_dir, "events").select("user_id"), mapping.users(spark, sf_dir), "user_id")
+    asked = mapping.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"))
+    large = mapping.table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("item_id"))
+    return serving.missing_ids(asked, large, "item_id")
 
 
 @registered(with_tables("SELECT id, user_id, item_id, pp FROM plays WHERE user_id NOT IN (SELECT user_id FROM events)"))
@@ -304,7 +306,7 @@ def parse_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("p_partkey", literal(F.col("name")).alias("name"), literal(F.col("size"), "bigint").alias("size"), literal(F.col("price"), "double").alias("price"), literal(F.col("nothing")).alias("nothing"))
 
 
-INFERRED = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "bigint", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string"}
+INFERRED = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "bigint", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "string"}
 
 
 @registered(

@@ -95,7 +95,8 @@ def save_layouts(best: DataFrame, name: str, buckets: int = 16) -> tuple[DataFra
 
 
 def parquet_manifest(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """table_name, version, file, rows, size_bytes, hash of each file. Files are hashed whole, one to a row."""
+    """table_name, version, file, rows, size_bytes, hash of each file. Files are hashed whole, one to a row, so they
+    may have 2 GB at most; write_sharded() keeps them far below with its default of rows."""
     counted = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size_bytes")).agg(F.count("*").alias("rows"))
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
     hashed = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
