@@ -49,6 +49,46 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_id_is_multinomial_naive_bayes(spark):
+    """Scores against a plain computation over the n-grams of each text."""
+    learned = ["the cat and the dog", "el gato y el perro", "der hund und die katze"] * 5 + ["and so on", "un dos tres", "ein zwei", "the end"]
+    lang = [("en", "es", "de")[k % 3] for k in range(15)] + ["en", "es", "de", "en"]
+    model = language_id.train(spark.createDataFrame(list(zip(range(19), learned, lang, strict=True)), "doc_id long, text string, lang string"))
+
+    def grams(text):
+        found = []
+        for n in language_id.ORDERS:
+            for k in range(len(text) - n + 1):
+                points = np.array([ord(c) for c in text[k : k + n]])
+                found.append(int(language_id.hashed_ngrams(points)[n - 1][0]))
+        return found
+
+    names = sorted(set(lang))
+    counts = {y: collections.Counter(g for t, own in zip(learned, lang, strict=True) if own == y for g in grams(t)) for y in names}
+    for text in ["the dog", "perro y gato", "Die Katze", "tres and zwei", "x", "the 12"]:
+        odds = []
+        for y in names:
+            total = sum(counts[y].values()) + 0.5 * language_id.BUCKETS
+            odds.append(np.log(lang.count(y) / 19) + sum(np.log((counts[y][g] + 0.5) / total) for g in grams(text.lower())))
+        p = np.exp(np.array(odds) - max(odds))
+        got, score = language_id.score_texts(model, [text])
+        assert got == [names[int(np.argmax(odds))]] and abs(score[0] - p.max() / p.sum()) < 1e-4
+
+
+def test_language_id_on_held_out_documents(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("test tables are not there")
+    got = language_id.query(spark, "/root/testdata/sf0.01").where("held_out").select("doc_id", "lang_pred")
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang")
+    both = [(r["lang"], r["lang_pred"]) for r in got.join(known, "doc_id").collect() if r["lang_pred"] != "und"]
+    assert len(both) > 200 and np.mean([a == b for a, b in both]) > 0.98
+
+
+def test_language_id_knows_letters():
+    model = language_id.LanguageModel(["en"], np.zeros((1, language_id.BUCKETS), np.float32), np.zeros(1))
+    assert language_id.score_texts(model, ["\u00bd \u00b2", "\u2163", "\u4e2d", "_", "1a"])[0] == ["und", "und", "en", "und", "en"]
+
+
 def test_language_id_counts_long_texts_once():
     text = "abcdefghij" * 500
     from cohortmart.llm.ngrams import pieces
