@@ -33,6 +33,8 @@ LEAST = 14
 PLANT_TEXTS = 4_000
 #: A dictionary word is held by two texts at least, and by such a share of all texts or of those of one folder or language.
 DICTIONARY_SHARE = 1e-4
+#: A dictionary of so many words at most is broadcast, as hashes of eight bytes; a larger one is joined by a shuffle.
+DICTIONARY_BROADCAST = 2_000_000
 #: Characters of dictionary words that are looked for within a value.
 SHORTEST, LONGEST = 4, 12
 TREES, LEVELS = 20, 6
@@ -226,7 +228,11 @@ def known_words(found: DataFrame, words: DataFrame) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["k1", "k2", "word"])
 
-    return values.mapInPandas(parts, "k1 long, k2 long, word string").join(words, "word").groupBy("k1", "k2").agg(F.collect_set("word").alias("known"))
+    keys = words.select(F.xxhash64("word").alias("key"))
+    if words.count() <= DICTIONARY_BROADCAST:
+        keys = F.broadcast(keys)
+    some = values.mapInPandas(parts, "k1 long, k2 long, word string").withColumn("key", F.xxhash64("word"))
+    return some.join(keys, "key", "left_semi").groupBy("k1", "k2").agg(F.collect_set("word").alias("known"))
 
 
 def _kinds(value: str) -> np.ndarray:
