@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortmart.operators.marts import PLAY, STAGED
@@ -19,8 +19,12 @@ def orphans(df: DataFrame, parent: DataFrame, column: str) -> DataFrame:
     return df.join(parent.select(column), column, "left_anti")
 
 
+def _other_mode(playmode: int = 0) -> Column:
+    return ~F.col("playmode").eqNullSafe(F.lit(playmode))
+
+
 def wrong_mode(staged: DataFrame, playmode: int = 0) -> DataFrame:
-    return staged.where(~F.col("playmode").eqNullSafe(F.lit(playmode)))
+    return staged.where(_other_mode(playmode))
 
 
 def too_many(top: DataFrame, k: int) -> DataFrame:
@@ -36,35 +40,55 @@ def not_best(best: DataFrame, staged: DataFrame) -> DataFrame:
     return joined.drop(*[f"of_{k}" for k in keys])
 
 
+def _miscounted() -> Column:
+    return F.size("user_ids") != F.col("user_count")
+
+
 def miscounted_sets(sets: DataFrame) -> DataFrame:
-    return sets.where(F.size("user_ids") != F.col("user_count"))
+    return sets.where(_miscounted())
 
 
-def disordered_percentiles(sets: DataFrame) -> DataFrame:
-    """Sets whose percentiles don't ascend; all of them may be null (no pp at all), but not some."""
+def _disordered() -> Column:
     names = ["min_pp", "median_pp", "p75_pp", "p90_pp"]
     ordered = reduce(lambda a, b: a & b, [F.col(a) <= F.col(b) for a, b in zip(names, names[1:], strict=False)])
     none = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in names])
-    return sets.where(~F.coalesce(ordered, none))
+    return ~F.coalesce(ordered, none)
+
+
+def disordered_percentiles(sets: DataFrame) -> DataFrame:
+    """Sets whose percentiles don't ascend; all of them may be null (no pp at all), but not some."""
+    return sets.where(_disordered())
+
+
+def _unsorted_variant() -> Column:
+    parts = F.split("variant_key", ",")
+    return ~(F.array_sort(parts) == parts).eqNullSafe(F.lit(True))
 
 
 def unsorted_variants(df: DataFrame) -> DataFrame:
+    return df.where(_unsorted_variant())
+
+
+def _other_speed() -> Column:
     parts = F.split("variant_key", ",")
-    return df.where(~(F.array_sort(parts) == parts).eqNullSafe(F.lit(True)))
+    said = F.when(F.arrays_overlap(parts, F.array(F.lit("DT"), F.lit("NC"))), "DT").when(F.array_contains(parts, "HT"), "HT")
+    return ~said.eqNullSafe(F.col("speed_mod"))
 
 
 def wrong_speed(df: DataFrame) -> DataFrame:
     """Rows whose speed class is not what the whole tokens of the variant key say."""
-    parts = F.split("variant_key", ",")
-    said = F.when(F.arrays_overlap(parts, F.array(F.lit("DT"), F.lit("NC"))), "DT").when(F.array_contains(parts, "HT"), "HT")
-    return df.where(~said.eqNullSafe(F.col("speed_mod")))
+    return df.where(_other_speed())
 
 
-def wrong_novelty(recommended: DataFrame, eps: float = 1e-9) -> DataFrame:
-    """Rows whose novelty is null, outside of 0 to 1 or not 1 less the overlap's share."""
+def _other_novelty(eps: float = 1e-9) -> Column:
     x = F.col("novelty_score")
     right = x.between(0, 1) & (F.abs(x - (1 - F.col("cohort_overlap") / F.col("total_players"))) <= eps)
-    return recommended.where(~F.coalesce(right, F.lit(False)))
+    return ~F.coalesce(right, F.lit(False))
+
+
+def wrong_novelty(recommended: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """Rows whose novelty is null, outside of 0 to 1 or not 1 less the overlap's share."""
+    return recommended.where(_other_novelty(eps))
 
 
 def manifest_mismatches(manifest: DataFrame, counts: DataFrame) -> DataFrame:
@@ -89,28 +113,33 @@ def quality_report(
     spark = staged.sparkSession
     absent = {"staged": missing_columns(staged, STAGED), "best": missing_columns(best, PLAY), "top": missing_columns(top, PLAY)}
     play_key, set_key = ["user_id", "item_id", "variant_key"], ["item_id", "variant_key"]
-    percentiles = ["min_pp", "median_pp", "p75_pp", "p90_pp"]
-    checks = [
-        ("playmode", "staged", lambda: wrong_mode(staged), [(staged, ["playmode"])]),
+    #: Checks of single rows: those of a table are counted in one scan.
+    of_rows = [
+        ("staged", staged, [("playmode", _other_mode, ["playmode"])]),
+        ("sets", sets, [("user_count", _miscounted, ["user_ids", "user_count"]), ("percentile_order", _disordered, ["min_pp", "median_pp", "p75_pp", "p90_pp"])]),
+        ("best", best, [("variant_order", _unsorted_variant, ["variant_key"]), ("speed_class", _other_speed, ["variant_key", "speed_mod"])]),
+    ]
+    if recommended is not None:
+        of_rows.append(("recommended", recommended, [("novelty", _other_novelty, ["novelty_score", "cohort_overlap", "total_players"])]))
+    of_tables = [
         ("unique_play", "best", lambda: duplicate_keys(best, play_key), [(best, play_key)]),
         ("unique_set", "sets", lambda: duplicate_keys(sets, set_key), [(sets, set_key)]),
         ("top_k", "top", lambda: too_many(top, k), [(top, ["user_id", "speed_mod"])]),
         ("best_is_highest", "best", lambda: not_best(best, staged), [(best, [*play_key, "pp"]), (staged, [*play_key, "pp"])]),
-        ("user_count", "sets", lambda: miscounted_sets(sets), [(sets, ["user_ids", "user_count"])]),
-        ("percentile_order", "sets", lambda: disordered_percentiles(sets), [(sets, percentiles)]),
         ("orphan_item", "best", lambda: orphans(best, items, "item_id"), [(best, ["item_id"]), (items, ["item_id"])]),
         ("orphan_user", "best", lambda: orphans(best, raw, "user_id"), [(best, ["user_id"]), (raw, ["user_id"])]),
-        ("variant_order", "best", lambda: unsorted_variants(best), [(best, ["variant_key"])]),
-        ("speed_class", "best", lambda: wrong_speed(best), [(best, ["variant_key", "speed_mod"])]),
+        *[("columns", name, lambda gone=gone: spark.range(len(gone)), []) for name, gone in absent.items()],
     ]
-    if recommended is not None:
-        checks.append(("novelty", "recommended", lambda: wrong_novelty(recommended), [(recommended, ["novelty_score", "cohort_overlap", "total_players"])]))
     if manifest is not None and counts is not None:
-        checks.append(("manifest", "counts", lambda: manifest_mismatches(manifest, counts), [(manifest, ["table_name", "rows"]), (counts, ["table", "n_rows"])]))
-    checks += [("columns", name, lambda gone=gone: spark.range(len(gone)), []) for name, gone in absent.items()]
-    rows = []
-    for check, table, found, needs in checks:
-        possible = not any(missing_columns(df, tuple(names)) for df, names in needs)
-        counted = found().agg(F.count("*").alias("violations")) if possible else spark.range(1).select(F.lit(None).cast("long").alias("violations"))
-        rows.append(counted.select(F.lit(check).alias("check"), F.lit(table).alias("table"), "violations"))
-    return reduce(DataFrame.unionByName, rows)
+        of_tables.append(("manifest", "counts", lambda: manifest_mismatches(manifest, counts), [(manifest, ["table_name", "rows"]), (counts, ["table", "n_rows"])]))
+    possible = lambda needs: not any(missing_columns(df, tuple(names)) for df, names in needs)
+    unknown = F.lit(None).cast("long")
+    reports = []
+    for table, df, checks in of_rows:
+        counted = df.agg(F.lit(0), *[(F.count_if(wrong()) if possible([(df, needs)]) else unknown).alias(check) for check, wrong, needs in checks])
+        listed = F.array(*[F.struct(F.lit(check).alias("check"), F.lit(table).alias("table"), F.col(check).alias("violations")) for check, *_ in checks])
+        reports.append(counted.select(F.explode(listed).alias("r")).select("r.*"))
+    for check, table, found, needs in of_tables:
+        counted = found().agg(F.count("*").alias("violations")) if possible(needs) else spark.range(1).select(unknown.alias("violations"))
+        reports.append(counted.select(F.lit(check).alias("check"), F.lit(table).alias("table"), "violations"))
+    return reduce(DataFrame.unionByName, reports)
