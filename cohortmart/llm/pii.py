@@ -199,10 +199,11 @@ def _occurrences(found: DataFrame) -> DataFrame:
     each = found.select("doc_id", "text_key", F.explode(F.concat("base", "candidates")).alias("s")).select("doc_id", "text_key", "s.*")
     seed = F.col("kind") < len(KINDS)
     text = Window.partitionBy("doc_id", "text_key")
-    up = text.orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = text.orderBy(F.desc("end"), "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Base spans come first among those that start together.
+    up = text.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = text.orderBy(F.desc("start"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = each.withColumns({"reach": F.max(F.when(seed, F.col("end"))).over(up), "next": F.min(F.when(seed, F.col("start"))).over(down)})
-    # Base spans that start no later reach into a candidate, or those that end no earlier begin within or before it.
+    # A base span touches a candidate if it starts no later and reaches into it, or no earlier and begins within it.
     apart = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
     kept = near.where(seed | apart).withColumn("kind", F.when(seed, F.col("kind")))
     return kept.select("doc_id", "text_key", "kind", "start", "end", "value", F.explode("patterns").alias("pattern"))

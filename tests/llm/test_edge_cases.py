@@ -225,6 +225,19 @@ def test_pii_patterns_gain_and_precision(spark):
     assert right >= 0.9 * len(want) and wrong == 0
 
 
+def test_pii_candidates_touch_no_base_span(spark):
+    """Against a comparison of all pairs, with base spans within, around, beside and equal to candidates."""
+    rng = np.random.default_rng(12)
+    pieces = ["a@b.org", "x9", "!!1.2.3.4!!", "4111111111111111", "+49 30 1234567", "(5)", "77 88 99", "word", "1.2.3.4", "z@", "4111 1111 1111 1111", "12"]
+    texts = [" ".join(rng.choice(pieces, 8)) for _ in range(60)]
+    found = pii.base_and_candidates(docs_of(spark, texts)).cache()
+    want = set()
+    for r in found.collect():
+        want |= {(r["doc_id"], c["start"], c["end"]) for c in r["candidates"] if not any(c["start"] < b["end"] and b["start"] < c["end"] for b in r["base"])}
+    got = {(r["doc_id"], r["start"], r["end"]) for r in pii._occurrences(found).where("kind IS NULL").collect()}
+    assert got == want and len(want) > 20
+
+
 def test_pii_long_values_and_many_spans(spark):
     """Values that differ beyond 80 characters are different ones, and a text of many spans takes no time of their square."""
     long = "9" * 90
