@@ -30,7 +30,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Lower-case letters whose words need no normalization: those of ASCII and the Latin ones up to U+00FF.
+#: Words of these letters, once in lower case, need no normalization: those of ASCII and the Latin ones up to U+00FF.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
@@ -66,16 +66,17 @@ class WordEncoder:
             shown = piece.decode()
         else:
             text = piece.decode()
-            if not PLAIN.fullmatch(text):
+            low = text.lower()
+            if not PLAIN.fullmatch(low):
                 return self._ids(text)
-            shown = piece.decode("latin-1").translate(self.letters)
+            shown = low.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def learn(self, missing: set[bytes]) -> None:
         for word in missing:
             core = word.rstrip(PUNCTUATION)
             # Only plain letters are sure to end where the punctuation begins: others may become a letter and a mark.
-            if core == word or not PLAIN.fullmatch(core.decode()):
+            if core == word or not (core.isalpha() or PLAIN.fullmatch(core.decode().lower())):
                 self.known[word] = self._piece_ids(word)
                 continue
             ids = []
