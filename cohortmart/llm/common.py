@@ -69,3 +69,11 @@ def below(keys: Column, fraction: Column | float) -> Column:
 def words(text: Column) -> Column:
     """Words of the text in order; empty for null or blank texts."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def crc_sql(value: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a whole number's decimal text."""
+    bits = "lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    step = f"lambda c, b: list_reduce(range(8), {bits}, xor(c, b))"
+    codes = f"list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))"
+    return f"xor(list_reduce({codes}, {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
