@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortmart.llm import chat, decontaminate, jaccard_join, language_id, mixing, periodic_runs, pii, pivot_index, secrets, token_orc, toxicity
+from cohortmart.llm import chat, decontaminate, jaccard_join, language_id, mixing, periodic_runs, pii, pivot_index, prefix_trie, quality, secrets, token_orc, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_token_orc": token_orc.query,
     "op9_secrets": secrets.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_prefix_trie": prefix_trie.query,
     "op12_periodic_runs": periodic_runs.query,
+    "op13_quality": quality.query,
 }
 
 ORACLES = {
@@ -23,5 +25,6 @@ ORACLES = {
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op7_pivot_index": pivot_index.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op12_periodic_runs": periodic_runs.ORACLE,
 }
