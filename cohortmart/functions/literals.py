@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def literal_text(raw: Column) -> Column:
-    """Text of a literal: null for NULL in any case and for nothing; quotes taken off, '' and backslash escapes undone."""
-    x = F.trim(raw)
+    """Text of a literal: null for NULL in any case and for nothing; quotes of both kinds taken off, doubled ones and backslash
+    escapes undone. A character set before a quoted text (_binary 'x') goes; numbers in hexadecimal and calls stay as they are."""
+    x = F.btrim(raw, F.lit(" \n\r\t"))
+    x = F.when(x.startswith("_"), F.regexp_replace(x, r"^_\w+\s*(?=['\"])", "")).otherwise(x)
+    single = (F.length(x) >= 2) & x.startswith("'") & x.endswith("'")
+    double = (F.length(x) >= 2) & x.startswith('"') & x.endswith('"')
 
     def undone(part: Column) -> Column:
-        out = F.regexp_replace(part, r"\\(['\"])|'(')", "$1$2")
+        out = F.when(double, F.regexp_replace(part, r"""\\(['"])|"(")""", "$1$2")).otherwise(F.regexp_replace(part, r"""\\(['"])|'(')""", "$1$2"))
         for escape, sign in (("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\0", "\0")):
             out = F.replace(out, F.lit(escape), F.lit(sign))
         return out
@@ -19,8 +23,7 @@ def literal_text(raw: Column) -> Column:
     # Between escaped backslashes, so that none of those is taken for the start of another escape.
     parts = F.split(F.substring(x, F.lit(2), F.length(x) - 2), r"\\\\", -1)
     inner = F.array_join(F.transform(parts, undone), "\\")
-    quoted = (F.length(x) >= 2) & x.startswith("'") & x.endswith("'")
-    return F.when((x == "") | (F.upper(x) == "NULL"), None).when(quoted, inner).otherwise(x)
+    return F.when((x == "") | (F.upper(x) == "NULL"), None).when(single | double, inner).otherwise(x)
 
 
 def literal(raw: Column, kind: str = "string") -> Column:

@@ -435,7 +435,7 @@ def _dump(spark: SparkSession, sf_dir: str, raw_breaks: bool = False) -> str:
 def read_insert_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
-    return dump.read_insert_dump(spark, _dump(spark, sf_dir), "part", StructType.fromDDL(ODD_SCHEMA), escaped=True)
+    return dump.read_insert_dump(spark, _dump(spark, sf_dir), "part", StructType.fromDDL(ODD_SCHEMA))
 
 
 @registered(ODD_ROWS)
@@ -452,6 +452,47 @@ def read_dump_by_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump.read_insert_dump(spark, _dump(spark, sf_dir), "part_supplier").select("s_suppkey", "s_name", "s_nationkey")
 
 
+@registered(ODD_ROWS)
+def read_dump_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file of statements that end anywhere, with comments that hold quotes and semicolons before, within and behind them."""
+    from pyspark.sql.types import StructType
+
+    odd, path = _odd(spark, sf_dir), files.scratch_path(spark, "anywhere")
+    k = F.col("p_partkey")
+    values = F.concat_ws(" /* , it's; */ ,", *[dump.shown(odd, c, raw_breaks=True) for c in odd.columns])
+    before = F.when(k % 3 == 0, "/* don't; ( */").when(k % 3 == 1, "-- it's; (\n").otherwise("")
+    after = F.when(k % 5 == 0, "; ").when(k % 5 == 1, "; -- who's; there\n").when(k % 5 == 2, " # 'x;\n;").when(k % 5 == 3, ";\r\n").otherwise(";/* ' */")
+    text = F.concat(before, F.lit("INSERT INTO `part` (`p_partkey`, `p_size`, `p_retailprice`, `note`)/* ' */ VALUES("), values, F.lit(")"), after)
+    odd.select(text.alias("value")).coalesce(1).write.option("lineSep", " ").text(path)
+    return dump.read_insert_dump(spark, path, "part", StructType.fromDDL(ODD_SCHEMA))
+
+
+@registered(
+    """SELECT 'part' AS "table", 'incomplete list' AS reason, 1 AS n_rows_kept, '(' || p_partkey || ', ''cut' AS text FROM part WHERE p_partkey % 7 = 0
+  UNION ALL SELECT 'part', 'no lists', 0, 'INSERT INTO part SELECT ' || p_partkey FROM part WHERE p_partkey % 7 = 1
+  UNION ALL SELECT 'part', 'values without a name', 2, '(' || p_partkey || ',''b'',''c'')' FROM part WHERE p_partkey % 7 = 2"""
+)
+def dump_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not read of a dump with lists that are cut off (each in a file that ends there), statements without lists, and
+    lists of more values than names."""
+    path = files.scratch_path(spark, "rejects")
+    k = F.col("p_partkey").cast("string")
+    kind = F.col("p_partkey") % 7
+    names = F.lit("INSERT INTO part (a, b) VALUES ")
+    text = (
+        F.when(kind == 0, F.concat(names, F.lit("(1,'a'),("), k, F.lit(", 'cut")))
+        .when(kind == 1, F.concat(F.lit("INSERT INTO part SELECT "), k))
+        .when(kind == 2, F.concat(names, F.lit("(0,'a'),("), k, F.lit(",'b','c')")))
+        .otherwise(F.concat(names, F.lit("("), k, F.lit(",'whole')")))
+    )
+    part = mapping.table(spark, sf_dir, "part")
+    rows = part.select(text.alias("value"), (kind == 0).alias("cut"))
+    rows.where("NOT cut").select("value").write.option("lineSep", dump.END).text(f"{path}/whole")
+    cut = rows.where("cut").select("value")
+    cut.repartition(max(1, cut.count())).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"{path}/cut")
+    return dump.dump_rejects(spark, f"{path}/*").select("table", "reason", "n_rows_kept", "text")
+
+
 @registered("SELECT p_partkey, 'INSERT INTO ' || p_name || ' VALUES' AS head FROM part")
 def without_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement heads with comments of both kinds, taken off again."""
@@ -491,8 +532,8 @@ def dump_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ",\n".join(f"  `{n}` {k}" for n, k in odd.dtypes)
     made = odd.limit(1).select(F.lit(f"CREATE TABLE `part` (\n{cols},\n  PRIMARY KEY (`p_partkey`)\n)").alias("value"))
     made.write.option("lineSep", dump.END).text(f"{path}/schema.sql")
-    n = dump.read_insert_dump(spark, f"{path}/*.sql", "part", escaped=True).where("p_partkey IS NOT NULL").agg(F.count("*").alias("n"))
-    return dump.dump_schema(spark, f"{path}/*.sql", "part", escaped=True).join(n)
+    n = dump.read_insert_dump(spark, f"{path}/*.sql", "part").where("p_partkey IS NOT NULL").agg(F.count("*").alias("n"))
+    return dump.dump_schema(spark, f"{path}/*.sql", "part").join(n)
 
 
 LAYOUT = "id, user_id, item_id, score, pp, variant_key"

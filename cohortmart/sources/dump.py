@@ -2,74 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortmart.functions.literals import literal, without_comments
-from cohortmart.sources.files import save_table, scratch_path
+from cohortmart.functions.literals import literal
+from cohortmart.sources.statements import statements as all_statements
 
 END = ";\n"
 NAME = r"(?:[`\"]?\w+[`\"]?\.)?[`\"]?(\w+)[`\"]?"
-#: A tuple with strings that may hold any character, and a field of it (group 1); possessive, so no backtracking.
-TUPLE = r"(?s)\((?:[^'()]++|'(?:[^'\\]++|\\.|'')*+')*+\)"
-FIELD = r"(?s)(?:(?<=\()|(?<=,))\s*+('(?:[^'\\]++|\\.|'')*+'|[^,'()]*+)"
-HEAD = rf"(?is)^\s*INSERT\s+(?:IGNORE\s+)?INTO\s+{NAME}\s*(\([^)]*\))?\s*VALUES"
+#: A quoted string, what parentheses of a value hold (calls within calls), and a value; possessive, so no backtracking.
+STRING = r"""(?:'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+")"""
+CALL = rf"""\((?:[^'"()]++|{STRING}|\((?:[^'"()]++|{STRING})*+\))*+\)"""
+VALUE = rf"""(?:[^'"(),]++|{STRING}|{CALL})*+"""
+#: A list of values, directly behind the one before it (group 1), and a value of it (group 1).
+TUPLES = rf"(?s)\G[\s,]*+(\({VALUE}(?:,{VALUE})*+\))"
+FIELD = rf"(?s)(?:^\(|\G(?!^),)({VALUE})"
+HEAD = rf"(?is)^\s*(?:INSERT|REPLACE)\s+(?:(?:IGNORE|DELAYED|LOW_PRIORITY|HIGH_PRIORITY)\s+)*INTO\s+{NAME}\s*(\([^)]*\))?\s*VALUES?(?=[\s(]|$)"
+INSERT = rf"(?is)^\s*(?:INSERT|REPLACE)\s+(?:\w+\s+)*?INTO\s+{NAME}"
+#: What may follow the lists of values.
+CLAUSE = r"(?is)^\s*(?:ON\s+(?:DUPLICATE|CONFLICT)|AS|RETURNING)\b"
+BLANK = " \n\r\t"
 CREATE = rf"(?is)^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\((.*)"
 COLUMN = r"(?m)^\s*[`\"]?(?!(?:PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|FOREIGN|CHECK|FULLTEXT)\b)(\w+)[`\"]?\s+(\w+)"
 
 
-LEADING_COMMENTS = r"(?s)^(?:\s*+(?:(?:--|#)[^\n]*+(?:\n|$)|/\*.*?\*/))++"
-
-
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, id, value: the text between semicolons at line ends, in the order of id within start within file."""
-    first = spark.read.option("lineSep", "\n").text(path).limit(1).first()
-    dos = first is not None and first["value"].endswith("\r")
-    with_end = spark.read.option("lineSep", ";\r\n" if dos else END).text(path)
-    parts = F.split("value", r";\r?\n")
-    return with_end.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.posexplode(parts).alias("part", "value"))
-
-
-def _odd_quotes(piece: Column) -> Column:
-    """Whether a quote opens in the piece and isn't closed in it, or the other way round."""
-    bare = F.regexp_replace(F.regexp_replace(piece, LEADING_COMMENTS, ""), r"(?s)\\.", "")
-    return F.regexp_count(bare, F.lit("'")) % 2 == 1
-
-
-def statements(spark: SparkSession, path: str, escaped: bool = False) -> DataFrame:
-    """One row for each statement: head (comments before the values taken off), body (from VALUES on).
-
-    Statements end with a semicolon and a line break outside of quotes. The dump is looked through for such ends within quotes
-    first, and only if there are any, the pieces of those statements are put together. escaped=True saves that scan, for
-    dumps that write line breaks in values as backslash and n.
-    """
-    pieces = _pieces(spark, path)
-    raw = pieces.select("value")
-    if not escaped and not pieces.where(_odd_quotes(F.col("value"))).isEmpty():
-        kept = save_table(pieces.withColumn("odd", _odd_quotes(F.col("value")).cast("int")), scratch_path(spark, "pieces"))
-        order = Window.partitionBy("file").orderBy("start", "id", "part")
-        # A piece begins a statement if all quotes before it are closed. Only places and parities are ordered, not texts.
-        place = kept.select("file", "start", "id", "part", "odd").withColumn("open", F.coalesce(F.sum("odd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2)
-        numbered = place.withColumn("statement", F.sum(1 - F.col("open")).over(order)).drop("odd", "open")
-        joined = kept.drop("odd").join(numbered, ["file", "start", "id", "part"]).groupBy("file", "statement")
-        pair = F.sort_array(F.collect_list(F.struct("start", "id", "part", "value")))
-        raw = joined.agg(F.array_join(F.transform(pair, lambda x: x["value"]), END).alias("value")).select("value")
-    raw = raw.where(F.trim("value") != "")
-    at = F.regexp_instr("value", F.lit(r"(?i)\bVALUES\b"))
-    head = F.when(at > 0, F.substring("value", F.lit(1), at + 5)).otherwise(F.col("value"))
-    return raw.select(F.trim(without_comments(head)).alias("head"), F.when(at > 0, F.substring("value", at + 6, F.length("value"))).alias("body"))
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, ended (see cohortmart.sources.statements), head (up to VALUES, or a statement of another kind), body."""
+    s = all_statements(spark, path)
+    head = F.regexp_extract("text", HEAD, 0)
+    body = F.when(head != "", F.substring("text", F.length(head) + 1, F.length("text")))
+    return s.select("file", "offset", "ended", F.btrim(F.when(head == "", F.col("text")).otherwise(head), F.lit(BLANK)).alias("head"), body.alias("body"))
 
 
 def unclosed_files(spark: SparkSession, path: str) -> DataFrame:
-    """file: the dumps that end within quotes; their last statement is cut off, and only its complete tuples are read."""
-    return _pieces(spark, path).groupBy("file").agg(F.count_if(_odd_quotes(F.col("value"))).alias("n")).where("n % 2 = 1").select("file")
+    """file: the dumps that end within a statement; only the complete tuples of that are read."""
+    return statements(spark, path).where(~F.col("ended") & F.col("head").rlike(INSERT)).select("file").distinct()
 
 
-def _inserts(spark: SparkSession, path: str, escaped: bool = False) -> DataFrame:
-    """table, names, body of the INSERT statements."""
-    s = statements(spark, path, escaped)
-    return s.where(F.col("head").rlike(HEAD)).select(F.regexp_extract("head", HEAD, 1).alias("table"), F.regexp_extract("head", HEAD, 2).alias("names"), "body")
+def _inserts(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, ended, table, names, body of the INSERT statements."""
+    s = statements(spark, path)
+    return s.where(F.col("body").isNotNull()).select("file", "offset", "ended", F.regexp_extract("head", HEAD, 1).alias("table"), F.regexp_extract("head", HEAD, 2).alias("names"), "body")
 
 
 def dump_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -79,9 +53,9 @@ def dump_tables(spark: SparkSession, path: str) -> DataFrame:
     return made.unionByName(_inserts(spark, path).select("table")).distinct().orderBy("table")
 
 
-def dump_schema(spark: SparkSession, path: str, table: str, escaped: bool = False) -> DataFrame:
+def dump_schema(spark: SparkSession, path: str, table: str) -> DataFrame:
     """position (from 0), column, sql_type of the CREATE TABLE statement."""
-    s = statements(spark, path, escaped).where(F.col("head").rlike(CREATE) & (F.regexp_extract("head", CREATE, 1) == table)).limit(1)
+    s = statements(spark, path).where(F.col("head").rlike(CREATE) & (F.regexp_extract("head", CREATE, 1) == table)).limit(1)
     body = F.regexp_replace(F.regexp_extract("head", CREATE, 2), r",\s*(?=[`\"]?\w+[`\"]?\s+\w)", ",\n")
     lines = F.concat(F.lit("\n"), body)
     names, kinds = F.regexp_extract_all(lines, F.lit(COLUMN), 1), F.regexp_extract_all(lines, F.lit(COLUMN), 2)
@@ -106,7 +80,33 @@ def dump_struct(spark: SparkSession, path: str, table: str) -> T.StructType:
 
 
 def tuples(body: Column) -> Column:
-    return F.regexp_extract_all(body, F.lit(TUPLE), 0)
+    """The lists of values at the start of a body; text after them that is no list ends them."""
+    return F.regexp_extract_all(body, F.lit(TUPLES), 1)
+
+
+def fields(one: Column) -> Column:
+    return F.regexp_extract_all(one, F.lit(FIELD), 1)
+
+
+def dump_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """file, offset, table, reason, n_rows_kept, text: what of the INSERT statements is not read, or not as a whole.
+
+    offset is that of the statement, n_rows_kept the number of its lists that are read, text what is left out: all from the
+    first list that does not end on ("incomplete list"), the whole of a statement without lists ("no lists"), or a list with
+    more values than there are names, whose first values are kept ("values without a name"; one row for each list).
+    """
+    s = statements(spark, path)
+    found = s.where(F.col("head").rlike(INSERT)).select(
+        "file", "offset", F.regexp_extract("head", INSERT, 1).alias("table"), F.regexp_extract_all(F.regexp_extract("head", HEAD, 2), F.lit(r"(\w+)"), 1).alias("names"),
+        "head", "body", tuples(F.coalesce("body", F.lit(""))).alias("t"),
+    )
+    kept = F.size("t").cast("long").alias("n_rows_kept")
+    left = F.regexp_replace(F.regexp_replace("body", TUPLES, ""), r"^[\s,]+|\s+$", "")
+    tails = found.where(F.col("body").isNotNull()).select("file", "offset", "table", F.lit("incomplete list").alias("reason"), kept, left.alias("text")).where((F.col("text") != "") & ~F.col("text").rlike(CLAUSE))
+    none = found.where(F.col("body").isNull()).select("file", "offset", "table", F.lit("no lists").alias("reason"), kept, F.col("head").alias("text"))
+    long = found.where(F.size("names") > 0).select("file", "offset", "table", F.lit("values without a name").alias("reason"), kept, "names", F.explode("t").alias("text"))
+    long = long.where(F.size(fields(F.col("text"))) > F.size("names")).drop("names")
+    return tails.unionByName(none).unionByName(long)
 
 
 def dump_row_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -120,26 +120,37 @@ def insert_columns(spark: SparkSession, path: str, table: str) -> list[str]:
     return list(first["n"]) if first else []
 
 
-def read_insert_dump(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None, escaped: bool = False) -> DataFrame:
+def read_insert_dump(spark: SparkSession, path: str, table: str, schema: T.StructType | None = None) -> DataFrame:
     """Rows of one table of a dump. Columns by `schema`, else by the column list, else by CREATE TABLE, else col_0, col_1, ....
 
     Without a schema the values of a column list are strings. Short rows are filled with nulls, incomplete tuples left out.
-    escaped=True: see statements().
+    Statements and comments may be anywhere; dump_rejects() has what is left out.
     """
-    inserts = _inserts(spark, path, escaped).where(F.col("table") == table)
+    inserts = _inserts(spark, path).where(F.col("table") == table)
     if schema is None:
         first = inserts.where(F.col("names") != "").select(F.regexp_extract_all("names", F.lit(r"(\w+)"), 1).alias("n")).first()
         names = list(first["n"]) if first else []
-        schema = _struct(dump_schema(spark, path, table, escaped).orderBy("position").collect())
+        schema = _struct(dump_schema(spark, path, table).orderBy("position").collect())
         if names:
             kinds = {f.name: f.dataType for f in schema.fields}
             schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
     rows = inserts.select(F.explode(tuples(F.col("body"))).alias("t"))
-    fields = rows.select(F.regexp_extract_all("t", F.lit(FIELD), 1).alias("f"))
+    listed = rows.select(fields(F.col("t")).alias("f"))
     if not schema.fields:
-        width = fields.agg(F.max(F.size("f"))).first()[0] or 0
+        width = listed.agg(F.max(F.size("f"))).first()[0] or 0
         schema = T.StructType([T.StructField(f"col_{k}", T.StringType()) for k in range(width)])
-    return fields.select(*[literal(F.get("f", F.lit(k)), x.dataType.simpleString()).alias(x.name) for k, x in enumerate(schema.fields)])
+    return listed.select(*[literal(F.get("f", F.lit(k)), x.dataType.simpleString()).alias(x.name) for k, x in enumerate(schema.fields)])
+
+
+def shown(df: DataFrame, c: str, raw_breaks: bool = False) -> Column:
+    """A column's values as literals of a dump."""
+    x = F.col(f"`{c}`").cast("string")
+    if isinstance(df.schema[c].dataType, (T.StringType, T.TimestampType, T.DateType)):
+        x = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
+        if not raw_breaks:
+            x = F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+        x = F.concat(F.lit("'"), x, F.lit("'"))
+    return F.coalesce(x, F.lit("NULL"))
 
 
 def write_insert_dump(df: DataFrame, path: str, table: str, rows_per_statement: int = 1000, raw_breaks: bool = False) -> None:
@@ -147,17 +158,7 @@ def write_insert_dump(df: DataFrame, path: str, table: str, rows_per_statement:
 
     Line breaks in values are written as backslash and n or r, or with raw_breaks as they are.
     """
-
-    def shown(c: str) -> Column:
-        x = F.col(f"`{c}`").cast("string")
-        if isinstance(df.schema[c].dataType, (T.StringType, T.TimestampType, T.DateType)):
-            x = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
-            if not raw_breaks:
-                x = F.replace(F.replace(x, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-            x = F.concat(F.lit("'"), x, F.lit("'"))
-        return F.coalesce(x, F.lit("NULL"))
-
-    row = F.concat(F.lit("("), F.concat_ws(",", *[shown(c) for c in df.columns]), F.lit(")"))
+    row = F.concat(F.lit("("), F.concat_ws(",", *[shown(df, c, raw_breaks) for c in df.columns]), F.lit(")"))
     numbered = df.select(row.alias("row"), F.floor(F.monotonically_increasing_id() / rows_per_statement).alias("s"))
     listed = ", ".join(f"`{c}`" for c in df.columns)
     made = numbered.groupBy("s").agg(F.concat(F.lit(f"INSERT INTO `{table}` ({listed}) VALUES\n"), F.array_join(F.collect_list("row"), ",\n")).alias("value"))
