@@ -152,7 +152,10 @@ def learned_counts(docs: DataFrame, labels: DataFrame, text_col: str, id_col: st
     usable = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     wanted = F.when(F.col("label") == 1, min(1.0, learn_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, learn_rows / max(1, sizes.get(0, 0))))
-    sample = usable.where(below(F.col("id"), wanted)).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    chosen = usable.where(below(F.col("id"), wanted))
+    # A few thousand ids and labels go to the texts; only if ids repeat so often that it isn't so, the texts are shuffled.
+    few = chosen.count() <= 8 * learn_rows
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen) if few else chosen, "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
