@@ -56,9 +56,15 @@ def _best_first() -> list[Column]:
 
 
 def best_plays(staged: DataFrame) -> DataFrame:
-    """One play for each user, item and variant: the one of highest pp, then score, then lowest id; null pp is last."""
-    w = Window.partitionBy("user_id", "item_id", "variant_key").orderBy(*_best_first())
-    return staged.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*PLAY)
+    """One play for each user, item and variant: the one of highest pp, then score, then lowest id; null pp is last.
+
+    The best row is a maximum, which combines before the shuffle: plays that are beaten within their task go no further.
+    """
+    keys = ["user_id", "item_id", "variant_key"]
+    # Nulls are the smallest values of a row's parts, and ~id turns the order of ids around. What follows settles full ties.
+    rank = F.struct("pp", "score", F.bitwise_not(F.col("id").cast("long")).alias("__id"), "id", *[c for c in PLAY if c not in (*keys, "pp", "score", "id")])
+    first = staged.groupBy(*keys).agg(F.max(rank).alias("__best"))
+    return first.select(*[F.col(c) if c in keys else F.col("__best")[c].alias(c) for c in PLAY])
 
 
 def user_topk(best: DataFrame, k: int = 100) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmart.operators.marts import PLAY, STAGED
@@ -101,6 +101,21 @@ def missing_columns(df: DataFrame, expected: tuple[str, ...]) -> list[str]:
     return [c for c in expected if c not in df.columns]
 
 
+#: Checks of single rows by table, which can be counted while the table is written.
+WHILE_WRITING = {
+    "staged": lambda: {"playmode": _other_mode()},
+    "best": lambda: {"variant_order": _unsorted_variant(), "speed_class": _other_speed()},
+    "sets": lambda: {"user_count": _miscounted(), "percentile_order": _disordered()},
+    "recommended": lambda: {"novelty": _other_novelty()},
+}
+
+
+def observed_report(spark: SparkSession, counted: dict[str, dict[str, int]]) -> DataFrame:
+    """check, table, violations as quality_report() has them, from what save_observed() has counted for each table."""
+    found = [(check, table, n) for table, seen in counted.items() for check, n in seen.items() if check != "n_rows"]
+    return spark.createDataFrame(found, "check string, table string, violations long")
+
+
 def quality_report(
     staged: DataFrame, best: DataFrame, top: DataFrame, sets: DataFrame, items: DataFrame, raw: DataFrame, k: int = 100,
     recommended: DataFrame | None = None, manifest: DataFrame | None = None, counts: DataFrame | None = None,

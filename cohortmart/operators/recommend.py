@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortmart.functions.numbers import half_up, mean, novelty, similarity
+from cohortmart.operators.cooccurrence import seed_overlaps
 from cohortmart.operators.cohort import asked_plays, cohort_overlap, seed_cohorts
 from cohortmart.operators.marts import item_statistics
 
@@ -32,14 +33,13 @@ def recommend_from_cohort(best: DataFrame, cohort: DataFrame, items: DataFrame,
 def recommend_for_seeds(best: DataFrame, seeds: DataFrame, items: DataFrame, sets: DataFrame, min_overlap: int = MIN_OVERLAP, min_players: int = MIN_PLAYERS, limit: int = LIMIT, stats: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """recommend_from_cohort() for every row of seeds (seed_id, item_id, pp_low, pp_high, variant) at once, with its place.
 
-    Cost: the plays of each seed's cohort. They are counted before the shuffle by seed, item and variant, and only the
-    thresholds' survivors are ranked. Both sides of the join by user come straight from a shuffle, so the plays of a very
-    active user are split over tasks (adaptive skew join). Give top plays (user_topk) as `best` to bound them.
+    Cost: the plays of each seed's cohort, counted by seed_overlaps(): cohorts and items below the thresholds are left out
+    before, and a very active user is spread over tasks. Give top plays (user_topk) as `best` to bound them.
     """
     stats = item_statistics(best, digits) if stats is None else stats
     members = seed_cohorts(best, seeds).select("seed_id", "user_id")
-    pairs = members.join(best.select("user_id", "item_id", "variant_key"), "user_id")
-    counted = pairs.groupBy("seed_id", "item_id", "variant_key").agg(F.count("*").alias("cohort_overlap"))
+    popular = stats.where(F.col("user_count") >= min_players).select("item_id", "variant_key", "user_count")
+    counted = seed_overlaps(members, best.select("user_id", "item_id", "variant_key"), popular, min_overlap)
     rows = _described(counted, stats, items, sets, min_overlap, min_players)
     order = Window.partitionBy("seed_id").orderBy(F.col("cohort_overlap").desc(), F.col("avg_pp").desc_nulls_last(), F.col("item_id"), F.col("variant_key"))
     ranked = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)

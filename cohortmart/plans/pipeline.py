@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortmart.operators.marts import Names, best_plays, canonical, item_user_sets, stage_scores, user_topk
+from cohortmart.operators.quality import WHILE_WRITING, observed_report
 from cohortmart.sources.dump import read_insert_dump
-from cohortmart.sources.files import load_raw, read_or_none, save_table, table_counts, table_path, write_sharded
+from cohortmart.sources.files import load_raw, read_or_none, save_observed, save_table, table_counts, table_path, write_sharded
 
 PHASES = ("bronze", "silver", "gold")
 
@@ -64,9 +65,11 @@ def gold(spark: SparkSession, job: Job) -> dict[str, str]:
     if raw is None:
         return {"scores": "skipped: no raw table"}
     staged = stage_scores(canonical(raw, job.names))
-    best = save_table(best_plays(staged), job.at("best_plays"))
+    # The checks of single rows are counted by the jobs that write the marts.
+    best, seen = save_observed(best_plays(staged), job.at("best_plays"), **WHILE_WRITING["best"]())
     save_table(user_topk(best, job.top_k), job.at("user_topk"))
-    save_table(item_user_sets(best), job.at("item_user_sets"))
+    _, sets_seen = save_observed(item_user_sets(best), job.at("item_user_sets"), **WHILE_WRITING["sets"]())
+    save_table(observed_report(spark, {"best": seen, "sets": sets_seen}), job.at("quality"))
     return {name: "written" for name in ("best_plays", "user_topk", "item_user_sets")}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortmart.functions.literals import infer_types, literal
 from cohortmart.functions.literals import without_comments as comments_off
 from cohortmart.functions.variants import modifiers, speed_class, variant_key
-from cohortmart.operators import cohort, quality, recommend, serving
+from cohortmart.operators import bitmaps, cohort, cooccurrence, quality, recommend, serving, sketches
 from cohortmart.operators.marts import Names, best_plays, item_statistics, item_user_sets, stage_scores, user_topk
 from cohortmart.plans import mapping
 from cohortmart.plans.pipeline import Job, run_pipeline
@@ -113,6 +113,69 @@ def cohort_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.cohort_overlap(best, cohort.cohort_users(best, SEED))
 
 
+@registered(with_tables(f"SELECT item_id, variant_key, count(*) AS cohort_overlap FROM best WHERE user_id IN {ONE_COHORT} GROUP BY ALL"))
+def bitmap_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap of a cohort with every item as bits in common, from numbered plays and their bitmaps in tables."""
+    best = _saved_best(spark, sf_dir)
+    plays = files.save_table(bitmaps.numbered_plays(best, bitmaps.dense_numbers(best, "user_id")), files.scratch_path(spark, "numbered"))
+    items = files.save_table(bitmaps.item_bitmaps(plays), files.scratch_path(spark, "bitmaps"))
+    return bitmaps.bitmap_overlap(items, bitmaps.cohort_bitmap(plays, cohort.cohort_filter(SEED)))
+
+
+@registered(with_tables("SELECT item_id, variant_key, count(DISTINCT user_id) AS n_users FROM best GROUP BY ALL"))
+def bitmap_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = _saved_best(spark, sf_dir)
+    plays = bitmaps.numbered_plays(best, bitmaps.dense_numbers(best, "user_id"))
+    return bitmaps.bitmap_sizes(bitmaps.item_bitmaps(plays), "item_id", "variant_key")
+
+
+@registered(with_tables("SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_no FROM (SELECT DISTINCT user_id FROM best)"))
+def dense_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmaps.dense_numbers(_best(spark, sf_dir), "user_id")
+
+
+@registered(
+    with_tables(
+        f"""SELECT seed_id, p.item_id, p.variant_key, count(*) AS cohort_overlap FROM ({ALL_COHORTS}) c JOIN best p ON c.user_id = p.user_id
+  JOIN stats s ON p.item_id = s.item_id AND p.variant_key = s.variant_key WHERE user_count >= 5 GROUP BY ALL HAVING count(*) >= 3"""
+    )
+)
+def seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in common of every seed and item, from pairs of user blocks; blocks of 8, so that most users have several."""
+    best = _saved_best(spark, sf_dir)
+    members = cohort.seed_cohorts(best, mapping.seeds(spark, sf_dir)).select("seed_id", "user_id")
+    popular = best.groupBy("item_id", "variant_key").agg(F.count("*").alias("user_count")).where("user_count >= 5")
+    return cooccurrence.seed_overlaps(members, best, popular, 3, block=8)
+
+
+@registered(with_tables("SELECT item_id, count(pp) AS n_rows, TRUE AS median_near, TRUE AS p75_near, TRUE AS p90_near FROM best GROUP BY ALL"))
+def merged_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of items from the sketches of their variants; near is a rank in all plays of within 2 % of the one asked for."""
+    best = _saved_best(spark, sf_dir)
+    wanted = {"median": 0.5, "p75": 0.75, "p90": 0.9}
+    parts = files.save_table(sketches.score_sketches(best, "item_id", "variant_key"), files.scratch_path(spark, "sketches"))
+    merged = sketches.with_quantiles(sketches.merged_scores(parts, "item_id"), **wanted)
+    ranks = [F.count_if(F.col("pp") < F.col(n)).alias(f"below_{n}") for n in wanted] + [F.count_if(F.col("pp") <= F.col(n)).alias(f"upto_{n}") for n in wanted]
+    placed = best.join(merged.drop("quantiles"), "item_id").groupBy("item_id", "n_rows").agg(*ranks)
+    near = [((F.col(f"below_{n}") <= (q + 0.02) * F.col("n_rows")) & (F.col(f"upto_{n}") >= (q - 0.02) * F.col("n_rows"))).alias(f"{n}_near") for n, q in wanted.items()]
+    return placed.select("item_id", "n_rows", *near)
+
+
+@registered(with_tables("SELECT item_id, count(DISTINCT user_id) AS n_users FROM best GROUP BY ALL"))
+def merged_user_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users of items from the theta sketches of their variants; exact up to 4,096 users of an item."""
+    parts = files.save_table(sketches.user_sketches(_best(spark, sf_dir), "item_id", "variant_key"), files.scratch_path(spark, "sketches"))
+    return sketches.distinct_users(sketches.merged_users(parts, "item_id")).select("item_id", "n_users")
+
+
+@registered(with_tables(f"SELECT item_id, variant_key, count(DISTINCT CASE WHEN user_id IN {ONE_COHORT} THEN user_id END) AS cohort_overlap FROM best GROUP BY ALL"))
+def sketched_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cohort and all items by their theta sketches alone; exact up to 4,096 users of each."""
+    best = _saved_best(spark, sf_dir)
+    users = sketches.user_sketches(cohort.cohort_users(best, SEED))
+    return sketches.sketched_overlap(sketches.user_sketches(best, "item_id", "variant_key"), users).select("item_id", "variant_key", "cohort_overlap")
+
+
 FULL = """SELECT b.item_id, b.variant_key, version, artist, title, difficultyrating, user_count AS total_players, cohort_overlap, avg_pp, std_pp, min_pp,
   round(median_pp, 4) AS median_pp, round(p75_pp, 4) AS p75_pp, round(p90_pp, 4) AS p90_pp, 1.0 - CAST(cohort_overlap AS DOUBLE) / user_count AS novelty_score"""
 
@@ -360,6 +423,16 @@ CHECKS = {
 }
 
 
+def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plays, best plays and user sets with violations of the checks of single rows."""
+    plays = files.save_table(mapping.plays(spark, sf_dir), files.scratch_path(spark, "plays"))
+    variant = F.when(F.col("id") % 31 == 0, "R,A").when(F.col("id") % 37 == 0, "DT,HR").otherwise(F.col("variant_key"))
+    wrong = plays.where("id % 2 = 0").withColumn("variant_key", variant)
+    sets = files.save_table(item_user_sets(best_plays(stage_scores(plays))), files.scratch_path(spark, "sets"))
+    third = F.when(F.col("item_id") % 3 != 0, F.when(F.col("item_id") % 4 == 0, F.col("min_pp") - 1).otherwise(F.col("p75_pp")))
+    return plays, wrong, sets.withColumns({"user_count": F.when(F.col("item_id") % 5 == 0, F.col("user_count") + 1).otherwise(F.col("user_count")), "p75_pp": third})
+
+
 @registered(
     f"WITH {mapping.SQL.rstrip()},{PLANTED_SQL}\n" + " UNION ALL ".join(f"""SELECT '{c}' AS "check", '{t}' AS "table", CAST(({q}) AS BIGINT) AS violations""" for (c, t), q in CHECKS.items())
 )
@@ -381,6 +454,21 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(plays, wrong, good, wrong_sets, kept_items, kept_plays, K, recommended, manifest, counts)
 
 
+ROW_CHECKS = {(c, t): q for (c, t), q in CHECKS.items() if c in ("playmode", "user_count", "percentile_order", "variant_order", "speed_class")}
+
+
+@registered(
+    f"WITH {mapping.SQL.rstrip()},{PLANTED_SQL}\n" + " UNION ALL ".join(f"""SELECT '{c}' AS "check", '{t}' AS "table", CAST(({q}) AS BIGINT) AS violations""" for (c, t), q in ROW_CHECKS.items())
+)
+def quality_while_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of single rows, counted by the jobs that write the tables with planted violations."""
+    plays, wrong, sets = _planted(spark, sf_dir)
+    seen = {}
+    for table, df in (("staged", plays), ("best", wrong), ("sets", sets)):
+        _, seen[table] = files.save_observed(df, files.scratch_path(spark, table), **quality.WHILE_WRITING[table]())
+    return quality.observed_report(spark, seen)
+
+
 @registered(with_tables("SELECT * FROM best"))
 def shard_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = files.scratch_path(spark, "shards")

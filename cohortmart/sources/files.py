@@ -6,7 +6,7 @@ import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,38 @@ def read_jdbc_table(spark: SparkSession, url: str, table: str, column: str | Non
     return spark.read.jdbc(url, table, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=properties)
 
 
+def jdbc_bounds(spark: SparkSession, url: str, table: str, column: str, parts: int = 8, **properties: str) -> list:
+    """Values that cut the table's rows into about `parts` equal parts by a column, from its own quantiles. The database sends
+    that column only."""
+    values = read_jdbc_table(spark, url, table, **properties).select(F.col(column).alias("v")).where("v IS NOT NULL")
+    cuts = values.agg(F.percentile_approx("v", [k / parts for k in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    return sorted(set(cuts))
+
+
+def read_jdbc_balanced(spark: SparkSession, url: str, table: str, column: str, parts: int = 8, **properties: str) -> DataFrame:
+    """A whole table, read by ranges of about as many rows each, whatever the column's values are; rows without a value are in
+    the first range."""
+    cuts = jdbc_bounds(spark, url, table, column, parts, **properties)
+    if not cuts:
+        return read_jdbc_table(spark, url, table, **properties)
+    text = [f"'{c}'" if isinstance(c, str) else str(c) for c in cuts]
+    ranges = [f"{column} <= {text[0]} OR {column} IS NULL", *[f"{column} > {a} AND {column} <= {b}" for a, b in zip(text, text[1:], strict=False)], f"{column} > {text[-1]}"]
+    return spark.read.jdbc(url, table, predicates=ranges, properties=properties)
+
+
+def csv_rows_and_rejects(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of CSV chunks that fit the schema, and the others as file and text: lines with too few or too many values, or
+    with values of another type. Both are read in one way, so their numbers add up."""
+    given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    bad = "_rejected"
+    read = spark.read.schema(T.StructType([*given.fields, T.StructField(bad, T.StringType())])).option("columnNameOfCorruptRecord", bad).option("mode", "PERMISSIVE")
+    rows = read.option("header", header).option("escape", "\\").option("nullValue", NULL).option("multiLine", True).csv(path)
+    # All columns are looked at in both cases: a reader of some columns would not see what is wrong with the others.
+    looked = F.concat_ws("", *[F.col(f"`{f.name}`").cast("string") for f in given.fields]) >= ""
+    good = rows.where(looked & F.col(bad).isNull()).drop(bad)
+    return good, rows.where(looked & F.col(bad).isNotNull()).select(F.col("_metadata.file_path").alias("file"), F.col(bad).alias("text"))
+
+
 def read_csv_chunks(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True) -> DataFrame:
     return spark.read.schema(schema).option("header", header).option("escape", "\\").option("nullValue", NULL).option("multiLine", True).csv(path)
 
@@ -94,6 +126,38 @@ def save_layouts(best: DataFrame, name: str, buckets: int = 16) -> tuple[DataFra
     return spark.table(f"{name}_by_item_id"), spark.table(f"{name}_by_user_id")
 
 
+def save_clustered(best: DataFrame, path: str, row_group_rows: int = 100_000, lookup: str = "user_id") -> DataFrame:
+    """The best plays in ranges of (item_id, pp), sorted within each file, with Bloom filters on `lookup`.
+
+    A question for an item and a least pp reads the row groups whose ranges hold it, by their statistics; one for a user skips
+    the row groups whose filter says no. Page indexes, which Parquet always writes, narrow a row group down to pages.
+    """
+    ranged = best.repartitionByRange("item_id", "pp").sortWithinPartitions("item_id", "pp")
+    written = ranged.write.mode("overwrite").option("parquet.block.row.count.limit", row_group_rows)
+    written.option(f"parquet.bloom.filter.enabled#{lookup}", "true").option(f"parquet.bloom.filter.expected.ndv#{lookup}", row_group_rows).parquet(path)
+    return best.sparkSession.read.schema(best.schema).parquet(path)
+
+
+def save_by_item(table: DataFrame, name: str, buckets: int = 16) -> DataFrame:
+    """A table of items in the buckets of the layout by item, which joins with that layout by item_id where it lies. Joins by
+    item and variant do so too with spark.sql.requireAllClusterKeysForCoPartition set to false."""
+    table.write.mode("overwrite").bucketBy(buckets, "item_id").sortBy("item_id").saveAsTable(name)
+    return table.sparkSession.table(name)
+
+
+def save_by_user(table: DataFrame, name: str, buckets: int = 16) -> DataFrame:
+    """A table of users, for instance a cohort, in the buckets of the layout by user."""
+    table.write.mode("overwrite").bucketBy(buckets, "user_id").sortBy("user_id").saveAsTable(name)
+    return table.sparkSession.table(name)
+
+
+def save_observed(df: DataFrame, path: str, **violations: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Replaces the table at `path`; what is true of how many rows (and n_rows) is counted by the job that writes them."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(name) for name, c in violations.items()]).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), dict(seen.get)
+
+
 def parquet_manifest(spark: SparkSession, path: str, table: str) -> DataFrame:
     """table_name, version, file, rows, size_bytes, hash of each file. Files are hashed whole, one to a row, so they
     may have 2 GB at most; write_sharded() keeps them far below with its default of rows."""
