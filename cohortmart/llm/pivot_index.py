@@ -1,9 +1,10 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by its NEAREST nearest reference points in order. Each of the first LISTED of them has an inverted
-list that the vector is entered in. Two vectors of a list are candidates if their permutations share SHARED pivots at least, and
+Every vector is described by its nearest reference points in order. Each of the first few of them has an inverted list that
+the vector is entered in. Two vectors of a list are candidates if their permutations share some pivots at least, and
 candidates are verified by their cosine in double precision. Reference points are kept apart from each other, so that a
-crowd of like vectors has few of them and like vectors share the same ones.
+crowd of like vectors has few of them and like vectors share the same ones. Pivots become denser as vectors become more, so how
+many are looked at follows from the recall of pairs that are planted just at the threshold.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ from cohortmart.llm.common import below, row_keys, stored, table
 from cohortmart.llm.components import connected_components, fewer_edges
 
 COSINE = 0.9
-NEAREST, LISTED, SHARED = 8, 4, 3
+#: Pivots of a permutation, those whose lists a vector is entered in, and those that candidates share: the first of these that
+#: finds TARGET of PLANTED pairs, each of a vector of a sample and a partner at the threshold.
+SHAPES = ((8, 4, 3), (8, 4, 2), (8, 6, 2), (8, 8, 2), (12, 8, 2), (16, 12, 2), (24, 16, 3), (48, 32, 3))
+TARGET, PLANTED = 0.96, 2_000
 #: Reference points for each vector length: so many times the root of the number of vectors, within bounds, picked from a hash
 #: sample of CHOICE times as many; none is closer to another than SPREAD.
 PIVOT_FACTOR, PIVOTS_LEAST, PIVOTS_MOST, CHOICE, SPREAD = 4.0, 32, 16_384, 2, 0.6
 #: Numbers of all reference points together, at most: 32 MB that are broadcast.
 PIVOT_NUMBERS = 1 << 22
+#: Vector lengths that have pivots, the most frequent ones; vectors of another length share one list.
+LENGTHS = 4_096
 BLOCK = 1024
 
 
@@ -45,7 +51,7 @@ def pick_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
 
     A length too rare for a reference point of its own within the bounds has none: its vectors share one list.
     """
-    sizes = {r["length"]: r["n"] for r in vectors.groupBy(F.size("vec").alias("length")).agg(F.count("*").alias("n")).collect()}
+    sizes = {r["length"]: r["n"] for r in vectors.groupBy(F.size("vec").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(LENGTHS).collect()}
     wanted = {k: int(min(n, PIVOTS_MOST, max(PIVOTS_LEAST, PIVOT_FACTOR * n**0.5))) for k, n in sizes.items()}
     shrink = min(1.0, PIVOT_NUMBERS / max(1, sum(CHOICE * k * n for k, n in wanted.items())))
     wanted = {k: int(n * shrink) for k, n in wanted.items() if int(n * shrink)}
@@ -53,13 +59,54 @@ def pick_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
         return {}
     part = F.create_map(*[F.lit(x) for k, n in wanted.items() for x in (k, min(1.0, CHOICE * n / sizes[k]))])
     rows = vectors.where(below(F.col("k1"), F.coalesce(part[F.size("vec")], F.lit(0.0)))).select("k1", "vec").collect()
-    found: dict[int, list[np.ndarray]] = {}
+    found: dict[int, np.ndarray] = {}
+    kept = dict.fromkeys(wanted, 0)
     for r in sorted(rows, key=lambda r: r["k1"]):
-        kept = found.setdefault(len(r["vec"]), [])
         unit = _units(np.array([r["vec"]], float))[0]
-        if len(kept) < wanted[len(unit)] and (not kept or (np.array(kept) @ unit).max() < SPREAD):
-            kept.append(unit)
-    return {k: np.array(v) for k, v in found.items()}
+        n = len(unit)
+        own = found.setdefault(n, np.empty((wanted[n], n)))
+        if kept[n] < wanted[n] and (not kept[n] or (own[: kept[n]] @ unit).max() < SPREAD):
+            own[kept[n]] = unit
+            kept[n] += 1
+    return {k: v[: kept[k]] for k, v in found.items()}
+
+
+def _nearest(units: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
+    """The nearest pivots of each row, nearest first; pivots as near are in the order of their numbers."""
+    like = units @ pivots.T
+    most = min(most, like.shape[1])
+    near = np.sort(np.argpartition(-like, most - 1, axis=1)[:, :most], axis=1)
+    return np.take_along_axis(near, np.argsort(-np.take_along_axis(like, near, 1), axis=1, kind="stable"), 1)
+
+
+def planted_recall(pivots: np.ndarray, vectors: np.ndarray, shape: tuple[int, int, int], cosine: float, pairs: int = PLANTED) -> float:
+    """The share of pairs at the threshold that the shape makes candidates: vectors, and partners of them in random directions."""
+    rng = np.random.default_rng(11)
+    nearest, listed, shared = shape
+    if vectors.shape[1] < 2 or not len(vectors):
+        return 1.0
+    met = []
+    for at in range(0, pairs, 500):
+        x = vectors[(at + np.arange(min(500, pairs - at))) % len(vectors)]
+        side = rng.standard_normal(x.shape)
+        side -= (side * x).sum(axis=1, keepdims=True) * x
+        a, b = _nearest(x, pivots, nearest), _nearest(cosine * x + (1 - cosine**2) ** 0.5 * _units(side), pivots, nearest)
+        common = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2)) >= min(shared, a.shape[1])
+        met.append(common & (a[:, :listed, None] == b[:, None, :listed]).any(axis=(1, 2)))
+    return float(np.concatenate(met).mean())
+
+
+def pick_shape(vectors: DataFrame, pivots: dict[int, np.ndarray], cosine: float = COSINE) -> tuple[int, int, int]:
+    """The first of SHAPES that reaches TARGET; the last where none does. The pairs are planted at about PLANTED / 4 vectors of
+    a hash sample of its own, of lengths that have pivots."""
+    large = [n for n, p in pivots.items() if len(p) > 1]
+    if not large:
+        return SHAPES[0]
+    own = vectors.where(F.size("vec").isin(large))
+    part = min(1.0, PLANTED / 4 / max(1, own.count()))
+    rows = [r["vec"] for r in own.where(below(F.col("k2"), part)).select("vec").collect()]
+    some = {n: _units(np.array([v for v in rows if len(v) == n], float)) for n in {len(v) for v in rows}}
+    return next((s for s in SHAPES if all(planted_recall(pivots[n], x, s, cosine) >= TARGET for n, x in some.items())), SHAPES[-1])
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +116,7 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
 
 
-def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+def describe(vectors: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
     """node, permutation: the numbers of the nearest pivots, nearest first. Pivots of all lengths are numbered together; a
     vector whose length has none has a permutation of one number of its own, below 0."""
     first, number = {}, 0
@@ -91,18 +138,15 @@ def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                         for k in mine:
                             out[k] = np.array([-1 - n], np.int32)
                         continue
-                    like = _units(np.stack([flat[cuts[k] : cuts[k + 1]] for k in mine])) @ points[n].T
-                    most = min(NEAREST, like.shape[1])
-                    near = np.argpartition(-like, most - 1, axis=1)[:, :most]
-                    order = np.argsort(-np.take_along_axis(like, near, 1), axis=1, kind="stable")
-                    for k, row in zip(mine, np.take_along_axis(near, order, 1) + begin[n], strict=True):
+                    units = _units(np.stack([flat[cuts[k] : cuts[k + 1]] for k in mine]))
+                    for k, row in zip(mine, _nearest(units, points[n], nearest) + begin[n], strict=True):
                         out[k] = row.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int32()))], names=["node", "permutation"])
 
     return vectors.select("node", "vec").mapInArrow(run, "node long, permutation array<int>")
 
 
-def _verify(cosine: float):
+def _verify(cosine: float, n_listed: int, n_shared: int):
     """For each member of a list, the weight of its links and an edge of a spanning forest. A pair is taken in one list only:
     that of the first pivot, by number, in whose lists both are."""
 
@@ -114,7 +158,7 @@ def _verify(cosine: float):
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             near = ranks[cuts[s] : cuts[e]].astype(np.int64).reshape(e - s, -1)
             x = _units(np.stack(t.column("vec").slice(s, e - s).to_pylist()).astype(float))
-            listed, least = near[:, :LISTED], min(SHARED, near.shape[1])
+            listed, least = near[:, :n_listed], min(n_shared, near.shape[1])
             links, label = np.zeros(e - s, np.int64), np.arange(e - s)
             for a, b in expand(*pair_ranges(np.array([0, e - s]), *(c[s:e] for c in blocks)), 1 << 16):
                 both = np.where((listed[a][:, :, None] == listed[b][:, None, :]).any(axis=2), listed[a], np.iinfo(np.int64).max)
@@ -148,10 +192,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = rows.select("vec_id", "vec", k1.alias("k1"), k2.alias("k2"), usable(F.col("vec")).alias("good"))
     one = rows.where("good").groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("vec").alias("vec"))
     different = stored(one.select(F.monotonically_increasing_id().alias("node"), "*"), "pivot-vectors")
-    described = describe(different, pick_pivots(different))
+    pivots = pick_pivots(different)
+    nearest, listed, shared = pick_shape(different, pivots, cosine)
+    described = describe(different, pivots, nearest)
     entered = stored(different.select("node", "copies", "vec").join(described, "node"), "pivot-index")
-    entries = entered.select("node", "copies", "vec", "permutation", F.explode(F.slice("permutation", 1, LISTED)).alias("list"))
-    checked = stored(map_groups(block_pairs(entries, "list", "node", BLOCK), "list", "node", _verify(cosine), "node long, links long, to long"), "pivot-links")
+    entries = entered.select("node", "copies", "vec", "permutation", F.explode(F.slice("permutation", 1, listed)).alias("list"))
+    checked = stored(map_groups(block_pairs(entries, "list", "node", BLOCK), "list", "node", _verify(cosine, listed, shared), "node long, links long, to long"), "pivot-links")
     parts = connected_components(fewer_edges(checked, "node", "to"), "a", "b").select("node", F.col("component").alias("part"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     known = different.select("node", "k1", "k2", "least", "copies").join(links, "node", "left").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
