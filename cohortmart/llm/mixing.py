@@ -24,6 +24,9 @@ MOST = 2.0
 CHUNK = 2_000
 FAN_IN = 500
 
+#: Copies of one of many equal rows that a task makes.
+COPIES = 1_000
+
 ROW = "source string, doc_id long, doc_key long, size long, n_rows long, copies long, p double, level long, chunk long"
 
 
@@ -31,6 +34,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of all columns but maps, which have none."""
+    return F.xxhash64(*[F.col(f"`{name}`") for name, kind in docs.dtypes if "map<" not in kind])
+
+
 def _numbered(sources: DataFrame) -> DataFrame:
     """Adds place (0, 1, ...): sources by code point, null last. Only the rows of each partition are counted together."""
     order = [F.col("source").isNull(), F.col("source").cast("binary")]
@@ -128,7 +136,7 @@ def round_chunk(weight: list[float], p: list[float], keys: list[int], seed: int)
 
 def _round_groups(last: bool, seed: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__w=(pdf["size"] * pdf["n_rows"]).clip(lower=1)).sort_values(["__w", "doc_id", "doc_key"], ascending=False, kind="stable").reset_index(drop=True)
+        pdf = pdf.assign(__w=pdf["size"].clip(lower=1)).sort_values(["__w", "doc_id", "doc_key"], ascending=False, kind="stable").reset_index(drop=True)
         weight = pdf.pop("__w").astype(float).tolist()
         keys = [k & 0xFFFFFFFFFFFFFFFF for k in pdf["doc_key"].tolist()]
         p, left = round_chunk(weight, pdf["p"].tolist(), keys, seed)
@@ -147,11 +155,12 @@ def _round_groups(last: bool, seed: int):
 def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, chunk: int = CHUNK, fan_in: int = FAN_IN, seed: int = 7) -> DataFrame:
     """Copies of each document: doc_id, doc_key, source, size, n_rows, source_size, target, copies.
 
-    Null texts have size 0. Documents of size 0 take no words and are kept once. Rows that share id, source and text are
-    one unit of `n_rows` rows with the same number of copies each.
+    Null texts have size 0. Documents of size 0 take no words and are kept once. Rows that are equal in all columns are one unit
+    of `n_rows` rows; its copies are those of all of them, and only the last one is left to chance, so a source of one row many
+    times over comes as near to its target as any other.
     """
     units = stored(
-        docs.groupBy("source", "doc_id", F.xxhash64("doc_id", "text", "source").alias("doc_key"))
+        docs.groupBy("source", "doc_id", row_key(docs).alias("doc_key"))
         .agg(F.max(word_count(F.col("text"))).alias("size"), F.count("*").alias("n_rows")),
         "mix-units",
     )
@@ -163,7 +172,7 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: fl
     expected = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(expected)
     start = joined.select(
         "source", "doc_id", "doc_key", "size", "n_rows",
-        F.floor(expected).cast("long").alias("copies"), (expected - F.floor(expected)).alias("p"),
+        F.floor(expected * F.col("n_rows")).cast("long").alias("copies"), (expected * F.col("n_rows") - F.floor(expected * F.col("n_rows"))).alias("p"),
         F.lit(0).cast("long").alias("level"), F.pmod(F.xxhash64("doc_key", F.lit(seed)), F.col("n_chunks")).alias("chunk"),
     )
     whole = start.where(F.col("p") <= 0)
@@ -186,16 +195,24 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: fl
 
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: each document as many times as it was given copies, all columns kept."""
-    key, times, k = fresh(docs, "key", "copies", "k")
-    copies = mix_copies(docs, **options).where("copies > 0").select(F.col("doc_key").alias(key), F.col("copies").alias(times))
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "source"))
-    repeated = keyed.join(copies, key).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: each document as many times as it was given copies, all columns kept.
+
+    Of equal rows one is taken for all; its copies are made by as many tasks as they need.
+    """
+    key, times, rows, k, part = fresh(docs, "key", "copies", "rows", "k", "part")
+    copies = mix_copies(docs, **options).where("copies > 0").select(F.col("doc_key").alias(key), F.col("copies").alias(times), F.col("n_rows").alias(rows))
+    keyed = docs.withColumn(key, row_key(docs)).join(copies, key)
+    once = keyed.where(F.col(rows) == 1).withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    one = keyed.where(F.col(rows) > 1).dropDuplicates([key])
+    parts = one.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES)))).repartition(key, part)
+    again = parts.withColumn(k, F.explode(F.sequence(F.col(part) * COPIES + 1, F.least(F.col(times), (F.col(part) + 1) * COPIES)))).drop(part)
+    return once.unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mix_copies(docs)
     per_row = mixed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
-    return per_row.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    # The copies of equal rows are shared out evenly.
+    own = F.floor(F.col("copies") / F.col("n_rows")) + F.when(F.col("row") <= F.col("copies") % F.col("n_rows"), 1).otherwise(0)
+    return per_row.select("doc_id", "size", "source_size", "target", (own * F.col("size")).alias("taken"))
