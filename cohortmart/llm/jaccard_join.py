@@ -33,12 +33,18 @@ INSIDE = 0.2
 LEADER_ROUNDS = 2
 #: Texts, and words, of a block of a family that is verified.
 FAMILY_BLOCK, FAMILY_WORDS = 1024, 1 << 20
+#: Minima, a byte of each, that the texts of families of more than a block are told apart by before any text is dealt.
+WIDE = 512
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 1 << 32, MINIMA, np.uint64) | np.uint64(1)
 _ADDENDS = _rng.integers(0, 1 << 32, MINIMA, np.uint64)
 
 
+_WIDE_FACTORS = _rng.integers(1, 1 << 32, WIDE, np.uint64) | np.uint64(1)
+_WIDE_ADDENDS = _rng.integers(0, 1 << 32, WIDE, np.uint64)
+
+
 def recall_at(depth: int, similarity: float = SIMILARITY) -> float:
     """The chance that texts of that similarity share a prefix of that length in one of the tries."""
     return 1 - (1 - similarity**depth) ** TREES
@@ -64,13 +70,13 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(shingles: np.ndarray, piece: int = 4096) -> np.ndarray:
+def signature(shingles: np.ndarray, piece: int = 4096, factors: np.ndarray = _FACTORS, addends: np.ndarray = _ADDENDS) -> np.ndarray:
     """The minima of hashed shingles."""
-    low = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     x = (shingles ^ (shingles >> np.uint64(31))) & np.uint64(0xFFFFFFFF)
     for at in range(0, len(x), piece):
         part = x[at : at + piece]
-        low = np.minimum(low, ((part[None, :] * _FACTORS[:, None] + _ADDENDS[:, None]) & np.uint64(0xFFFFFFFFFFFF)).min(axis=1))
+        low = np.minimum(low, ((part[None, :] * factors[:, None] + addends[:, None]) & np.uint64(0xFFFFFFFFFFFF)).min(axis=1))
     return low
 
 
@@ -123,21 +129,21 @@ def shared_branches(texts: DataFrame, depth: int) -> DataFrame:
     return leaves.join(shared, "prefix").select("node", "tree", "label")
 
 
-def _agreement(similarity: float) -> float:
+def _agreement(similarity: float, minima: int = MINIMA) -> float:
     """How many minima of texts at the threshold agree at least: the expected number less five standard deviations."""
-    return MINIMA * max(0.0, similarity - 5 * np.sqrt(similarity * (1 - similarity) / MINIMA))
+    return minima * max(0.0, similarity - 5 * np.sqrt(similarity * (1 - similarity) / minima))
 
 
-def _lows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINIMA)
+def _lows(column: pa.ChunkedArray | pa.Array, minima: int = MINIMA) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, minima)
 
 
-def _looks_alike(similarity: float):
+def _looks_alike(similarity: float, minima: int = MINIMA):
     """Edges of a spanning forest of the pairs of a table's groups whose signatures agree nearly as often as at the threshold."""
-    least = _agreement(similarity)
+    least = _agreement(similarity, minima)
 
     def fn(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, low = t.column("node").to_numpy(), _lows(t.column("low"))
+        ids, low = t.column("node").to_numpy(), _lows(t.column("low"), minima)
         first, second, mine = (t.column(c).to_numpy() for c in ("first", "second", "mine"))
         label = np.arange(len(ids))
         for a, b in expand(*pair_ranges(starts, first, second, mine), 1 << 16):
@@ -209,6 +215,37 @@ def families(texts: DataFrame, similarity: float = SIMILARITY, recall: float = R
     return known
 
 
+def _wide(rows: DataFrame) -> DataFrame:
+    """component, node, low: a byte of each of WIDE minima of the rows (component, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = []
+            for text in batch.column(2).to_pylist():
+                x = signature(shingle_set(text), 4096, _WIDE_FACTORS, _WIDE_ADDENDS)
+                low.append((x ^ (x >> np.uint64(13))).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.binary())], names=["component", "node", "low"])
+
+    return rows.select("component", "node", "text").mapInArrow(run, "component long, node long, low binary")
+
+
+def told_apart(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """members (component, node, text, ...) with the families of more than a block cut into those of texts that look alike by
+    WIDE minima, too. Texts of one template, say of similarity 0.5, make a family by the few minima of the forest, but none by
+    these, and no text is dealt for them. Texts that look like no other are left out: they link with nothing.
+
+    Short signatures are dealt here instead of texts: WIDE bytes of a text for each block of its family.
+    """
+    large = members.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_BLOCK).select("component")
+    if large.isEmpty():
+        return members
+    wide = stored(_wide(members.join(large, "component", "left_semi")), "jaccard-wide")
+    edges = map_groups(block_pairs(wide, "component", "node", FAMILY_BLOCK), "component", "node", _looks_alike(similarity, WIDE), "a long, b long")
+    parts = connected_components(fewer_edges(stored(edges, "jaccard-alike"), "a", "b"), "a", "b")
+    cut = members.drop("component").join(parts, "node").select(*members.columns)
+    return members.join(large, "component", "left_anti").unionByName(cut)
+
+
 def _overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None, columns: int = 4096) -> np.ndarray:
     """Sizes of the intersections of all sets with all others (or each other), by products of 0/1 matrices."""
     rows = sets if others is None else [*sets, *others]
@@ -279,7 +316,7 @@ def _decide(docs: DataFrame, similarity: float) -> DataFrame:
     family = families(texts, similarity)
     wanted = texts.join(family, "node").select("k1", "k2", "node", "component", "copies", "n_words")
     members = stored(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).drop("k1", "k2").dropDuplicates(["node"]), "jaccard-members")
-    dealt = block_pairs(members, "component", "node", FAMILY_BLOCK, "n_words", FAMILY_WORDS)
+    dealt = block_pairs(told_apart(members, similarity), "component", "node", FAMILY_BLOCK, "n_words", FAMILY_WORDS)
     checked = stored(map_groups(dealt, "component", "node", _verify(similarity), "node long, links long, to long"), "jaccard-links")
     parts = connected_components(fewer_edges(checked, "node", "to"), "a", "b").select("node", F.col("component").alias("part"))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
