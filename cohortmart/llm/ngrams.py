@@ -9,9 +9,10 @@ import numpy as np
 PIECE = 1 << 20
 
 
-def pieces(texts: list[str], overlap: int, most: int = PIECE) -> Iterator[tuple[list[int], list[str], list[int]]]:
+def pieces(texts: list[str], overlap: int, most: int = PIECE, whole: bool = False) -> Iterator[tuple[list[int], list[str], list[int]]]:
     """Groups of about `most` characters: index of each text, a part of it, and the number of leading characters that
-    an earlier part had too. Long texts come in several parts that overlap, so that no n-gram is lost or counted twice."""
+    an earlier part had too. Long texts come in several parts that overlap, so that no n-gram is lost or counted twice; with
+    `whole`, they come as they are, each in a group of its own or as the last of one."""
     index: list[int] = []
     part: list[str] = []
     known: list[int] = []
@@ -19,7 +20,7 @@ def pieces(texts: list[str], overlap: int, most: int = PIECE) -> Iterator[tuple[
     for k, text in enumerate(texts):
         at = 0
         while True:
-            piece = text[at : at + most]
+            piece = text if whole else text[at : at + most]
             index.append(k)
             part.append(piece)
             known.append(overlap if at else 0)
@@ -27,7 +28,7 @@ def pieces(texts: list[str], overlap: int, most: int = PIECE) -> Iterator[tuple[
             if size >= most:
                 yield index, part, known
                 index, part, known, size = [], [], [], 0
-            if at + most >= len(text):
+            if whole or at + most >= len(text):
                 break
             at += most - overlap
     if part:

@@ -20,8 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortmart.llm.common import below, fresh, share, stored, table
 from cohortmart.llm.ngrams import HashTable, code_points, mix, pieces
@@ -40,8 +43,8 @@ LEARN_ROWS = 2_000
 FOLDS = 4
 #: Model tables of so many rows together at most are broadcast (12 bytes each), larger ones are joined.
 MODEL_ROWS = 4_000_000
-#: Texts that are scored together where the model is joined.
-CHUNK_ROWS = 1_000
+#: Texts, and their characters, that are scored together where the model is joined, about.
+CHUNK_ROWS, CHUNK_CHARS = 1_000, 1 << 22
 #: N-grams that a counting task keeps before it gives them on.
 TASK_GRAMS = 3_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -95,10 +98,10 @@ def features(texts: list[str | None], gains: HashTable, backoffs: HashTable) ->
     """For each text, the difference of its log-likelihoods for each word, on a logarithmic scale.
 
     An n-gram unknown to both classes backs off to the same distribution in both, so only the weights of its context differ.
-    Texts of more than a piece are added up piece by piece; a word at a cut is then two, and occurrences count within a piece.
+    A text is looked at whole, however long it is: its characters take some 60 bytes each meanwhile.
     """
     total, size = np.zeros(len(texts)), np.zeros(len(texts))
-    for index, parts, _ in pieces([running(t) for t in texts], 0):
+    for index, parts, _ in pieces([running(t) for t in texts], 0, whole=True):
         points, cuts = code_points(parts)
         place = places(points, cuts)
         gain, found = gains.get(_hashes(points, place))
@@ -142,16 +145,26 @@ def _with_features(rows: DataFrame, text_col: str, model: ToxicityModel, k: int,
 
         return rows.mapInArrow(run, schema)
     (chunk,) = fresh(rows, "chunk")
-    at = F.monotonically_increasing_id()
-    part = F.shiftright(at, 33)
-    chunked = stored(rows.withColumn(chunk, part * (1 << 33) + F.floor((at - part * (1 << 33)) / CHUNK_ROWS)), "toxicity-texts")
+    schema_in = T.StructType([*rows.schema.fields, T.StructField(chunk, T.LongType())])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, n, size = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            out = np.empty(len(batch), np.int64)
+            for k, length in enumerate(pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_pylist()):
+                if n and (n >= CHUNK_ROWS or size + length > CHUNK_CHARS):
+                    number, n, size = number + 1, 0, 0
+                out[k], n, size = number, n + 1, size + length
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, chunk])
+
+    chunked = stored(rows.mapInArrow(numbered, schema_in), "toxicity-texts")
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers = batch.column(0).to_numpy()
             texts = batch.column(1).to_pylist()
             for number in np.unique(numbers):
-                for _, parts, _ in pieces([running(texts[j]) for j in np.flatnonzero(numbers == number)], 0):
+                for _, parts, _ in pieces([running(texts[j]) for j in np.flatnonzero(numbers == number)], 0, whole=True):
                     points, cuts = code_points(parts)
                     place = places(points, cuts)
                     for kind in (0, 1):
@@ -180,7 +193,7 @@ class _Counter:
         self.waiting = 0
 
     def add(self, texts: list[str], column: int) -> None:
-        for _, parts, _ in pieces([running(t) for t in texts], 0):
+        for _, parts, _ in pieces([running(t) for t in texts], 0, whole=True):
             points, cuts = code_points(parts)
             place = places(points, cuts)
             keys, first, n = np.unique(_hashes(points, place), return_index=True, return_counts=True)
