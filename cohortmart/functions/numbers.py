@@ -30,6 +30,17 @@ def mean(x: Column, digits: int | None = None) -> Column:
     return F.sum(_exact(x, digits)).cast("double") / F.count(x)
 
 
+def total(x: Column, digits: int | None = None) -> Column:
+    """The sum that mean_of() takes: of doubles, or with `digits` of whole numbers of the last decimal."""
+    return F.sum(x) if digits is None else F.sum((_exact(x, digits) * 10**digits).cast("long"))
+
+
+def mean_of(sums: Column, n: Column, digits: int | None = None) -> Column:
+    """mean() from sums of total() and counts; null where nothing is counted."""
+    whole = sums if digits is None else sums.cast("double") / 10**digits
+    return F.when(n > 0, whole / n)
+
+
 def deviation(x: Column, digits: int | None = None) -> Column:
     """Sample standard deviation, null for one row; with `digits` from exact sums."""
     if digits is None:

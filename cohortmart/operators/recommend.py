@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortmart.functions.numbers import half_up, mean, novelty, similarity
+from cohortmart.functions.numbers import half_up, mean_of, novelty, similarity, total
 from cohortmart.operators.cooccurrence import seed_overlaps
 from cohortmart.operators.cohort import asked_plays, cohort_overlap, seed_cohorts
 from cohortmart.operators.marts import item_statistics
@@ -53,10 +53,14 @@ def recommend_similar(plays: DataFrame, seeds: DataFrame, items: DataFrame, pp_l
     asked = asked_plays(plays, pp_low, pp_high, mods)
     cohort = asked.join(known, asked["item_id"] == known["seed_id"]).select("seed_id", "user_id").distinct()
     size = cohort.groupBy("seed_id").agg(F.count("*").alias("cohort_size"))
-    near = asked_plays(plays, pp_low, pp_high).select("user_id", "item_id", "pp", "accuracy").join(cohort, "user_id").where(F.col("item_id") != F.col("seed_id"))
-    counted = near.groupBy("seed_id", "item_id").agg(F.count_distinct("user_id").alias("play_count"), mean(F.col("pp"), digits).alias("a"), mean(F.col("accuracy"), digits).alias("b"))
-    full = counted.join(items, "item_id").join(size, "seed_id")
+    # One row for each user and item meets the cohorts, so players are counted as rows and means come from sums.
+    own = asked_plays(plays, pp_low, pp_high).join(items.select("item_id"), "item_id", "left_semi")
+    own = own.groupBy("user_id", "item_id").agg(*[x for c, n in (("pp", "a"), ("accuracy", "b")) for x in (total(F.col(c), digits).alias(f"{n}_sum"), F.count(c).alias(f"{n}_n"))])
+    near = own.join(cohort, "user_id").where(F.col("item_id") != F.col("seed_id"))
+    sums = [F.sum(c).alias(c) for c in ("a_sum", "a_n", "b_sum", "b_n")]
+    counted = near.groupBy("seed_id", "item_id").agg(F.count("*").alias("play_count"), *sums)
+    full = counted.select("seed_id", "item_id", "play_count", *[mean_of(F.col(f"{n}_sum"), F.col(f"{n}_n"), digits).alias(n) for n in "ab"])
     order = Window.partitionBy("seed_id").orderBy(F.col("play_count").desc(), F.col("a").desc_nulls_last(), F.col("item_id"))
-    ranked = full.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
+    ranked = full.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit).join(items, "item_id").join(size, "seed_id")
     details = [c for c in items.columns if c not in ("item_id", "set_id")]
     return ranked.select("seed_id", "place", "item_id", *details, "play_count", half_up(F.col("a")).alias("avg_pp"), half_up(F.col("b")).alias("avg_accuracy"), similarity(F.col("play_count"), F.col("cohort_size")).alias("similarity_score"))
