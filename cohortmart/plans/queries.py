@@ -598,30 +598,53 @@ def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.load_raw(spark, path)
 
 
-@registered("""SELECT unnest(['part', 'part_supplier']) AS "table" """)
+def _dump_of_brands(spark: SparkSession, sf_dir: str) -> str:
+    """Every part in an INSERT statement of a table that has its brand's name, several on a line."""
+    path = files.scratch_path(spark, "brands")
+    name = F.concat(F.lit("INSERT INTO `"), F.regexp_replace("p_brand", r"\W", "_"), F.lit("` (`k`, `n`) VALUES ("))
+    text = F.concat(name, F.col("p_partkey"), F.lit(",';'),("), F.col("p_size"), F.lit(",NULL); -- it's\n"))
+    mapping.table(spark, sf_dir, "part").select(text.alias("value")).write.option("lineSep", " ").text(path)
+    return path
+
+
+BRAND = "regexp_replace(p_brand, '[^A-Za-z0-9_]', '_', 'g')"
+
+
+@registered(f"""SELECT DISTINCT {BRAND} AS "table" FROM part""")
 def dump_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dump.dump_tables(spark, _dump(spark, sf_dir))
+    return dump.dump_tables(spark, _dump_of_brands(spark, sf_dir))
 
 
-@registered("""SELECT 'part' AS "table", count(*) AS n_rows FROM part UNION ALL SELECT 'part_supplier', count(*) FROM supplier""")
+@registered(f"""SELECT {BRAND} AS "table", 2 * count(*) AS n_rows FROM part GROUP BY ALL""")
 def dump_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dump.dump_row_counts(spark, _dump(spark, sf_dir))
+    return dump.dump_row_counts(spark, _dump_of_brands(spark, sf_dir))
 
 
 @registered(
-    """SELECT position, "column", sql_type, n FROM (VALUES (0, 'p_partkey', 'bigint'), (1, 'p_size', 'int'), (2, 'p_retailprice', 'double'), (3, 'note', 'string')) t(position, "column", sql_type),
-  (SELECT count(*) AS n FROM part)"""
+    """SELECT 'of_' || c_custkey % 100 AS "table", row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey) - 1 AS position, 'c' || c_custkey AS "column",
+  CASE c_nationkey % 3 WHEN 0 THEN 'bigint' WHEN 1 THEN 'double' ELSE 'varchar' END AS sql_type FROM customer"""
 )
-def dump_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of a table by the CREATE TABLE statement within its whole dump, with the number of rows read by them."""
-    path = files.scratch_path(spark, "ddl")
+def dump_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE TABLE statements of a hundred tables whose columns and types are the customers'."""
+    path, key = files.scratch_path(spark, "ddl"), F.col("c_custkey")
+    kind = F.when(F.col("c_nationkey") % 3 == 0, "BIGINT(20) unsigned NOT NULL").when(F.col("c_nationkey") % 3 == 1, "double DEFAULT '1,5;'").otherwise("varchar(20) COMMENT 'it''s, b int'")
+    made = F.struct(key.alias("key"), F.concat(F.lit("  `c"), key, F.lit("` "), kind).alias("line"))
+    lines = mapping.table(spark, sf_dir, "customer").groupBy((key % 100).alias("of")).agg(F.transform(F.sort_array(F.collect_list(made)), lambda x: x["line"]).alias("lines"))
+    text = F.concat(F.lit("CREATE TABLE IF NOT EXISTS `of_"), F.col("of"), F.lit("` (\n"), F.array_join("lines", ",\n"), F.lit(",\n  PRIMARY KEY (`c1`),\n  KEY `b` (`c2`)\n) ENGINE=InnoDB; /* it's */ "))
+    lines.select(text.alias("value")).write.option("lineSep", "\n").text(path)
+    return dump.dump_schemas(spark, path)
+
+
+@registered(ODD_ROWS)
+def read_dump_by_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The types of a dump's rows from the CREATE TABLE statement in it, which comes in a file of its own."""
+    path = files.scratch_path(spark, "typed")
     odd = _odd(spark, sf_dir)
     dump.write_insert_dump(odd, f"{path}/part.sql", "part", 300)
-    cols = ",\n".join(f"  `{n}` {k}" for n, k in odd.dtypes)
-    made = odd.limit(1).select(F.lit(f"CREATE TABLE `part` (\n{cols},\n  PRIMARY KEY (`p_partkey`)\n)").alias("value"))
+    columns = ",\n".join(f"  `{n}` {k}" for n, k in odd.dtypes)
+    made = odd.limit(1).select(F.lit(f"CREATE TABLE `part` (\n{columns},\n  PRIMARY KEY (`p_partkey`)\n)").alias("value"))
     made.write.option("lineSep", dump.END).text(f"{path}/schema.sql")
-    n = dump.read_insert_dump(spark, f"{path}/*.sql", "part").where("p_partkey IS NOT NULL").agg(F.count("*").alias("n"))
-    return dump.dump_schema(spark, f"{path}/*.sql", "part").join(n)
+    return dump.read_insert_dump(spark, f"{path}/*.sql", "part").withColumn("p_size", F.col("p_size").cast("int"))
 
 
 LAYOUT = "id, user_id, item_id, score, pp, variant_key"

@@ -24,7 +24,9 @@ INSERT = rf"(?is)^\s*(?:INSERT|REPLACE)\s+(?:\w+\s+)*?INTO\s+{NAME}"
 CLAUSE = r"(?is)^\s*(?:ON\s+(?:DUPLICATE|CONFLICT)|AS|RETURNING)\b"
 BLANK = " \n\r\t"
 CREATE = rf"(?is)^\s*CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*\((.*)"
-COLUMN = r"(?m)^\s*[`\"]?(?!(?:PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|FOREIGN|CHECK|FULLTEXT)\b)(\w+)[`\"]?\s+(\w+)"
+#: A column or constraint of a table (group 1), and a column's name and type.
+DEFINITION = rf"(?s)(?:^|\G(?!^),)({VALUE})"
+COLUMN = r"(?is)^\s*[`\"]?(?!(?:PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|FOREIGN|CHECK|FULLTEXT|SPATIAL)\b)(\w+)[`\"]?\s+(\w+)"
 
 
 def statements(spark: SparkSession, path: str) -> DataFrame:
@@ -53,14 +55,19 @@ def dump_tables(spark: SparkSession, path: str) -> DataFrame:
     return made.unionByName(_inserts(spark, path).select("table")).distinct().orderBy("table")
 
 
+def dump_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """table, position (from 0), column, sql_type of all CREATE TABLE statements; keys and other constraints are left out."""
+    s = statements(spark, path).where(F.col("head").rlike(CREATE))
+    parts = F.regexp_extract_all(F.regexp_extract("head", CREATE, 2), F.lit(DEFINITION), 1)
+    columns = F.filter(parts, lambda d: d.rlike(COLUMN))
+    pair = F.transform(columns, lambda d: F.struct(F.regexp_extract(d, COLUMN, 1).alias("n"), F.regexp_extract(d, COLUMN, 2).alias("k")))
+    pairs = s.select(F.regexp_extract("head", CREATE, 1).alias("table"), F.posexplode(pair).alias("position", "c"))
+    return pairs.select("table", "position", F.col("c.n").alias("column"), F.lower("c.k").alias("sql_type"))
+
+
 def dump_schema(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """position (from 0), column, sql_type of the CREATE TABLE statement."""
-    s = statements(spark, path).where(F.col("head").rlike(CREATE) & (F.regexp_extract("head", CREATE, 1) == table)).limit(1)
-    body = F.regexp_replace(F.regexp_extract("head", CREATE, 2), r",\s*(?=[`\"]?\w+[`\"]?\s+\w)", ",\n")
-    lines = F.concat(F.lit("\n"), body)
-    names, kinds = F.regexp_extract_all(lines, F.lit(COLUMN), 1), F.regexp_extract_all(lines, F.lit(COLUMN), 2)
-    pairs = s.select(F.posexplode(F.arrays_zip(names.alias("n"), kinds.alias("k"))).alias("position", "c"))
-    return pairs.select("position", F.col("c.n").alias("column"), F.lower("c.k").alias("sql_type"))
+    """position (from 0), column, sql_type of the table's CREATE TABLE statement; of several, one."""
+    return dump_schemas(spark, path).where(F.col("table") == table).drop("table").dropDuplicates(["position"])
 
 
 WHOLE, REAL = {"tinyint", "smallint", "mediumint", "int", "integer", "bigint"}, {"float", "double", "real", "decimal"}

@@ -158,12 +158,31 @@ def save_observed(df: DataFrame, path: str, **violations: Column) -> tuple[DataF
     return df.sparkSession.read.schema(df.schema).parquet(path), dict(seen.get)
 
 
-def parquet_manifest(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """table_name, version, file, rows, size_bytes, hash of each file. Files are hashed whole, one to a row, so they
-    may have 2 GB at most; write_sharded() keeps them far below with its default of rows."""
-    counted = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("size_bytes")).agg(F.count("*").alias("rows"))
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    hashed = content.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
+#: Bytes of a file that is hashed as a whole; larger ones are hashed by their rows.
+WHOLE_FILE = 1 << 30
+
+
+def row_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, hash of the Parquet files: a digest of the rows of each, whatever their order. Ranges of a file are hashed by
+    themselves and combined, so a file of any size spreads over tasks. Columns of maps are left out, as they have no hash."""
+    rows = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    columns = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind]
+    one = rows.select(F.col("_metadata.file_name").alias("file"), F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("row"), *columns).alias("b"))
+    summed = one.groupBy("file").agg(F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(20,0)")).alias("a"), F.sum(F.col("b").cast("decimal(20,0)")).alias("b"))
+    return summed.select("file", F.concat(F.lit("rows:"), F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in ("n", "a", "b")]), 256)).alias("hash"))
+
+
+def parquet_manifest(spark: SparkSession, path: str, table: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """table_name, version, file, rows, size_bytes, hash of each file: sha256 of its bytes, or for files of more than `whole`
+    bytes a digest of their rows (row_digests()), as a row of bytes may have 2 GB at most."""
+    size, name = F.col("_metadata.file_size"), F.col("_metadata.file_name")
+    counted = spark.read.parquet(path).groupBy(name.alias("file"), size.alias("size_bytes")).agg(F.count("*").alias("rows"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    file = F.element_at(F.split("path", "/"), -1).alias("file")
+    hashed = listed.where(F.col("length") <= whole).select(file, F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
+    large = [r["path"] for r in listed.where(F.col("length") > whole).select("path").collect()]
+    if large:
+        hashed = hashed.unionByName(row_digests(spark, large))
     both = hashed.join(counted, "file", "left")
     return both.select(F.lit(table).alias("table_name"), F.lit("1.0").alias("version"), "file", F.coalesce("rows", F.lit(0)).alias("rows"), "size_bytes", "hash")
 

@@ -186,3 +186,13 @@ def test_jdbc_ranges_of_equal_size(spark):
     sizes = [r["n"] for r in read.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert rows(read) == rows(table) and len(sizes) == 5 and max(sizes) <= 260
     assert files.read_jdbc_balanced(spark, url, "S", "V", 4, driver=driver).count() == 1000
+
+
+def test_large_files_are_hashed_by_their_rows(spark, tmp_path):
+    rows_ = spark.range(3_000).selectExpr("id", "CAST(id % 7 AS STRING) AS s", "IF(id % 5 = 0, NULL, id / 3) AS d")
+    rows_.coalesce(1).write.parquet(f"{tmp_path}/a")
+    rows_.orderBy(F.desc("id")).coalesce(1).write.parquet(f"{tmp_path}/b")
+    rows_.withColumn("s", F.when(F.col("id") == 77, "x").otherwise(F.col("s"))).coalesce(1).write.parquet(f"{tmp_path}/c")
+    by_rows = [files.parquet_manifest(spark, f"{tmp_path}/{t}", "t", whole=1).first() for t in "abc"]
+    assert by_rows[0]["hash"] == by_rows[1]["hash"] != by_rows[2]["hash"] and all(r["hash"].startswith("rows:") and r["rows"] == 3_000 for r in by_rows)
+    assert files.parquet_manifest(spark, f"{tmp_path}/a", "t").first()["hash"].startswith("sha256:")
