@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +34,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables between steps that this process has written and not removed.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors. The table stays
+    until scratch_removed() or discard() takes it away."""
     path = scratch_path(df.sparkSession, name)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables of stored() that nothing is read from any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within the block are removed at its end: for jobs that have written their result by then."""
+    before = set(_written)
+    yield
+    discard(spark, [p for p in _written if p not in before])
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Those names, with underscores in front until no column of df has them."""
     taken = {c.lower() for c in df.columns}
@@ -71,6 +96,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def last_stored() -> str:
+    """The path of the table that was stored last."""
+    return _written[-1]
+
+
 def crc_sql(value: str) -> str:
     """DuckDB SQL of the unsigned crc32 of a whole number's decimal text."""
     bits = "lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortmart.llm.common import stored
+from cohortmart.llm.common import discard, last_stored, stored
 
 
 def fewer_edges(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = stored(e, "components")
+    path = last_stored()
     mark = lambda e: e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     before = mark(e)
     while before["n"]:
@@ -38,6 +39,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(root, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = mark(e)
+        # A round needs the one before only while it is written.
+        discard(edges.sparkSession, [path])
+        path = last_stored()
         if now == before:  # stars already: a round changes nothing
             break
         before = now

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from cohortmart.llm.common import below, fresh, share, stored, table
 from cohortmart.llm.ngrams import HashTable, code_points, mix, pieces
 
-ORDER = 6
+ORDER = 5
 DISCOUNT = 0.75
 #: Of the counts of a class: what it has seen once is as good as unseen.
 CLASS_DISCOUNT = 1.0
