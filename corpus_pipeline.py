@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortmart.llm.common import scratch_path, table
+from cohortmart.llm.common import scratch_path, scratch_removed, table
 from cohortmart.llm.decontaminate import decontaminate
 from cohortmart.llm.jaccard_join import drop_near_duplicates
 from cohortmart.llm.mixing import mix_documents
@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written as Parquet and read again."""
+    """Applies the stages to documents; each result is written as Parquet and read again, and then the tables that a stage has
+    written for itself are removed. The stages' results and the token files stay."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_removed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
