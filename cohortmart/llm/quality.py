@@ -147,8 +147,8 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((1.0 + sums[-1]) / (1.0 + sums[:-1])).astype(np.float32)
 
 
-def learned_counts(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, learn_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and term counts of about `learn_rows` labelled texts of each class, in the order of their ids."""
+def learned_counts(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, learn_rows: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Labels, and buckets and counts of the terms, of about `learn_rows` labelled texts of each class, in the order of their ids."""
     usable = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     wanted = F.when(F.col("label") == 1, min(1.0, learn_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, learn_rows / max(1, sizes.get(0, 0))))
@@ -169,9 +169,7 @@ def learned_counts(docs: DataFrame, labels: DataFrame, text_col: str, id_col: st
     kind = sample.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("label", T.IntegerType()), T.StructField("buckets", T.BinaryType()), T.StructField("n", T.BinaryType())])
     got = sample.select("id", "label", "text").mapInArrow(count, schema).toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("n", "ascending")])
-    counts = np.zeros((len(got), BUCKETS), np.int32)
-    for row, buckets, n in zip(counts, got["buckets"], got["n"], strict=True):
-        row[np.frombuffer(buckets.as_py(), "<u2")] = np.frombuffer(n.as_py(), "<i4")
+    counts = [(np.frombuffer(b.as_py(), "<u2"), np.frombuffer(n.as_py(), "<i4")) for b, n in zip(got["buckets"], got["n"], strict=True)]
     return got["label"].to_numpy().astype(np.int64), counts
 
 
@@ -189,14 +187,17 @@ def latent_space(rows: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", learn_rows: int = LEARN_ROWS) -> QualityModel:
     """Term weights from all of `docs`, the latent space and its labelled vectors from a bounded sample of the labelled ones.
 
-    Labels other than 0 and 1 are not learned. The driver holds at most some 2 * learn_rows rows of BUCKETS numbers.
+    Labels other than 0 and 1 are not learned. The driver holds some 2 * learn_rows rows of BUCKETS numbers of four bytes.
     """
     idf = inverse_frequencies(docs, text_col)
     label, counts = learned_counts(docs, labels, text_col, id_col, label_col, learn_rows)
-    filled = counts.any(axis=1)
+    filled = np.array([len(b) > 0 for b, _ in counts], bool)
     prior = (label.sum() + 0.5) / (len(label) + 1)
     empty_score = float((label[~filled].sum() + prior) / ((~filled).sum() + 1))
-    label, rows = label[filled], weighted(counts[filled], idf)
+    label, rows = label[filled], np.zeros((int(filled.sum()), BUCKETS), np.float32)
+    for row, (buckets, n) in zip(rows, (c for c in counts if len(c[0])), strict=True):
+        row[buckets] = LOGS[np.minimum(n, len(LOGS) - 1)] * idf[buckets]
+        row /= max(np.linalg.norm(row), 1e-12)
     space = latent_space(rows) if len(rows) else np.zeros((BUCKETS, 1), np.float32)
     sizes = np.bincount(label, minlength=2)
     return QualityModel(idf, space, _unit(rows @ space), label, 1.0 / np.maximum(1, sizes)[label], empty_score)
