@@ -555,6 +555,35 @@ def read_dump_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump.read_insert_dump(spark, path, "part", StructType.fromDDL(ODD_SCHEMA))
 
 
+@registered("SELECT p_partkey AS k, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 3 > 1 THEN p_size END AS size FROM part")
+def read_dump_of_short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with fewer values than names: what is missing is null."""
+    from pyspark.sql.types import StructType
+
+    path, k = files.scratch_path(spark, "short"), F.col("p_partkey")
+    part = mapping.table(spark, sf_dir, "part")
+    name = F.when(k % 3 > 0, F.concat(F.lit(", "), dump.shown(part, "p_name"))).otherwise("")
+    size = F.when(k % 3 > 1, F.concat(F.lit(","), F.col("p_size"))).otherwise("")
+    text = F.concat(F.lit("INSERT INTO part (k, name, size) VALUES ("), k, name, size, F.lit(")"))
+    part.select(text.alias("value")).write.option("lineSep", ";").text(path)
+    return dump.read_insert_dump(spark, path, "part", StructType.fromDDL("k long, name string, size int"))
+
+
+@registered(
+    """SELECT CASE WHEN p_partkey % 5 = 0 THEN 'rejected' ELSE 'read' END AS kind, count(*) AS n, sum(CASE WHEN p_partkey % 5 > 0 THEN p_partkey END) AS keys FROM part GROUP BY ALL"""
+)
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV lines with a value too few or too many, or of another type, beside those that fit."""
+    path, k = files.scratch_path(spark, "rejects"), F.col("p_partkey").cast("string")
+    wrong = F.when(F.col("p_partkey") % 15 == 0, k).when(F.col("p_partkey") % 15 == 5, F.concat(k, F.lit(",a,b,c"))).otherwise(F.concat(F.lit("x"), k, F.lit(",a,1")))
+    line = F.when(F.col("p_partkey") % 5 == 0, wrong).otherwise(F.concat(k, F.lit(',"a, b",'), F.col("p_size")))
+    mapping.table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    good, bad = files.csv_rows_and_rejects(spark, path, "k long, name string, size int", header=False)
+    none = F.lit(None).cast("long").alias("keys")
+    counted = good.agg(F.count("*").alias("n"), F.sum("k").alias("keys")).select(F.lit("read").alias("kind"), "n", "keys")
+    return counted.unionByName(bad.agg(F.count("*").alias("n")).select(F.lit("rejected").alias("kind"), "n", none))
+
+
 @registered(
     """SELECT 'part' AS "table", 'incomplete list' AS reason, 1 AS n_rows_kept, '(' || p_partkey || ', ''cut' AS text FROM part WHERE p_partkey % 7 = 0
   UNION ALL SELECT 'part', 'no lists', 0, 'INSERT INTO part SELECT ' || p_partkey FROM part WHERE p_partkey % 7 = 1
