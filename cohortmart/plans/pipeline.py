@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortmart.operators.marts import Names, best_plays, canonical, item_user_sets, stage_scores, user_topk
 from cohortmart.operators.quality import WHILE_WRITING, observed_report
 from cohortmart.sources.dump import read_insert_dump
-from cohortmart.sources.files import load_raw, read_or_none, save_observed, save_table, table_counts, table_path, write_sharded
+from cohortmart.sources.files import load_raw, read_or_none, save_observed, save_table, scratch_removed, table_counts, table_path, write_sharded
 
 PHASES = ("bronze", "silver", "gold")
 
@@ -81,7 +81,8 @@ def run_pipeline(spark: SparkSession, job: Job, phases: tuple[str, ...] = PHASES
         raise ValueError(f"unknown phases {sorted(unknown)}")
     for phase in PHASES:
         if phase in phases and not dry_run:
-            steps[phase](spark, job)
+            with scratch_removed(spark):
+                steps[phase](spark, job)
     raw = {f"raw_{t}": raw_table(spark, job, t) for t in job.tables}
     marts = {t: read_or_none(spark, job.at(t)) for t in ("best_plays", "user_topk", "item_user_sets")}
     return table_counts(raw | marts, spark)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -21,7 +23,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir is not set: tables between steps need a folder that all executors share")
         root = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{root}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+#: Paths that scratch_path() has given out and scratch_removed() has not removed.
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """Tables in paths of scratch_path() that are asked for within the block are removed at its end: for jobs that have written
+    their results elsewhere by then."""
+    before = set(_scratch)
+    yield
+    for path in [p for p in _scratch if p not in before]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _scratch.remove(path)
 
 
 def load_raw(spark: SparkSession, path: str) -> DataFrame:

@@ -196,3 +196,15 @@ def test_large_files_are_hashed_by_their_rows(spark, tmp_path):
     by_rows = [files.parquet_manifest(spark, f"{tmp_path}/{t}", "t", whole=1).first() for t in "abc"]
     assert by_rows[0]["hash"] == by_rows[1]["hash"] != by_rows[2]["hash"] and all(r["hash"].startswith("rows:") and r["rows"] == 3_000 for r in by_rows)
     assert files.parquet_manifest(spark, f"{tmp_path}/a", "t").first()["hash"].startswith("sha256:")
+
+
+def test_scratch_tables_are_removed(spark, tmp_path):
+    import os
+
+    best = plays_of(spark, 6, 20, 5, 60)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with files.scratch_removed(spark):
+        files.write_sharded(bitmaps.numbered_plays(best, bitmaps.dense_numbers(best, "user_id")), f"{tmp_path}/out")
+        assert set(os.listdir(folder)) - there
+    assert not set(os.listdir(folder)) - there and spark.read.parquet(f"{tmp_path}/out").count() == best.count()
