@@ -33,10 +33,15 @@ def _bits(number: str = "user_no") -> tuple[Column, Column]:
 
 
 def item_bitmaps(plays: DataFrame) -> DataFrame:
-    """item_id, variant_key, bucket, bits: the users of each item and variant, from numbered plays. Bits combine before the
-    shuffle; a row has 4 KB, and an item of any size is spread over its buckets."""
-    bucket, bits = _bits()
-    return plays.groupBy("item_id", "variant_key", bucket).agg(bits)
+    """item_id, variant_key, bucket, bits: the users of each item and variant, from numbered plays. A row has 4 KB, and an item
+    of any size is spread over its buckets.
+
+    Plays are dealt as numbers and bits are set behind the shuffle: most items have few users in a task, whose bitmaps would be
+    far larger than they are. A bucket has 32,768 users at most, so no item or bucket is too much for a task.
+    """
+    keys = ["item_id", "variant_key", "bucket"]
+    placed = plays.select("item_id", "variant_key", F.bitmap_bucket_number("user_no").alias("bucket"), "user_no")
+    return placed.repartition(*keys).groupBy(*keys).agg(_bits()[1])
 
 
 def cohort_bitmap(plays: DataFrame, condition: Column) -> DataFrame:
