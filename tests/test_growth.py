@@ -1,13 +1,39 @@
 """Steps that have to grow no faster than their input."""
 
+import time
+
+from pyspark.sql import functions as F
+
+from cohortmart.functions.literals import NUMBER, WHOLE, infer_types
 from cohortmart.operators import bitmaps
 from tests.conftest import rows
 
 
 def test_plays_and_not_bitmaps_are_shuffled(spark):
     """Items of few users in every task: a bitmap has 4 KB wherever it is made, so none is made before the shuffle."""
-    plays = spark.range(0, 4000, 1, 8).selectExpr("id % 500 AS item_id", "'R' AS variant_key", "id * 100 AS user_no")
+    plays = spark.range(0, 4000, 1, 8).selectExpr("id % 500 AS item_id", "id % 2 AS variant_key", "id * 100 AS user_no")
     made = bitmaps.item_bitmaps(plays)
     below = made._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)
     assert "bitmap_construct_agg" in below[0] and "bitmap_construct_agg" not in below[1]
     assert rows(bitmaps.bitmap_sizes(made, "item_id")) == sorted([(k, 8) for k in range(500)], key=repr)
+
+
+def test_text_that_is_no_number_is_not_tried(spark):
+    """The guard admits all that a cast to double takes; columns of words and of fractions take about as long as one of whole numbers."""
+    odd = ["1", " 1 ", "1.5", "1e5", ".5", "5.", "1d", "1F", "0x1p3", "0x1.8P-1d", "inf", "-inf", "+Infinity", "NaN", "+NaN", "nan ", "\t1.5\n", "\x001", "1e400", "-.5e-3f"]
+    odd += ["abc", "1998-09-02", "", "+", "-", "1e", "1 2", "１", "1L", "infinityx", "0x10", "1_0", "1,5", "N", ".", "+3", "-4 ", "\x7f5", "\x856\x1f", "9" * 19, "1.0", "\t\n7\r"]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    assert df.where(F.col("v").try_cast("bigint").isNotNull() & ~F.col("v").rlike(WHOLE)).count() == 0
+    assert df.where(F.col("v").try_cast("double").isNotNull() & ~F.col("v").rlike(NUMBER)).count() == 0
+    for v, kind in (("1.5", "double"), ("N", "string"), ("1e5 ", "double"), (" 7", "bigint"), ("1998-09-02", "string"), (None, "string")):
+        assert rows(infer_types(spark.createDataFrame([(v,), ("1",)] if v else [(None,)], "v string"))) == [("v", kind)]
+
+    def seconds(value):
+        df = spark.range(0, 300_000, 1, 1).select(F.concat(F.lit(value), F.col("id") % 10).alias("v"))
+        infer_types(df).collect()
+        start = time.perf_counter()
+        infer_types(df).collect()
+        return time.perf_counter() - start
+
+    whole = seconds("12")
+    assert seconds("N of no number ") < 4 * whole + 0.5 and seconds("12.5") < 4 * whole + 0.5
