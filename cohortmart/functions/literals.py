@@ -21,8 +21,10 @@ def literal_text(raw: Column) -> Column:
         return out
 
     # Between escaped backslashes, so that none of those is taken for the start of another escape.
-    parts = F.split(F.substring(x, F.lit(2), F.length(x) - 2), r"\\\\", -1)
-    inner = F.array_join(F.transform(parts, undone), "\\")
+    body = F.substring(x, F.lit(2), F.length(x) - 2)
+    parts = F.split(body, r"\\\\", -1)
+    plain = ~body.contains("\\") & F.when(double, ~body.contains('"')).otherwise(~body.contains("'"))
+    inner = F.when(plain, body).otherwise(F.array_join(F.transform(parts, undone), "\\"))
     return F.when((x == "") | (F.upper(x) == "NULL"), None).when(single | double, inner).otherwise(x)
 
 

@@ -42,9 +42,9 @@ def unclosed_files(spark: SparkSession, path: str) -> DataFrame:
     return statements(spark, path).where(~F.col("ended") & F.col("head").rlike(INSERT)).select("file").distinct()
 
 
-def _inserts(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset, ended, table, names, body of the INSERT statements."""
-    s = statements(spark, path)
+def _inserts(spark: SparkSession, path: str, found: DataFrame | None = None) -> DataFrame:
+    """file, offset, ended, table, names, body of the INSERT statements; found are the dump's statements() where they are known."""
+    s = statements(spark, path) if found is None else found
     return s.where(F.col("body").isNotNull()).select("file", "offset", "ended", F.regexp_extract("head", HEAD, 1).alias("table"), F.regexp_extract("head", HEAD, 2).alias("names"), "body")
 
 
@@ -55,19 +55,19 @@ def dump_tables(spark: SparkSession, path: str) -> DataFrame:
     return made.unionByName(_inserts(spark, path).select("table")).distinct().orderBy("table")
 
 
-def dump_schemas(spark: SparkSession, path: str) -> DataFrame:
+def dump_schemas(spark: SparkSession, path: str, found: DataFrame | None = None) -> DataFrame:
     """table, position (from 0), column, sql_type of all CREATE TABLE statements; keys and other constraints are left out."""
-    s = statements(spark, path).where(F.col("head").rlike(CREATE))
+    s = (statements(spark, path) if found is None else found).where(F.col("head").rlike(CREATE))
     parts = F.regexp_extract_all(F.regexp_extract("head", CREATE, 2), F.lit(DEFINITION), 1)
     columns = F.filter(parts, lambda d: d.rlike(COLUMN))
     pair = F.transform(columns, lambda d: F.struct(F.regexp_extract(d, COLUMN, 1).alias("n"), F.regexp_extract(d, COLUMN, 2).alias("k")))
-    pairs = s.select(F.regexp_extract("head", CREATE, 1).alias("table"), F.posexplode(pair).alias("position", "c"))
+    pairs = s.select(F.regexp_extract("head", CREATE, 1).alias("table"), F.posexplode_outer(pair).alias("position", "c")).where("c IS NOT NULL")
     return pairs.select("table", "position", F.col("c.n").alias("column"), F.lower("c.k").alias("sql_type"))
 
 
-def dump_schema(spark: SparkSession, path: str, table: str) -> DataFrame:
+def dump_schema(spark: SparkSession, path: str, table: str, found: DataFrame | None = None) -> DataFrame:
     """position (from 0), column, sql_type of the table's CREATE TABLE statement; of several, one."""
-    return dump_schemas(spark, path).where(F.col("table") == table).drop("table").dropDuplicates(["position"])
+    return dump_schemas(spark, path, found).where(F.col("table") == table).drop("table").dropDuplicates(["position"])
 
 
 WHOLE, REAL = {"tinyint", "smallint", "mediumint", "int", "integer", "bigint"}, {"float", "double", "real", "decimal"}
@@ -107,13 +107,14 @@ def dump_rejects(spark: SparkSession, path: str) -> DataFrame:
         "file", "offset", F.regexp_extract("head", INSERT, 1).alias("table"), F.regexp_extract_all(F.regexp_extract("head", HEAD, 2), F.lit(r"(\w+)"), 1).alias("names"),
         "head", "body", tuples(F.coalesce("body", F.lit(""))).alias("t"),
     )
-    kept = F.size("t").cast("long").alias("n_rows_kept")
     left = F.regexp_replace(F.regexp_replace("body", TUPLES, ""), r"^[\s,]+|\s+$", "")
-    tails = found.where(F.col("body").isNotNull()).select("file", "offset", "table", F.lit("incomplete list").alias("reason"), kept, left.alias("text")).where((F.col("text") != "") & ~F.col("text").rlike(CLAUSE))
-    none = found.where(F.col("body").isNull()).select("file", "offset", "table", F.lit("no lists").alias("reason"), kept, F.col("head").alias("text"))
-    long = found.where(F.size("names") > 0).select("file", "offset", "table", F.lit("values without a name").alias("reason"), kept, "names", F.explode("t").alias("text"))
-    long = long.where(F.size(fields(F.col("text"))) > F.size("names")).drop("names")
-    return tails.unionByName(none).unionByName(long)
+    # One row for each statement, with all that is left out of it: the dump is read once.
+    said = lambda reason, text: F.struct(F.lit(reason).alias("reason"), text.alias("text"))
+    tail = F.filter(F.array(said("incomplete list", left)), lambda r: (r["text"] != "") & ~r["text"].rlike(CLAUSE))
+    long = F.transform(F.filter("t", lambda x: (F.size("names") > 0) & (F.size(fields(x)) > F.size("names"))), lambda x: said("values without a name", x))
+    out = F.when(F.col("body").isNull(), F.array(said("no lists", F.col("head")))).otherwise(F.concat(tail, long))
+    each = found.select("file", "offset", "table", F.size("t").cast("long").alias("n_rows_kept"), F.explode_outer(out).alias("r")).where("r IS NOT NULL")
+    return each.select("file", "offset", "table", "r.reason", "n_rows_kept", "r.text")
 
 
 def dump_row_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -133,15 +134,17 @@ def read_insert_dump(spark: SparkSession, path: str, table: str, schema: T.Struc
     Without a schema the values of a column list are strings. Short rows are filled with nulls, incomplete tuples left out.
     Statements and comments may be anywhere; dump_rejects() has what is left out.
     """
-    inserts = _inserts(spark, path).where(F.col("table") == table)
+    found = statements(spark, path)
+    inserts = _inserts(spark, path, found).where(F.col("table") == table)
     if schema is None:
         first = inserts.where(F.col("names") != "").select(F.regexp_extract_all("names", F.lit(r"(\w+)"), 1).alias("n")).first()
         names = list(first["n"]) if first else []
-        schema = _struct(dump_schema(spark, path, table).orderBy("position").collect())
+        schema = _struct(dump_schema(spark, path, table, found).orderBy("position").collect())
         if names:
             kinds = {f.name: f.dataType for f in schema.fields}
             schema = T.StructType([T.StructField(n, kinds.get(n, T.StringType())) for n in names])
-    rows = inserts.select(F.explode(tuples(F.col("body"))).alias("t"))
+    # Not explode(): of that Spark infers a filter on the size of the lists, for which it looks for them twice.
+    rows = inserts.select(F.explode_outer(tuples(F.col("body"))).alias("t")).where("t IS NOT NULL")
     listed = rows.select(fields(F.col("t")).alias("f"))
     if not schema.fields:
         width = listed.agg(F.max(F.size("f"))).first()[0] or 0

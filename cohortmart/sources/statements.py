@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from cohortmart.sources.files import save_table, scratch_path
 
-#: States between two lines: outside of everything, in the three kinds of quotes, in a comment of several lines.
-NORMAL, SINGLE, DOUBLE, BACK, COMMENT = STATES = range(5)
+#: States between two stretches of a dump: outside of everything, in the three kinds of quotes, in a comment of several lines, in one
+#: that ends with its line.
+NORMAL, SINGLE, DOUBLE, BACK, COMMENT, LINE = STATES = range(6)
 #: What needs no care from a state NORMAL on: text without signs of meaning, whole quotes, single dashes and slashes.
 PLAIN = re.compile(rb"""(?s)(?:[^'"`;/#\-]++|'(?:[^'\\]++|\\.|'')*+'|"(?:[^"\\]++|\\.|"")*+"|`[^`]*+`|-(?!-)|/(?!\*))*+""")
 CLOSE = {
@@ -27,6 +29,7 @@ CLOSE = {
     DOUBLE: re.compile(rb'(?s)(?:[^"\\]++|\\.|"")*+"'),
     BACK: re.compile(rb"[^`]*+`"),
     COMMENT: re.compile(rb"(?s)(?:[^*]++|\*(?!/))*+\*/"),
+    LINE: re.compile(rb"[^\n]*+(?=\n)"),
 }
 OPEN = {ord("'"): SINGLE, ord('"'): DOUBLE, ord("`"): BACK}
 #: Ranges that are told their state by a broadcast table, at most: about 100 bytes for each range of a file (128 MB as Spark is
@@ -36,27 +39,27 @@ RANGES = 1_000_000
 Part = tuple[int, int, bool]
 
 
-def parts_of_line(line: bytes, state: int) -> tuple[list[Part], int]:
-    """Start and end of the parts of a line outside of comments, each with whether a statement ends behind it; and the state
-    at the line's end. A comment from -- or # ends with its line."""
+def parts_of_text(text: bytes, state: int) -> tuple[list[Part], int]:
+    """Start and end of the parts of a text outside of comments, each with whether a statement ends behind it; and the state
+    at the text's end."""
     at, parts = 0, []
-    begin = -1 if state == COMMENT else 0
+    begin = -1 if state in (COMMENT, LINE) else 0
     while True:
         if state != NORMAL:
-            m = CLOSE[state].match(line, at)
+            m = CLOSE[state].match(text, at)
             if not m:
-                if state != COMMENT:
-                    parts.append((begin, len(line), False))
+                if state not in (COMMENT, LINE):
+                    parts.append((begin, len(text), False))
                 return parts, state
             at = m.end()
-            if state == COMMENT:
+            if state in (COMMENT, LINE):
                 begin = at
             state = NORMAL
-        at = PLAIN.match(line, at).end()
-        if at == len(line):
+        at = PLAIN.match(text, at).end()
+        if at == len(text):
             parts.append((begin, at, False))
             return parts, NORMAL
-        sign = line[at]
+        sign = text[at]
         if sign == 59:  # a semicolon
             parts.append((begin, at, True))
             at = begin = at + 1
@@ -64,38 +67,69 @@ def parts_of_line(line: bytes, state: int) -> tuple[list[Part], int]:
             state, at = OPEN[sign], at + 1
         else:
             parts.append((begin, at, False))
-            if sign != 47:  # no slash, so the rest of the line is a comment
-                return parts, NORMAL
-            state, at = COMMENT, at + 2
+            state, at = (COMMENT, at + 2) if sign == 47 else (LINE, at)  # with no slash, the rest of the line is a comment
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def parts_of_line(line: bytes, state: int) -> tuple[list[Part], int]:
+    """parts_of_text() of a line without its end, which a comment from -- or # ends with."""
+    parts, state = parts_of_text(line, state)
+    return parts, NORMAL if state == LINE else state
+
+
+#: Files that Spark reads through a codec.
+PACKED = r"\.(?:gz|bz2|deflate|snappy|lz4|zst|zstd)$"
+
+
+def _read(spark: SparkSession, path: str, sep: str) -> DataFrame:
     m = F.col("_metadata")
-    read = spark.read.option("lineSep", "\n").text(path)
-    return read.select(m["file_path"].alias("file"), m["file_block_start"].alias("start"), (m["file_block_length"] < m["file_size"]).alias("split"), F.col("value").cast("binary").alias("line"))
+    size = m["file_size"] if sep == ";" else F.lit(None).cast("long")
+    read = spark.read.option("lineSep", sep).text(path)
+    return read.select(m["file_path"].alias("file"), m["file_block_start"].alias("start"), (m["file_block_length"] < m["file_size"]).alias("split"), size.alias("size"), F.col("value").cast("binary").alias("line"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, start, split, size, line: what is between two semicolons, so a row is no longer than a statement even where a dump has
+    no line breaks. Packed files are read by lines, with size null: their size does not tell if the last semicolon is there."""
+    if spark.read.format("binaryFile").load(path).where(F.col("path").rlike(PACKED)).select("path").isEmpty():
+        return _read(spark, path, ";")
+    packed = F.col("file").rlike(PACKED)
+    return _read(spark, path, ";").where(~packed).unionByName(_read(spark, path, "\n").where(packed))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, bytes, list[bytes]]]:
+    """Rows of a batch that belong to one range, together: the values of the columns (file and start first) of the first of them, the
+    separator, the lines."""
+    for batch in batches:
+        rows = zip(*[batch.column(c).to_pylist() for c in (*columns, "size", "line")], strict=True)
+        for _, same in groupby(rows, key=lambda r: r[:2]):
+            first = next(same)
+            yield first[:-1], b"\n" if first[-2] is None else b";", [first[-1], *[r[-1] for r in same]]
 
 
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each range of the task: bytes, and for each state at its start the state at its end and whether a statement
     ends. The states are followed together; those that have become one are looked at once."""
-    key, size, now, ended = None, 0, list(STATES), [False] * 5
+    key, size, now, ended = None, 0, list(STATES), [False] * len(STATES)
 
     def row() -> pa.RecordBatch:
         values = [*key, size, *now, *ended]
         names = ["file", "start", "n_bytes", *[f"to{s}" for s in STATES], *[f"ends{s}" for s in STATES]]
-        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 5, *[pa.bool_()] * 5]
+        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * len(STATES), *[pa.bool_()] * len(STATES)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-    for batch in batches:
-        for file, start, line in zip(*[batch.column(c).to_pylist() for c in ("file", "start", "line")], strict=True):
-            if (file, start) != key:
-                if key is not None:
-                    yield row()
-                key, size, now, ended = (file, start), 0, list(STATES), [False] * 5
-            size += len(line) + 1
-            done = {s: parts_of_line(line, s) for s in set(now)}
-            ended = [e or any(p[2] for p in done[s][0]) for e, s in zip(ended, now, strict=True)]
-            now = [done[s][1] for s in now]
+    for values, sep, lines in _stretches(batches, "file", "start"):
+        if values[:2] != key:
+            if key is not None:
+                yield row()
+            key, size, now, ended = values[:2], 0, list(STATES), [False] * len(STATES)
+        text = sep.join([*lines, b""])
+        size += len(text)
+        done = {}
+        for s in set(now):
+            parts, after = parts_of_text(text, s)
+            done[s] = any(p[2] for p in parts), after
+        ended = [e or done[s][0] for e, s in zip(ended, now, strict=True)]
+        now = [done[s][1] for s in now]
     if key is not None:
         yield row()
 
@@ -124,7 +158,7 @@ def _splittable(spark: SparkSession, path: str) -> bool:
 def ranges(spark: SparkSession, path: str) -> DataFrame:
     """file, start, state, base, began of each range of the files that Spark splits. One task composes the ranges of a file,
     a row of some bytes for each of them."""
-    split = _lines(spark, path).where("split").select("file", "start", "line")
+    split = _lines(spark, path).where("split").select("file", "start", "size", "line")
     return split.mapInArrow(_transitions, TRANSITIONS).groupBy("file").applyInPandas(_composed, KNOWN)
 
 
@@ -134,7 +168,7 @@ PIECE = "file string, began long, start long, place int, offset long, ended bool
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The statements of the task's ranges. Statements within a range have place null; what belongs to a statement of an
     earlier range has place 0, what is left open at the end 1."""
-    key, state, at, began, first, held, offset = None, NORMAL, 0, 0, False, [], -1
+    key, state, at, began, first, held, offset, after, size = None, NORMAL, 0, 0, False, [], -1, b"", None
     out: list[tuple] = []
 
     def close(ended: bool) -> None:
@@ -150,29 +184,39 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["file", "began", "start", "place", "offset", "ended", "text"])
 
-    for batch in batches:
-        for file, start, from_state, base, before, line in zip(*[batch.column(c).to_pylist() for c in ("file", "start", "state", "base", "began", "line")], strict=True):
-            if (file, start) != key:
-                if key is not None:
-                    close(False)
-                key, state, at, began, first = (file, start), from_state or NORMAL, base or 0, before or 0, start > 0
-            parts, state_after = parts_of_line(line, state)
-            for a, b, ends in parts:
-                part = line[a:b]
-                if offset < 0 and part.strip():
-                    offset = at + a + len(part) - len(part.lstrip())
-                held.append(part)
-                if ends:
-                    close(True)
-                elif b < len(line) or not part:
-                    held.append(b" ")  # where a comment was
-            held.append(b"\n")
-            state, at = state_after, at + len(line) + 1
+    def add(text: bytes) -> None:
+        nonlocal state, at, offset
+        parts, state = parts_of_text(text, state)
+        for a, b, ends in parts:
+            part = text[a:b]
+            if offset < 0 and part.strip():
+                offset = at + a + len(part) - len(part.lstrip())
+            held.append(part)
+            if ends:
+                close(True)
+            elif b < len(text):
+                held.append(b" ")  # where a comment was
+        at += len(text)
+
+    def finish() -> None:
+        """The separator behind a range's last line, if it is there, and what is left open."""
+        if size is None or at < size:
+            add(after)
+        close(False)
+
+    for values, sep, lines in _stretches(batches, "file", "start", "state", "base", "began"):
+        if values[:2] != key:
+            if key is not None:
+                finish()
+            key, (from_state, base, before, size), after = values[:2], values[2:], b""
+            state, at, began, first = from_state or NORMAL, base or 0, before or 0, key[1] > 0
+        add(after + sep.join(lines))
+        after = sep
         if out:
             yield batch_of_rows()
             out.clear()
     if key is not None:
-        close(False)
+        finish()
         yield batch_of_rows()
 
 
@@ -193,7 +237,7 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
         else:
             order = F.monotonically_increasing_id()
             given = lines.withColumn("id", order).join(known, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "id")
-    pieces = given.select("file", "start", "state", "base", "began", "line").mapInArrow(_pieces, PIECE)
+    pieces = given.select("file", "start", "state", "base", "began", "size", "line").mapInArrow(_pieces, PIECE)
     whole = pieces.where("place IS NULL").select("file", "offset", "ended", "text")
     # The rest of a statement that crosses ranges: its beginning in one range, the others after it.
     parts = pieces.where("place IS NOT NULL").groupBy("file", "began").agg(

@@ -1,11 +1,13 @@
 """Steps that have to grow no faster than their input."""
 
+import gzip
 import time
 
 from pyspark.sql import functions as F
 
 from cohortmart.functions.literals import NUMBER, WHOLE, infer_types
 from cohortmart.operators import bitmaps
+from cohortmart.sources import dump, statements
 from tests.conftest import rows
 
 
@@ -37,3 +39,17 @@ def test_text_that_is_no_number_is_not_tried(spark):
 
     whole = seconds("12")
     assert seconds("N of no number ") < 4 * whole + 0.5 and seconds("12.5") < 4 * whole + 0.5
+
+
+def test_a_row_of_the_reader_is_no_longer_than_a_statement(spark, tmp_path):
+    """A dump without line breaks; an empty line in a value; a packed dump; a last semicolon that is or isn't there."""
+    text = "".join(f"INSERT INTO t (k, v) VALUES ({k},'a\n\nb');" for k in range(50))
+    (tmp_path / "a.sql").write_text(text.replace("\n", " "))
+    assert statements._lines(spark, f"{tmp_path}/a.sql").count() == 50
+    (tmp_path / "b.sql").write_text(text)
+    (tmp_path / "c.sql").write_text(text[:-1] + " -- no; end")
+    (tmp_path / "d.sql.gz").write_bytes(gzip.compress(text.encode()))
+    for name in ("b.sql", "c.sql", "d.sql.gz"):
+        assert rows(dump.read_insert_dump(spark, f"{tmp_path}/{name}", "t")) == sorted([(str(k), "a\n\nb") for k in range(50)], key=repr)
+    found = statements.statements(spark, f"{tmp_path}/*").where("NOT ended").collect()
+    assert [r["file"].rsplit("/", 1)[1] for r in found] == ["c.sql"]
