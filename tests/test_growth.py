@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from cohortmart.functions.literals import NUMBER, WHOLE, infer_types
-from cohortmart.operators import bitmaps
+from cohortmart.operators import bitmaps, cooccurrence
 from cohortmart.sources import dump, statements
 from tests.conftest import rows
 
@@ -53,3 +53,19 @@ def test_a_row_of_the_reader_is_no_longer_than_a_statement(spark, tmp_path):
         assert rows(dump.read_insert_dump(spark, f"{tmp_path}/{name}", "t")) == sorted([(str(k), "a\n\nb") for k in range(50)], key=repr)
     found = statements.statements(spark, f"{tmp_path}/*").where("NOT ended").collect()
     assert [r["file"].rsplit("/", 1)[1] for r in found] == ["c.sql"]
+
+
+def test_pairs_of_seeds_and_items_are_counted_behind_the_shuffle(spark):
+    """Arrays are shuffled by seed, to tasks of a bounded number of pairs; seeds of more pairs are counted before."""
+    plays = spark.range(0, 6000, 1, 4).selectExpr("id % 300 AS user_id", "id % 700 AS item_no").distinct().cache()
+    members = spark.range(0, 900, 1, 4).selectExpr("id % 300 AS user_id", "CASE WHEN id < 300 THEN -1 ELSE id % 50 END AS seed_no").distinct().cache()
+    want = rows(members.join(plays, "user_id").groupBy("seed_no", "item_no").count())
+    total = members.join(plays, "user_id").count()
+    for pairs, heavy in ((total, False), (total // 40, True), (0, True)):
+        got = cooccurrence.co_occurrence(members, plays, 4, max(pairs, 1))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("Union" in plan) == heavy and rows(got) == want
+    plan = cooccurrence.co_occurrence(members, plays, 4, total // 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("Generate explode(items")[0].split("Union")[-1]
+    parts = cooccurrence.co_occurrence(members.where("seed_no >= 0"), plays, 4, total // 30).rdd.getNumPartitions()
+    assert parts >= 15
