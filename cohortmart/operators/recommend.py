@@ -9,23 +9,28 @@ from cohortmart.functions.numbers import half_up, mean_of, novelty, similarity,
 from cohortmart.operators.cooccurrence import seed_overlaps
 from cohortmart.operators.cohort import asked_plays, cohort_overlap, seed_cohorts
 from cohortmart.operators.marts import item_statistics
+from cohortmart.sources.files import save_table, scratch_path
 
 MIN_OVERLAP, MIN_PLAYERS, LIMIT = 3, 5, 100
-OUTPUT = ("item_id", "variant_key", "version", "artist", "title", "difficultyrating", "total_players", "cohort_overlap", "avg_pp", "std_pp", "min_pp", "median_pp", "p75_pp", "p90_pp", "novelty_score")
+MEASURES = ("avg_pp", "std_pp", "min_pp", "median_pp", "p75_pp", "p90_pp")
+OUTPUT = ("item_id", "variant_key", "version", "artist", "title", "difficultyrating", "total_players", "cohort_overlap", *MEASURES, "novelty_score")
 
 
-def _described(counted: DataFrame, stats: DataFrame, items: DataFrame, sets: DataFrame, min_overlap: int, min_players: int) -> DataFrame:
-    """Joins statistics and dimensions; items without either drop."""
-    popular = stats.where(F.col("user_count") >= min_players)
-    known = counted.where(F.col("cohort_overlap") >= min_overlap).join(popular, ["item_id", "variant_key"])
-    full = known.join(items.select("item_id", "set_id", "version", "difficultyrating"), "item_id").join(sets.select("set_id", "artist", "title"), "set_id")
+def _about(stats: DataFrame, items: DataFrame, sets: DataFrame, min_players: int) -> DataFrame:
+    """What is told of each item and variant of enough players; items without dimensions drop."""
+    popular = stats.where(F.col("user_count") >= min_players).select("item_id", "variant_key", "user_count", *MEASURES)
+    return popular.join(items.select("item_id", "set_id", "version", "difficultyrating"), "item_id").join(sets.select("set_id", "artist", "title"), "set_id")
+
+
+def _described(counted: DataFrame, about: DataFrame, min_overlap: int) -> DataFrame:
+    full = counted.where(F.col("cohort_overlap") >= min_overlap).join(about, ["item_id", "variant_key"])
     return full.withColumn("total_players", F.col("user_count")).withColumn("novelty_score", novelty(F.col("cohort_overlap"), F.col("user_count")))
 
 
 def recommend_from_cohort(best: DataFrame, cohort: DataFrame, items: DataFrame, sets: DataFrame, min_overlap: int = MIN_OVERLAP, min_players: int = MIN_PLAYERS, limit: int = LIMIT, stats: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """The `limit` items and variants of largest overlap; ties by avg_pp, then item and variant. No row for an empty cohort."""
     stats = item_statistics(best, digits) if stats is None else stats
-    rows = _described(cohort_overlap(best, cohort), stats, items, sets, min_overlap, min_players)
+    rows = _described(cohort_overlap(best, cohort), _about(stats, items, sets, min_players), min_overlap)
     order = [F.col("cohort_overlap").desc(), F.col("avg_pp").desc_nulls_last(), F.col("item_id"), F.col("variant_key")]
     return rows.select(*OUTPUT).orderBy(*order).limit(limit)
 
@@ -34,13 +39,15 @@ def recommend_for_seeds(best: DataFrame, seeds: DataFrame, items: DataFrame, set
     """recommend_from_cohort() for every row of seeds (seed_id, item_id, pp_low, pp_high, variant) at once, with its place.
 
     Cost: the plays of each seed's cohort, counted by seed_overlaps(): cohorts and items below the thresholds are left out
-    before, and a very active user is spread over tasks. Give top plays (user_topk) as `best` to bound them.
+    before, and a very active user is spread over tasks. What is told of the items is written once and meets the counts in
+    one join. Give top plays (user_topk) as `best` to bound them.
     """
     stats = item_statistics(best, digits) if stats is None else stats
     members = seed_cohorts(best, seeds).select("seed_id", "user_id")
-    popular = stats.where(F.col("user_count") >= min_players).select("item_id", "variant_key", "user_count")
+    about = save_table(_about(stats, items, sets, min_players), scratch_path(best.sparkSession, "about"))
+    popular = about.select("item_id", "variant_key", "user_count").distinct()
     counted = seed_overlaps(members, best.select("user_id", "item_id", "variant_key"), popular, min_overlap)
-    rows = _described(counted, stats, items, sets, min_overlap, min_players)
+    rows = _described(counted, about, min_overlap)
     order = Window.partitionBy("seed_id").orderBy(F.col("cohort_overlap").desc(), F.col("avg_pp").desc_nulls_last(), F.col("item_id"), F.col("variant_key"))
     ranked = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
     return ranked.select("seed_id", "place", *OUTPUT)

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from cohortmart.functions.literals import NUMBER, WHOLE, infer_types
-from cohortmart.operators import bitmaps, cooccurrence
+from cohortmart.operators import bitmaps, cooccurrence, recommend
 from cohortmart.sources import dump, statements
 from tests.conftest import rows
 
@@ -69,3 +69,15 @@ def test_pairs_of_seeds_and_items_are_counted_behind_the_shuffle(spark):
     assert "Exchange" not in plan.split("Generate explode(items")[0].split("Union")[-1]
     parts = cooccurrence.co_occurrence(members.where("seed_no >= 0"), plays, 4, total // 30).rdd.getNumPartitions()
     assert parts >= 15
+
+
+def test_counts_of_all_seeds_meet_their_description_in_one_join(spark):
+    """One join gives the counts their items, one all that is told of these; statistics and dimensions meet before."""
+    best = spark.range(4000).selectExpr("id % 200 AS user_id", "id % 40 AS item_id", "'DT' AS variant_key", "CAST(id AS DOUBLE) AS pp").dropDuplicates(["user_id", "item_id"])
+    seeds = spark.range(40).selectExpr("id AS seed_id", "id AS item_id", "CAST(NULL AS DOUBLE) AS pp_low", "CAST(NULL AS DOUBLE) AS pp_high", "CAST(NULL AS STRING) AS variant")
+    items = spark.range(30).selectExpr("id AS item_id", "id % 4 AS set_id", "'v' AS version", "1.0 AS difficultyrating")
+    sets = spark.range(3).selectExpr("id AS set_id", "'a' AS artist", "'t' AS title")
+    found = recommend.recommend_for_seeds(best, seeds, items, sets)
+    above = found._jdf.queryExecution().executedPlan().toString().split("Generate explode(items")[0]
+    assert above.count("Join") == 2
+    assert {r["item_id"] for r in found.collect()} == {k for k in range(30) if k % 4 < 3}
