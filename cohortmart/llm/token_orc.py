@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 PUNCTUATION = b".,;:!?\"()[]{}|*#%$&-_=+/<>~^@"
 #: Texts that hold these go to the tokenizer as a whole: the start of a special token's string, combining marks.
-WHOLE = re.compile(rb"<\||[\xcc\xcd]")
+WHOLE = (b"<|", b"\xcc", b"\xcd")
 
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, ids array<int>"
 
@@ -46,57 +47,105 @@ class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library, each distinct word once.
 
     Fits byte-level tokenizers that drop white space and letter case: ids of a text are those of its words one after the
-    other. Words of plain letters go to the tokenizer's model at once, all others through the whole tokenizer. The words
-    known so far are kept up to `limit` and then forgotten, so memory is bounded.
+    other. Words of plain letters go to the tokenizer's model at once, all others through the whole tokenizer. When more than
+    `limit` words are known, all but those of the last texts are forgotten, so memory is bounded.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 500_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model = self.tokenizer.model
-        self.letters = {b: c for b, c in byte_letters().items() if b >= 128}
-        self.known: dict[bytes, bytes] = {}
+        self.pieces = Tokenizer(self.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = np.arange(256, dtype="<u4")
+        for byte, letter in byte_letters().items():
+            self.letters[byte] = ord(letter) if byte >= 128 else byte
+        suffix, tokens = getattr(self.model, "end_of_word_suffix", None), range(self.tokenizer.get_vocab_size())
+        self.last = np.array([bool(suffix) and (self.tokenizer.id_to_token(k) or "").endswith(suffix) for k in tokens], bool)
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece_ids(self, piece: bytes) -> bytes:
-        if piece.isalpha():  # ASCII letters, in lower case already
-            shown = piece.decode()
-        else:
-            text = piece.decode()
-            low = text.lower()
-            if not PLAIN.fullmatch(low):
-                return self._ids(text)
-            shown = low.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-
-    def learn(self, missing: set[bytes]) -> None:
-        for word in missing:
-            core = word.rstrip(PUNCTUATION)
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, as one text of the model; where a word ends is told by its last token."""
+        shown = self.letters[np.frombuffer(" ".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.asarray(self.pieces.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return [array("I", [t.id for t in self.model.tokenize(x)]).tobytes() for x in shown.split(" ")]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def learn(self, missing: list[bytes]) -> list[bytes]:
+        """Ids of each of those words."""
+        cores = [word.rstrip(PUNCTUATION) for word in missing]
+        low = b"\n".join(cores).decode().lower().split("\n")
+        plain = list(dict.fromkeys(filter(PLAIN.fullmatch, low)))
+        ids = dict(zip(plain, self._plain_ids(plain), strict=True)) if plain else {}
+        signs: dict[bytes, bytes] = {}
+        out = []
+        for word, core, shown in zip(missing, cores, low, strict=True):
+            own = ids.get(shown)
             # Only plain letters are sure to end where the punctuation begins: others may become a letter and a mark.
-            if core == word or not (core.isalpha() or PLAIN.fullmatch(core.decode().lower())):
-                self.known[word] = self._piece_ids(word)
-                continue
-            ids = []
-            for piece in (core, word[len(core) :]):
-                if piece not in self.known:
-                    self.known[piece] = self._piece_ids(piece)
-                ids.append(self.known[piece])
-            self.known[word] = b"".join(ids)
+            if own is None:
+                own = self._ids(word.decode())
+            elif len(core) < len(word):
+                after = word[len(core) :]
+                if after not in signs:
+                    signs[after] = self._ids(after.decode())
+                own += signs[after]
+            out.append(own)
+        return out
+
+    def _looked_up(self, words: pa.Array) -> pa.Array:
+        """Ids of different words. Known ones are Arrow arrays, which take a fifth of a dictionary's memory."""
+        at = pc.index_in(words, value_set=self.known)
+        gaps = at.is_null()
+        missing = words.filter(gaps)
+        if len(missing):
+            made = self.learn(missing.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+            places = at.fill_null(0).to_numpy().copy()
+            places[gaps.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(missing))
+            at = pa.array(places)
+            self.known = pa.concat_arrays([self.known, missing])
+            self.known_ids = pa.concat_arrays([self.known_ids, pa.array(made, pa.large_binary())])
+        ids = self.known_ids.take(at)
+        if len(self.known) > self.limit:
+            self.known, self.known_ids = words, ids
+        return ids
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings without nulls) one after the other and the number of each text's.
+
+        Words are told apart by Arrow, so only different ones of these texts are looked up.
+        """
+        lo, hi = np.frombuffer(texts.buffers()[1], np.int32)[[texts.offset, texts.offset + len(texts)]]
+        blob = b"" if texts.buffers()[2] is None else memoryview(texts.buffers()[2])[lo:hi].tobytes()
+        whole = np.zeros(len(texts), bool)
+        for sign in WHOLE:
+            if sign in blob:
+                whole |= pc.match_substring(texts.cast(pa.binary()), sign).to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts))
+        words = split.flatten().dictionary_encode()
+        ids = self._looked_up(words.dictionary).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 4
+        starts = split.offsets.to_numpy().astype(np.int64)
+        cuts = ends[starts - starts[0]]
+        values = np.frombuffer(ids.buffers()[2] or b"", "<u4")[: cuts[-1]]
+        sizes = np.diff(cuts)
+        if whole.any():
+            own = {k: np.frombuffer(self._ids(texts[k].as_py()), "<u4") for k in np.flatnonzero(whole).tolist()}
+            values = np.insert(values, np.repeat(cuts[list(own)], [len(x) for x in own.values()]), np.concatenate(list(own.values())))
+            sizes[list(own)] = [len(x) for x in own.values()]
+        return values, sizes
 
     def encode(self, raw: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
-        whole = {k for k, b in enumerate(raw) if WHOLE.search(b)}
-        split = [[] if k in whole else b.lower().split() for k, b in enumerate(raw)]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        missing = set().union(*split).difference(self.known)
-        if missing:
-            self.learn(missing)
-        get = self.known.__getitem__
-        return [self._ids(raw[k].decode()) if k in whole else b"".join(map(get, split[k])) for k in range(len(raw))]
+        values, sizes = self.encode_array(pa.array(raw, pa.binary()).cast(pa.string()))
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        return [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -112,16 +161,16 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def _runs(texts: list[bytes], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def _runs(sizes: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes together."""
     start, total = 0, 0
-    for k, text in enumerate(texts):
-        total += len(text)
+    for k, size in enumerate(sizes.tolist()):
+        total += size
         if total >= most:
             yield start, k + 1
             start, total = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -132,26 +181,26 @@ def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+        pool.release_unused()  # what earlier steps left in a worker that is used again
         part, before, enc = TaskContext.get().partitionId(), 0, encoder(path)
-        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = batch.column(0)
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in _runs(texts):
-                coded = [x + end for x in enc.encode(texts[lo:hi])]
-                sizes = np.fromiter((len(x) // 4 for x in coded), np.int64, hi - lo)
-                cuts = np.concatenate([[0], np.cumsum(sizes)])
-                values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
+            ids, texts = batch.column(0), batch.column(1).cast(pa.string())
+            for lo, hi in _runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+                values, sizes = enc.encode_array(pc.fill_null(texts.slice(lo, hi - lo), ""))
+                values = np.insert(values, np.cumsum(sizes), end_id)
+                cuts = np.concatenate([[0], np.cumsum(sizes + 1)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
                         pa.array(np.full(hi - lo, part, np.int32)),
                         pa.array(before + cuts[:-1]),
-                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values),
+                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.view("<i4"))),
                     ],
                     names=["doc_id", "part", "local_start", "ids"],
                 )
                 before += int(cuts[-1])
+                pool.release_unused()
 
     tie = F.xxhash64("text")
     ordered = (
