@@ -605,10 +605,8 @@ def dump_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = mapping.table(spark, sf_dir, "part")
     rows = part.select(text.alias("value"), (kind == 0).alias("cut"))
     rows.where("NOT cut").select("value").write.option("lineSep", dump.END).text(f"{path}/whole")
-    # A task writes many files, which it moves to their folder itself.
-    files_of_one = rows.where("cut").select("value").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
-    files_of_one.option("lineSep", "\n").text(f"{path}/cut")
-    return dump.dump_rejects(spark, f"{path}/*").select("table", "reason", "n_rows_kept", "text")
+    files.write_each(rows.where("cut").select("value"), f"{path}/cut")
+    return dump.dump_rejects(spark, f"{path}/*/*").select("table", "reason", "n_rows_kept", "text")
 
 
 @registered("SELECT p_partkey, 'INSERT INTO ' || p_name || ' VALUES' AS head FROM part")

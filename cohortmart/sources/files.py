@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +139,41 @@ def save_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files in a folder of write_each(); Spark lists more than 32 folders by tasks.
+FOLDER = 1024
+
+
+def write_each(df: DataFrame, path: str) -> None:
+    """A file for each row of a table of one text column, in folders of up to 1,024 files: path/*/*. It holds the text and nothing else
+    (null: it is empty).
+
+    In a folder that is mounted, tasks write the files themselves: Hadoop's local file system starts two processes for each file
+    that Spark's writer opens. Names are the rows' numbers, so a task that runs again writes the same files.
+    """
+    spark, text = df.sparkSession, df.columns[0]
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to = to.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(to).toUri()
+    if to.getScheme() != "file":
+        # A task moves the files to their folder itself. An empty separator is not allowed.
+        df.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).option("lineSep", "\n").text(f"{path}/0")
+        return
+    root = to.getPath()
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = None
+        for batch in batches:
+            for k, value in zip(batch.column("k").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                if folder != f"{root}/{k // FOLDER}":
+                    folder = f"{root}/{k // FOLDER}"
+                    os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/{k}.txt", "wb") as out:
+                    out.write(value or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    numbered = df.select(F.monotonically_increasing_id().alias("k"), F.col(f"`{text}`").cast("binary").alias("value"))
+    numbered.mapInArrow(written, "n long").agg(F.sum("n")).collect()
+
+
 def save_layouts(best: DataFrame, name: str, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
     """Two bucketed copies of the best plays: by item, sorted by pp, and by user, sorted by item."""
     spark = best.sparkSession

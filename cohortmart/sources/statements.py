@@ -3,7 +3,7 @@
 A range of a file (a split, as Spark reads it) may begin within a statement, a quote or a comment. What a range does to the
 state at its start is a small table: for each possible state, the one at its end and whether a statement ends in it. These
 tables are composed file by file, which tells every range its true state, and the ranges are then cut into statements where
-they are. Only statements that cross ranges are put together by a shuffle.
+they are. Only statements that cross ranges are put together by a shuffle. Files that Spark never splits are read once, whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmart.sources.files import save_table, scratch_path
@@ -84,18 +84,48 @@ def _read(spark: SparkSession, path: str, sep: str) -> DataFrame:
     m = F.col("_metadata")
     size = m["file_size"] if sep == ";" else F.lit(None).cast("long")
     read = spark.read.option("lineSep", sep).text(path)
-    return read.select(m["file_path"].alias("file"), m["file_block_start"].alias("start"), (m["file_block_length"] < m["file_size"]).alias("split"), size.alias("size"), F.col("value").cast("binary").alias("line"))
+    split = (m["file_block_length"] < m["file_size"]).alias("split")
+    return read.select(m["file_path"].alias("file"), m["file_block_start"].alias("start"), split, m["file_size"].alias("bytes"), size.alias("size"), F.col("value").cast("binary").alias("line"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, split, size, line: what is between two semicolons, so a row is no longer than a statement even where a dump has
-    no line breaks. Packed files are read by lines, with size null: their size does not tell if the last semicolon is there."""
-    if spark.read.format("binaryFile").load(path).where(F.col("path").rlike(PACKED)).select("path").isEmpty():
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The files, which are listed once. Conditions on their names and sizes (_metadata) pick them from the list and read no file."""
+    return spark.read.format("binaryFile").load(path)
+
+
+def _any(listed: DataFrame, condition: Column) -> bool:
+    return not listed.where(condition).select("path").isEmpty()
+
+
+def _lines(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
+    """file, start, split, bytes (of the file), size, line: what is between two semicolons, so a row is no longer than a statement even
+    where a dump has no line breaks. Packed files are read by lines, with size null: their size does not tell if the last semicolon
+    is there."""
+    if not _any(_listed(spark, path) if listed is None else listed, F.col("_metadata.file_path").rlike(PACKED)):
         return _read(spark, path, ";")
     packed = F.col("file").rlike(PACKED)
     return _read(spark, path, ";").where(~packed).unionByName(_read(spark, path, "\n").where(packed))
 
 
+#: Files of so many bytes at most are opened by tasks of about so many of Spark's partitions of files (of 32, as Spark is set by default).
+TINY, TOGETHER = 64 << 10, 32
+
+
+def _whole_files(listed: DataFrame, least: int) -> DataFrame:
+    """What _pieces() reads of the files that Spark never splits, each as one row of `least` bytes at most: to open a file as lines takes
+    Spark several times as long. A byte order mark goes, as it does from lines."""
+    m = F.col("_metadata")
+    plain = listed.where((m["file_size"] <= least) & ~m["file_path"].rlike(PACKED))
+    mark = F.substring("content", 1, 3) == F.lit(b"\xef\xbb\xbf")
+    zero = F.lit(0).cast("long")
+    line = F.when(mark, F.substring("content", F.lit(4), F.length("content"))).otherwise(F.col("content"))
+    base = F.when(mark, F.lit(3).cast("long")).otherwise(zero)
+    read = lambda df: df.select(m["file_path"].alias("file"), zero.alias("start"), F.lit(NORMAL).alias("state"), base.alias("base"), zero.alias("began"), m["file_size"].alias("size"), line.alias("line"))
+    tiny = read(plain.where(m["file_size"] <= TINY))
+    tasks = max(tiny.rdd.getNumPartitions() // TOGETHER, listed.sparkSession.sparkContext.defaultParallelism)
+    return tiny.coalesce(tasks).unionByName(read(plain.where(m["file_size"] > TINY)))
+
+
 def _stretches(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, bytes, list[bytes]]]:
     """Rows of a batch that belong to one range, together: the values of the columns (file and start first) of the first of them, the
     separator, the lines."""
@@ -149,20 +179,22 @@ def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["file", "start", "state", "base", "began"])
 
 
-def _splittable(spark: SparkSession, path: str) -> bool:
-    """Whether a file is large enough that Spark may split it; their lengths are listed, not their contents."""
-    least = min(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.files.{c}")) for c in ("openCostInBytes", "maxPartitionBytes"))
-    return not spark.read.format("binaryFile").load(path).where(F.col("length") > least).select("path").isEmpty()
+def _least(spark: SparkSession) -> int:
+    """The length up to which Spark splits no file."""
+    return min(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.files.{c}")) for c in ("openCostInBytes", "maxPartitionBytes"))
 
 
-def ranges(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, state, base, began of each range of the files that Spark splits. One task composes the ranges of a file,
-    a row of some bytes for each of them."""
-    split = _lines(spark, path).where("split").select("file", "start", "size", "line")
+def ranges(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+    """file, start, state, base, began of each range of the files that Spark splits; lines are the dump's _lines() where they are known.
+    One task composes the ranges of a file, a row of some bytes for each of them."""
+    long = (_lines(spark, path) if lines is None else lines).where(F.col("bytes") > _least(spark))
+    split = long.where("split").select("file", "start", "size", "line")
     return split.mapInArrow(_transitions, TRANSITIONS).groupBy("file").applyInPandas(_composed, KNOWN)
 
 
 PIECE = "file string, began long, start long, place int, offset long, ended boolean, text binary"
+#: Bytes and rows after which statements are handed on, so files of one statement don't make a batch each.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 10_000
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +202,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     earlier range has place 0, what is left open at the end 1."""
     key, state, at, began, first, held, offset, after, size = None, NORMAL, 0, 0, False, [], -1, b"", None
     out: list[tuple] = []
+    n_bytes = 0
 
     def close(ended: bool) -> None:
-        nonlocal held, offset, first
+        nonlocal held, offset, first, n_bytes
         text = b"".join(held)
+        n_bytes += len(text)
         if first:
             out.append((key[0], began, key[1], 0, offset, ended, text))
         elif text.strip() or not ended:
@@ -212,9 +246,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state, at, began, first = from_state or NORMAL, base or 0, before or 0, key[1] > 0
         add(after + sep.join(lines))
         after = sep
-        if out:
+        if len(out) >= BATCH_ROWS or n_bytes >= BATCH_BYTES:
             yield batch_of_rows()
             out.clear()
+            n_bytes = 0
     if key is not None:
         finish()
         yield batch_of_rows()
@@ -227,24 +262,30 @@ def statements(spark: SparkSession, path: str) -> DataFrame:
     Statements and comments may begin and end anywhere, quoted text stays as it is, carriage returns included. A row holds one
     statement, which must fit into a task's memory, as it had to fit into a packet of the server that it is for.
     """
-    lines = _lines(spark, path)
-    none = {"state": F.lit(NORMAL), "base": F.lit(0).cast("long"), "began": F.lit(0).cast("long")}
-    given = lines.withColumns(none)
-    if _splittable(spark, path):
-        known = save_table(ranges(spark, path), scratch_path(spark, "ranges"))
-        if known.count() <= RANGES:
-            given = lines.join(F.broadcast(known), ["file", "start"], "left")
-        else:
-            order = F.monotonically_increasing_id()
-            given = lines.withColumn("id", order).join(known, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "id")
-    pieces = given.select("file", "start", "state", "base", "began", "size", "line").mapInArrow(_pieces, PIECE)
-    whole = pieces.where("place IS NULL").select("file", "offset", "ended", "text")
-    # The rest of a statement that crosses ranges: its beginning in one range, the others after it.
-    parts = pieces.where("place IS NOT NULL").groupBy("file", "began").agg(
-        F.sort_array(F.collect_list(F.struct("start", "place", "offset", "text"))).alias("parts"), F.max("ended").alias("ended")
-    )
-    offsets = F.filter(F.transform("parts", lambda p: p["offset"]), lambda o: o >= 0)
-    text = F.reduce("parts", F.lit(b""), lambda all_, p: F.concat(all_, p["text"]))
-    crossing = parts.select("file", F.coalesce(F.get(offsets, F.lit(0)), F.lit(0).cast("long")).alias("offset"), "ended", text.alias("text"))
-    both = whole.unionByName(crossing).select("file", "offset", "ended", F.col("text").cast("string").alias("text"))
+    least, listed = _least(spark), _listed(spark, path)
+    size, packed = F.col("_metadata.file_size"), F.col("_metadata.file_path").rlike(PACKED)
+    columns = ["file", "start", "state", "base", "began", "size", "line"]
+    found = _whole_files(listed, least).select(*columns).mapInArrow(_pieces, PIECE).select("file", "offset", "ended", "text")
+    if _any(listed, (size > least) | packed):
+        lines = _lines(spark, path, listed).where((F.col("bytes") > least) | F.col("file").rlike(PACKED))
+        none = {"state": F.lit(NORMAL), "base": F.lit(0).cast("long"), "began": F.lit(0).cast("long")}
+        given = lines.withColumns(none)
+        if _any(listed, size > least):
+            known = save_table(ranges(spark, path, lines), scratch_path(spark, "ranges"))
+            if known.count() <= RANGES:
+                given = lines.join(F.broadcast(known), ["file", "start"], "left")
+            else:
+                order = F.monotonically_increasing_id()
+                given = lines.withColumn("id", order).join(known, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "id")
+        pieces = given.select(*columns).mapInArrow(_pieces, PIECE)
+        whole = pieces.where("place IS NULL").select("file", "offset", "ended", "text")
+        # The rest of a statement that crosses ranges: its beginning in one range, the others after it.
+        parts = pieces.where("place IS NOT NULL").groupBy("file", "began").agg(
+            F.sort_array(F.collect_list(F.struct("start", "place", "offset", "text"))).alias("parts"), F.max("ended").alias("ended")
+        )
+        offsets = F.filter(F.transform("parts", lambda p: p["offset"]), lambda o: o >= 0)
+        text = F.reduce("parts", F.lit(b""), lambda all_, p: F.concat(all_, p["text"]))
+        crossing = parts.select("file", F.coalesce(F.get(offsets, F.lit(0)), F.lit(0).cast("long")).alias("offset"), "ended", text.alias("text"))
+        found = found.unionByName(whole).unionByName(crossing)
+    both = found.select("file", "offset", "ended", F.col("text").cast("string").alias("text"))
     return both.where(F.trim(F.translate("text", "\n\r\t", "   ")) != "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortmart.functions.literals import NUMBER, WHOLE, infer_types
 from cohortmart.operators import bitmaps, cooccurrence, recommend
-from cohortmart.sources import dump, statements
+from cohortmart.sources import dump, files, statements
 from tests.conftest import rows
 
 
@@ -81,3 +81,47 @@ def test_counts_of_all_seeds_meet_their_description_in_one_join(spark):
     above = found._jdf.queryExecution().executedPlan().toString().split("Generate explode(items")[0]
     assert above.count("Join") == 2
     assert {r["item_id"] for r in found.collect()} == {k for k in range(30) if k % 4 < 3}
+
+
+def test_small_files_are_read_once_whole_by_few_tasks(spark, tmp_path):
+    """A file of one statement that it cuts off: no shuffle, one look at it, and not a task for every 32 of them."""
+    (tmp_path / "many").mkdir()
+    for k in range(400):
+        (tmp_path / f"many/{k}.sql").write_text(f"INSERT INTO t (a) VALUES ({k}),('{k}")
+    (tmp_path / "marked.sql").write_bytes("\ufeffINSERT INTO t (a) VALUES (1);\nINSERT INTO t (a) VALUES (2".encode())
+    found = statements.statements(spark, f"{tmp_path}/many")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1 and found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted((r["offset"], r["ended"], r["text"]) for r in found.collect()) == sorted((0, False, f"INSERT INTO t (a) VALUES ({k}),('{k}") for k in range(400))
+    marked = statements.statements(spark, f"{tmp_path}/marked.sql").orderBy("offset").collect()
+    assert [(r["offset"], r["ended"], r["text"].strip()) for r in marked] == [(3, True, "INSERT INTO t (a) VALUES (1)"), (33, False, "INSERT INTO t (a) VALUES (2")]
+    # Beside a file that Spark splits, and packed ones.
+    long = "INSERT INTO t (a) VALUES " + ",".join(f"({k})" for k in range(1_000_000)) + ";\n"
+    (tmp_path / "many/long.sql").write_text(long + "INSERT INTO t (a) VALUES (-1), ('cut")
+    (tmp_path / "many/packed.sql.gz").write_bytes(gzip.compress(b"INSERT INTO t (a) VALUES (-2)"))
+    assert len(long) > statements._least(spark)
+    assert rows(dump.dump_row_counts(spark, f"{tmp_path}/many")) == [("t", 400 + 1_000_000 + 1 + 1)]
+    left = dump.dump_rejects(spark, f"{tmp_path}/many").select("reason", "n_rows_kept", "text")
+    assert rows(left) == sorted([("incomplete list", 1, f"('{k}") for k in [*range(400), "cut"]], key=repr)
+
+
+def test_a_file_for_each_row_starts_no_process(spark, tmp_path):
+    """Before, Spark's writer took about 15 ms of a task for each file."""
+    texts = [f"({k}, 'ä;\n" for k in range(3000)] + ["", None, "same", "same"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(3).cache()
+    df.count()
+    start = time.perf_counter()
+    files.write_each(df, f"{tmp_path}/each")
+    assert time.perf_counter() - start < 10
+    files.write_each(df.limit(0), f"{tmp_path}/none")
+    found = [p for p in (tmp_path / "each").rglob("*") if p.is_file()]
+    assert sorted(p.read_bytes().decode() for p in found) == sorted(t or "" for t in texts)
+    assert max(len(list(d.iterdir())) for d in (tmp_path / "each").iterdir()) <= files.FOLDER
+    assert spark.read.option("wholetext", True).text(f"{tmp_path}/each/*/*").count() == len(texts) - 2  # Spark passes over empty files
+
+
+def test_a_file_for_each_row_on_a_file_system_that_is_not_mounted(spark, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.each.link./data", f"file://{tmp_path}")
+    files.write_each(spark.createDataFrame([("(1,'a",), ("b",)], "t string"), "viewfs://each/data/x")
+    assert sorted(r[0] for r in spark.read.text("viewfs://each/data/x/*/*").collect()) == ["(1,'a", "b"]
